@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import jaccard_join, sharding
 
-MODULES = (sharding,)
+MODULES = (sharding, jaccard_join)
 
 
 def queries() -> dict:
