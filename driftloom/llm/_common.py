@@ -101,3 +101,17 @@ def block_rank(df: DataFrame, by: list[str], key: F.Column, blocks: int, rank: s
     on = [ranked[c].eqNullSafe(starts[c]) for c in (*by, "__block")]
     out = ranked.join(F.broadcast(starts) if blocks <= 4096 else starts, on, "inner")
     return out.select(*[ranked[c] for c in df.columns], (F.col("__start") + F.col("__r") - 1).alias(rank))
+
+
+def bounded(ids: DataFrame, most: int, seed: int, column: str = "doc_id") -> DataFrame:
+    """About nine tenths of ``most`` rows at most, chosen by a hash of ``column``; never more than ``most``."""
+    n = ids.count()
+    if n <= most:
+        return ids
+    span = 1 << 30
+    return ids.where(F.pmod(F.xxhash64(F.lit(seed), column), F.lit(span)) < int(span * 0.9 * most / n)).limit(most)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, tasks: int = 16) -> DataFrame:
+    """The documents of a bounded list of ids, dealt over a few tasks."""
+    return docs.join(F.broadcast(ids), "doc_id").repartition(tasks)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, sharding
+from . import jaccard_join, language_id, quality_classifier, sharding
 
-MODULES = (sharding, jaccard_join)
+MODULES = (sharding, jaccard_join, language_id, quality_classifier)
 
 
 def queries() -> dict:
