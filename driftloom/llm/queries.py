@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, quality_classifier, sharding
+from . import jaccard_join, language_id, quality_classifier, quality_rules, sharding
 
-MODULES = (sharding, jaccard_join, language_id, quality_classifier)
+MODULES = (sharding, jaccard_join, quality_rules, language_id, quality_classifier)
 
 
 def queries() -> dict:
