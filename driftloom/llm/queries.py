@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, language_id, license_scan, quality_classifier, quality_rules, sharding
+from . import jaccard_join, language_id, license_scan, packing, quality_classifier, quality_rules, sharding
 
-MODULES = (sharding, jaccard_join, quality_rules, license_scan, language_id, quality_classifier)
+MODULES = (sharding, jaccard_join, quality_rules, packing, license_scan, language_id, quality_classifier)
 
 
 def queries() -> dict:
