@@ -83,12 +83,13 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     return roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())
 
 
-def block_rank(df: DataFrame, by: list[str], key: F.Column, blocks: int, rank: str) -> DataFrame:
+def block_rank(df: DataFrame, by: list[str], key: F.Column, blocks: int, rank: str, groups: int) -> DataFrame:
     """Adds ``rank`` (long, gapless from 0 within ``by``) in the order of (block, key).
 
     ``key`` must be a hash that depends only on a row's columns. Rows of a group are dealt over
     ``blocks`` hash blocks, ranked within each, and shifted by the counts of the blocks before, so a
     group with a third of all rows is spread over many tasks. Rows with equal keys are ranked in any order.
+    ``groups``: how many there are at most; the blocks' starts are broadcast while they are few.
     """
     from pyspark.sql import Window
 
@@ -99,7 +100,7 @@ def block_rank(df: DataFrame, by: list[str], key: F.Column, blocks: int, rank: s
     within = Window.partitionBy(*by, "__block").orderBy("__key")
     ranked = keyed.withColumn("__r", F.row_number().over(within))
     on = [ranked[c].eqNullSafe(starts[c]) for c in (*by, "__block")]
-    out = ranked.join(F.broadcast(starts) if blocks <= 4096 else starts, on, "inner")
+    out = ranked.join(F.broadcast(starts) if groups * blocks <= 200_000 else starts, on, "inner")
     return out.select(*[ranked[c] for c in df.columns], (F.col("__start") + F.col("__r") - 1).alias(rank))
 
 
