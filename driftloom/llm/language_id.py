@@ -116,35 +116,55 @@ def learn(docs: DataFrame, label: str = "lang", most: int = MOST_DOCUMENTS, seed
     return {k: v / np.linalg.norm(v) for k, v in sorted(sums.items()) if np.linalg.norm(v)}
 
 
+def _predictor(prototypes: dict[str, np.ndarray], seed: int):
+    """Texts to (label, score) pairs."""
+    names = list(prototypes)
+    matrix = np.stack([prototypes[k] for k in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
+    key = (DIMENSIONS, WIDTH, seed)
+
+    def predict(texts: list[str | None]) -> list[tuple[str, float]]:
+        encode, out = _encoder(*key), []
+        for text in texts:
+            v = encode(text) if names else None
+            size = float(np.linalg.norm(v)) if v is not None else 0.0
+            if not size:
+                out.append((UNKNOWN, 0.0))
+                continue
+            cosines = matrix @ v / size
+            best = int(cosines.argmax())
+            out.append((names[best], min(1.0, max(0.0, (1 + float(cosines[best])) / 2))))
+        return out
+
+    return predict
+
+
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 9) -> DataFrame:
     """(doc_id, lang_pred string, score double): the prototype of the largest cosine, as (1 + cosine) / 2.
 
     Whole texts. A text that is null, empty or has no letter gets ``und`` and 0, as does every text where
     there is no prototype. Of equal cosines the first label in order wins. Other columns are not read.
     """
-    names = list(prototypes)
-    matrix = np.stack([prototypes[k] for k in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
-    key = (DIMENSIONS, WIDTH, seed)
+    predict = _predictor(prototypes, seed)
 
-    def predict(batches):
-        encode = _encoder(*key)
+    def predicted(batches):
         for b in batches:
-            lang, score = [], []
-            for text in b.column("text").to_pylist():
-                v = encode(text) if names else None
-                size = float(np.linalg.norm(v)) if v is not None else 0.0
-                if not size:
-                    lang.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                cosines = matrix @ v / size
-                best = int(cosines.argmax())
-                lang.append(names[best])
-                score.append(min(1.0, max(0.0, (1 + float(cosines[best])) / 2)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            found = predict(b.column("text").to_pylist())
+            columns = [b.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(predicted, f"doc_id {kind}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = 0.5, seed: int = 9) -> DataFrame:
+    """The documents with a language: not ``und``, and a score over ``least`` (0.5: a cosine above 0). All columns as they are."""
+    predict = _predictor(prototypes, seed)
+
+    def kept(batches):
+        for b in batches:
+            yield b.filter(pa.array([x > least for _, x in predict(b.column("text").to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

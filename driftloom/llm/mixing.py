@@ -125,6 +125,14 @@ def mix(docs: DataFrame, weights=tempered, column: str = "source", key: str = "d
     return out.select(*docs.columns, "source_row", "block", "block_slot", position.alias("position"))
 
 
+def mixed(docs: DataFrame, parts: int, **options) -> DataFrame:
+    """The rows of ``docs`` in the order of the mix: dealt over ``parts`` partitions by position, and sorted."""
+    out = mix(docs, **options)
+    n = max(1, docs.count())
+    out = out.repartitionById(parts, F.expr(f"cast(position * {parts} div {n} as int)")).sortWithinPartitions("position")
+    return out.select(*docs.columns)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of all documents in the mix of sources, weighted by the square roots of their sizes."""
     out = mix(table(spark, sf_dir, "documents"))

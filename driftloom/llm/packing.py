@@ -201,13 +201,14 @@ def packed(lengths: list[int], neighbours, window: int) -> list[list[tuple[int,
         out.append(pieces)
 
 
-def pack(docs: DataFrame, ranks_path: str | None = None, window: int = WINDOW, per_shard: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str | None = None, window: int = WINDOW, per_shard: int = SHARD, in_order: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row - all long) of ``docs`` (doc_id, text).
 
     Each document is its ids and END; each id is in one piece, and a sequence's offsets have no gaps. All
     sequences are full but one a shard. ``row`` tells rows of one doc_id apart. Null and empty texts are
     END alone; equal and very long texts are treated like any other; other columns are not read; an empty
-    input gives an empty result. Sequence ids are unique, not consecutive.
+    input gives an empty result. Sequence ids are unique, not consecutive. ``in_order``: a shard holds rows that
+    stand together in the input, so that windows keep to its mix of sources.
     """
     path = ranks_path or _vocabulary_path("byte_bpe_50k.tiktoken")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
@@ -242,7 +243,8 @@ def pack(docs: DataFrame, ranks_path: str | None = None, window: int = WINDOW, p
                 at += length
         return pa.Table.from_batches([_table(out, _PA_PIECE)])
 
-    rests = rests.withColumn("shard", F.pmod(F.xxhash64("row", "doc_id"), F.lit(shards)))
+    shard = F.expr(f"row div {per_shard}") if in_order else F.pmod(F.xxhash64("row", "doc_id"), F.lit(shards))
+    rests = rests.withColumn("shard", shard)
     return rests.select("shard", "doc_id", "row", "start", "doc_tokens", "ids").groupBy("shard").applyInArrow(fill, _PIECE).unionByName(whole)
 
 

@@ -136,6 +136,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, score double")
 
 
+def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The documents that score ``least`` or more. All columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(sent.value.scores(b.column("text").to_pylist()) >= least, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents; learned from labels where crc32(doc_id) mod 3 is not 1."""
     docs = table(spark, sf_dir, "documents")
