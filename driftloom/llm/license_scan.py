@@ -115,8 +115,12 @@ def _rules() -> list[dict]:
 
 
 RULES = _rules()
-#: A text without any of these single words' parts can match no rule: each keyword above implies one of them, or a pattern does.
-STEMS = ("licen", "spdx", "gpl", "copyleft", "domain", "hereby", "permission", "redistribution", "cc0", "cc", "reserved", "proprietary", ".org", ".net", ".com", "creative commons")
+#: A text that has none of these and does not match NAMED can match no rule: every pattern holds one of them.
+STEMS = (
+    "licen", "spdx", "gpl", "copyleft", "domain", "hereby", "permission", "redistribution", "cc0", "commons", "bsd", "attribution",
+    "reserved", "proprietary", "mozilla", "eclipse", "wtfpl", "ofl", "joinup", "mariadb",
+)
+NAMED = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
 
 _RULE = "array<struct<rule:int,label:string,priority:int,sure:double,keyword:string,pattern:string>>"
 _HIT = "array<struct<start:int,stop:int,priority:int,sure:double,label:string,rule:int>>"
@@ -155,7 +159,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.drop("words", "base", "hits")
     letters = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     out = docs.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    gate = F.lit(False)
+    gate = F.col("__low").rlike(NAMED)
     for stem in STEMS:
         gate = gate | F.contains("__low", F.lit(stem))
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace("__low", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
