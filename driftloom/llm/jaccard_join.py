@@ -4,10 +4,13 @@ Copies of one text are first brought together. Every other text posts the smalle
 set - a prefix so long that two texts over the threshold share a posted hash - to the tile of each hash. A
 tile's documents are sorted by set size, and only sizes that can reach the threshold meet. A short tile gives
 all its pairs. A tile of more than ``SHORT`` documents gives pairs with the smallest document of each
-size band alone, and its documents go on, with all their hashes, to a second round, in which documents that
-the first has linked already need not meet and tiles of widely shared hashes are passed over wherever the
-document has enough others. What is left then (documents made of widely shared shingles nearly
-throughout) meets in size-banded tiles of two bitmap blocks each. No step drops a pair over the threshold.
+size band alone, and its documents go on, with more of their hashes, to further rounds, in which documents that
+are linked already need not meet and tiles of widely shared hashes are passed over wherever the document has
+enough others. What is left then (documents made of widely shared shingles nearly throughout) meets in
+size-banded tiles of two bitmap blocks each. No step drops a pair over the threshold.
+
+Bitmaps are made with the postings; hashes are made anew from the texts for the few documents whose
+bitmaps leave a pair open, which costs less than keeping the hashes of all.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ BROADCAST_IDS = 1_000_000
 BLOCK = 2048
 #: Postings that a task gathers before it hands them on.
 GATHERED = 1_500_000
+#: Of a document's hashes, the shares among which the further rounds look for settled tiles.
+ROUNDS = (0.25, 1.0)
 
-_POSTINGS = "bucket int, docs binary, sizes binary, groups binary, counts binary, tokens binary"
+_POSTINGS = "bucket int, docs binary, sizes binary, groups binary, counts binary, inner binary, tokens binary"
 _FOUND = "kind int, a long, b long"
 _SETS = "doc_id long, n int, bits binary, hashes binary"
 
@@ -67,41 +72,44 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-_PA_POSTINGS = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("docs", "sizes", "groups", "counts", "tokens"))])
+_PA_POSTINGS = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("docs", "sizes", "groups", "counts", "inner", "tokens"))])
 _PA_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 _PA_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("hashes", pa.binary())])
 
 
-def _dealt(docs, sizes, groups, taken, n_buckets: int):
-    """A batch of blocks, one a bucket: documents, their sizes and groups, and their hashes in it."""
+def _dealt(docs, sizes, groups, within, taken, n_buckets: int):
+    """A batch of blocks, one a bucket: documents, their sizes and groups, and their hashes in it, how many of
+    them among the document's ``within`` first."""
     lengths = np.array([len(t) for t in taken])
     token = np.concatenate(taken)
     at = np.repeat(np.arange(len(taken)), lengths)
+    rank = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    early = rank < np.repeat(np.array(within), lengths)
     bucket = (token % np.uint64(n_buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    bucket, at, token = bucket[order], at[order], (token[order] >> np.uint64(32)).astype("<u4")
+    bucket, at, early, token = bucket[order], at[order], early[order].astype("<i4"), (token[order] >> np.uint64(32)).astype("<u4")
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     docs, sizes, groups = np.array(docs, "<i8"), np.array(sizes, "<i4"), np.array(groups, "<i8")
-    rows = [[] for _ in range(6)]
+    rows = [[] for _ in range(7)]
     for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(bucket)], strict=True):
         first = np.flatnonzero(np.r_[True, np.diff(at[lo:hi]) != 0])
         own = at[lo:hi][first]
-        values = (int(bucket[lo]), docs[own].tobytes(), sizes[own].tobytes(), groups[own].tobytes(), np.diff(np.r_[first, hi - lo]).astype("<i4").tobytes(), token[lo:hi].tobytes())
+        values = (int(bucket[lo]), docs[own].tobytes(), sizes[own].tobytes(), groups[own].tobytes(), np.diff(np.r_[first, hi - lo]).astype("<i4").tobytes(), np.add.reduceat(early[lo:hi], first).astype("<i4").tobytes(), token[lo:hi].tobytes())
         for r, v in zip(rows, values, strict=True):
             r.append(v)
     return _batch(_PA_POSTINGS, *rows)
 
 
 def _gathered(items, n_buckets: int):
-    """items: (doc, size, group, hashes) without end; batches of blocks."""
-    held, count = ([], [], [], []), 0
+    """items: (doc, size, group, how many first hashes count, hashes) without end; batches of blocks."""
+    held, count = ([], [], [], [], []), 0
     for item in items:
         for h, v in zip(held, item, strict=True):
             h.append(v)
-        count += len(item[3])
+        count += len(item[4])
         if count >= GATHERED:
             yield _dealt(*held, n_buckets)
-            held, count = ([], [], [], []), 0
+            held, count = ([], [], [], [], []), 0
     if count:
         yield _dealt(*held, n_buckets)
 
@@ -112,18 +120,18 @@ def _post_prefixes(n_buckets: int):
             for b in batches:
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     h = shingle_set(text)
-                    sizes.append((doc, len(h)))
+                    seen.append((doc, len(h), _bitmap(h)))
                     if len(h):
-                        yield doc, len(h), doc, h[: _prefix(len(h))]
+                        yield doc, len(h), doc, 0, h[: _prefix(len(h))]
 
-        sizes: list[tuple[int, int]] = []
+        seen: list[tuple[int, int, bytes]] = []
 
         def told():
-            """The sizes so far, as blocks without hashes."""
-            if sizes:
-                d, n = zip(*sizes, strict=True)
-                sizes.clear()
-                yield _batch(_PA_POSTINGS, [-1], [np.array(d, "<i8").tobytes()], [np.array(n, "<i4").tobytes()], [b""], [b""], [b""])
+            """The sizes and bitmaps so far, as a block without hashes."""
+            if seen:
+                d, n, bits = zip(*seen, strict=True)
+                seen.clear()
+                yield _batch(_PA_POSTINGS, [-1], [np.array(d, "<i8").tobytes()], [np.array(n, "<i4").tobytes()], [b""], [b""], [b""], [b"".join(bits)])
 
         for out in _gathered(items(), n_buckets):
             yield out
@@ -133,12 +141,17 @@ def _post_prefixes(n_buckets: int):
     return post
 
 
-def _post_all(n_buckets: int):
+def _post_more(n_buckets: int, share: float):
+    """The first ``share`` of the hashes and those that a partner's first ``share`` can reach: a partner is larger
+    by a quarter at most, and a fifth of the document's own hashes, those it lacks, can stand before."""
+
     def post(batches):
         def items():
             for b in batches:
-                for r in b.to_pylist():
-                    yield r["doc_id"], r["n"], r["grp"], np.frombuffer(r["hashes"], "<u8")
+                columns = (b.column(c).to_pylist() for c in ("doc_id", "text", "grp"))
+                for doc, text, group in zip(*columns, strict=True):
+                    h = shingle_set(text)
+                    yield doc, len(h), group, math.floor(share * len(h)), h[: math.ceil((1.25 * share + 0.2) * len(h)) + 1]
 
         yield from _gathered(items(), n_buckets)
 
@@ -149,14 +162,16 @@ def _entries(t: pa.Table):
     """The postings of a bucket, sorted by hash, size and document; where the runs of a hash begin and end."""
     read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
     counts = read("counts", "<i4")
+    rank = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    early = rank < np.repeat(read("inner", "<i4"), counts)
     doc, size, group = (np.repeat(read(n, k), counts) for n, k in (("docs", "<i8"), ("sizes", "<i4"), ("groups", "<i8")))
     token = read("tokens", "<u4")
     order = np.lexsort((doc, size, token))
-    token, doc, size, group = token[order], doc[order], size[order], group[order]
+    token, doc, size, group, early = token[order], doc[order], size[order], group[order], early[order]
     keep = np.r_[True, (np.diff(token) != 0) | (np.diff(doc) != 0)]
-    token, doc, size, group = token[keep], doc[keep], size[keep], group[keep]
+    token, doc, size, group, early = token[keep], doc[keep], size[keep], group[keep], early[keep]
     begin = np.flatnonzero(np.r_[True, np.diff(token) != 0])
-    return token, doc, size, group, begin, np.diff(np.r_[begin, len(token)])
+    return token, doc, size, group, early, begin, np.diff(np.r_[begin, len(token)])
 
 
 def _all_pairs(token, doc, size, group):
@@ -186,7 +201,7 @@ def _found(pairs, singles) -> pa.Table:
 
 
 def _first_round(t: pa.Table) -> pa.Table:
-    token, doc, size, group, begin, length = _entries(t)
+    token, doc, size, group, _, begin, length = _entries(t)
     few = np.repeat((length > 1) & (length <= SHORT), length)
     pairs, many = [_all_pairs(token[few], doc[few], size[few], group[few])], []
     for lo, m in zip(begin[length > SHORT], length[length > SHORT], strict=True):
@@ -201,12 +216,12 @@ def _first_round(t: pa.Table) -> pa.Table:
     return _found(pairs, [(1, hot, np.zeros(len(hot), np.int64))])
 
 
-def _second_round(t: pa.Table) -> pa.Table:
-    """Kind 2: a document and its hashes here whose tiles have been settled."""
-    token, doc, size, group, begin, length = _entries(t)
+def _further_round(t: pa.Table) -> pa.Table:
+    """Kind 2: a document and how many of its first hashes have settled tiles here: short ones, or of one group."""
+    token, doc, size, group, early, begin, length = _entries(t)
     one = np.minimum.reduceat(group, begin) == np.maximum.reduceat(group, begin)
     few = np.repeat((length > 1) & (length <= SHORT) & ~one, length)
-    settled, n = np.unique(doc[np.repeat((length <= SHORT) | one, length)], return_counts=True)
+    settled, n = np.unique(doc[early & np.repeat((length <= SHORT) | one, length)], return_counts=True)
     return _found([_all_pairs(token[few], doc[few], size[few], group[few])], [(2, settled, n)])
 
 
@@ -276,15 +291,20 @@ def _hashed(batches):
 
 def _sizes(batches):
     for b in batches:
-        docs = np.concatenate([np.frombuffer(x, "<i8") for x in b.column("docs").to_pylist()] or [np.zeros(0, "<i8")])
-        n = np.concatenate([np.frombuffer(x, "<i4") for x in b.column("sizes").to_pylist()] or [np.zeros(0, "<i4")])
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_shingles"])
+        for docs, sizes, bits in zip(*(b.column(c).to_pylist() for c in ("docs", "sizes", "tokens")), strict=True):
+            docs, sizes = np.frombuffer(docs, "<i8"), np.frombuffer(sizes, "<i4")
+            ends = np.cumsum([_bits(n) // 8 for n in sizes.tolist()])
+            bits = [bits[lo:hi] for lo, hi in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], names=["doc_id", "n", "bits"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    side = lambda x, *cols: sets.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    likely = written(pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").mapInArrow(_bounded, _FOUND).select("a", "b"), f"{name}-likely")
-    return written(likely.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").mapInArrow(_exact, _FOUND).select("a", "b"), f"{name}-links")
+def _verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    side = lambda of, x, *cols: of.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+    bits = pairs.join(side(sizes, "a", "n", "bits"), "a").join(side(sizes, "b", "n", "bits"), "b")
+    likely = written(bits.mapInArrow(_bounded, _FOUND).select("a", "b"), f"{name}-likely")
+    ids = written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+    sets = written(_chosen(texts, ids, "left_semi").mapInArrow(_hashed, _SETS).select("doc_id", "hashes"), f"{name}-sets")
+    return written(likely.join(side(sets, "a", "hashes"), "a").join(side(sets, "b", "hashes"), "b").mapInArrow(_exact, _FOUND).select("a", "b"), f"{name}-links")
 
 
 def _chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -311,33 +331,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     n_buckets = max(shuffle_partitions(spark), math.ceil(keys.count() / 4096))
     posted = written(texts.mapInArrow(_post_prefixes(n_buckets), _POSTINGS), "jaccard-postings")
-    sizes = posted.where("bucket < 0").select("docs", "sizes").mapInArrow(_sizes, "doc_id long, n_shingles long")
-    sizes = written(sizes.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "jaccard-sizes")
-    found = written(posted.where("bucket >= 0").groupBy("bucket").applyInArrow(_first_round, _FOUND), "jaccard-first").distinct()
-    pairs = found.where("kind = 0").select("a", "b")
-    hot = found.where("kind = 1").select(F.col("a").alias("doc_id"))
-    met = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(hot).distinct(), "jaccard-met")
-    sets = written(_chosen(texts, met, "left_semi").mapInArrow(_hashed, _SETS).dropDuplicates(["doc_id"]), "jaccard-sets")
-    links = _verified(pairs, sets, "jaccard-first")
-
-    hot = written(hot, "jaccard-hot")
-    if not hot.isEmpty():
-        roots = components(links, "jaccard-first")
-        left = hot.join(roots, F.col("doc_id") == F.col("v"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("grp"))
-        left = written(sets.join(left, "doc_id"), "jaccard-hot-sets")
-        posted = left.select("doc_id", "n", "grp", "hashes").mapInArrow(_post_all(n_buckets), _POSTINGS)
-        found = written(posted.groupBy("bucket").applyInArrow(_second_round, _FOUND), "jaccard-second")
-        links = links.unionByName(_verified(found.where("kind = 0").select("a", "b").distinct(), sets, "jaccard-second"))
-        settled = found.where("kind = 2").groupBy(F.col("a").alias("doc_id")).agg(F.sum("b").alias("settled"))
+    sizes = posted.where("bucket < 0").select("docs", "sizes", "tokens").mapInArrow(_sizes, "doc_id long, n int, bits binary")
+    sizes = sizes.groupBy("doc_id").agg(F.max(F.struct("n", "bits")).alias("x")).select("doc_id", "x.n", "x.bits")
+    sizes = written(sizes, "jaccard-sizes")
+    found = posted.where("bucket >= 0").groupBy("bucket").applyInArrow(_first_round, _FOUND).distinct()
+    found = written(found, "jaccard-first")
+    links = _verified(found.where("kind = 0").select("a", "b"), sizes, texts, "jaccard-first")
+    left = written(found.where("kind = 1").select(F.col("a").alias("doc_id")), "jaccard-hot")
+
+    for share in ROUNDS:
+        if left.isEmpty():
+            break
+        roots = components(links, "jaccard-part")
+        left = left.join(roots, F.col("doc_id") == F.col("v"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("grp"))
+        left = written(left, "jaccard-left")
+        posted = _chosen(texts, left, "inner").select("doc_id", "text", "grp").mapInArrow(_post_more(n_buckets, share), _POSTINGS)
+        found = posted.groupBy("bucket").applyInArrow(_further_round, _FOUND)
+        found = written(found.groupBy("kind", "a", F.when(F.col("kind") == 0, F.col("b")).alias("c")).agg(F.sum("b").alias("n")), "jaccard-more")
+        links = links.unionByName(_verified(found.where("kind = 0").select("a", F.col("c").alias("b")), sizes, texts, "jaccard-more"))
+        settled = found.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("n").alias("settled"))
         n = F.col("n").cast("long")
-        rest = left.join(settled, "doc_id", "left").where(F.coalesce("settled", F.lit(0)) < n - F.ceil(4 * n / 5) + 1)
-        rest = written(rest.drop("settled"), "jaccard-rest")
-        if not rest.isEmpty():
-            links = links.unionByName(_blocks(rest))
+        rest = left.join(sizes.select("doc_id", "n"), "doc_id").join(settled, "doc_id", "left")
+        rest = rest.where(F.coalesce("settled", F.lit(0)) < n - F.ceil(4 * n / 5) + 1)
+        left = written(rest.select("doc_id"), "jaccard-left")
+    if not left.isEmpty():
+        roots = components(links, "jaccard-part")
+        left = left.join(roots, F.col("doc_id") == F.col("v"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("grp"))
+        links = links.unionByName(_blocks(_hashed_with(texts, written(left, "jaccard-left"))))
 
     roots = components(links, "jaccard")
     of = sizes.join(roots, F.col("doc_id") == F.col("v"), "left").select(
-        F.col("doc_id").alias("rep"), "n_shingles", F.coalesce("root", "doc_id").alias("root")
+        F.col("doc_id").alias("rep"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("root")
     )
     of = written(of, "jaccard-roots")
     out = rep_of.join(of, "rep").select(
@@ -347,6 +371,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.unionByName(nameless)
 
 
+def _hashed_with(texts: DataFrame, left: DataFrame) -> DataFrame:
+    return written(_chosen(texts, left.select("doc_id"), "left_semi").mapInArrow(_hashed, _SETS).join(left, "doc_id"), "jaccard-rest")
+
+
 def _blocks(rest: DataFrame) -> DataFrame:
     """Links among documents of widely shared shingles: blocks of one size band, or of two next to each other, meet.
 
@@ -368,6 +396,12 @@ def _blocks(rest: DataFrame) -> DataFrame:
     return written(found.select("a", "b"), "jaccard-blocks")
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each component, that of the smallest doc_id; rows with a null doc_id stay. All columns as they are."""
+    others = written(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-others")
+    return _chosen(docs, others, "left_anti").select(*docs.columns)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
