@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import base64
 import math
-import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,6 @@ K1, B = 1.2, 0.75
 #: Space-bound pieces of text whose ids a worker keeps, at most.
 KEPT_PIECES = 400_000
 
-#: Anything but single blanks and line ends between words: such texts go to the tokenizer whole.
-_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|[ \n]{2}")
-
-
 def _vocabulary_path(name: str) -> str:
     import public_tokenizers
 
@@ -45,7 +42,8 @@ class Tokens:
     vocabulary's JSON file, special tokens read as text. Made by ``tiktoken``, whose ranks are the same vocabulary.
 
     The pre-tokenizer never joins what a blank or a line end separates, save a blank and the word behind it; so in
-    texts whose white space is single, each such piece has ids of its own, which are kept.
+    texts whose white space is single blanks and line ends, each such piece has ids of its own, which are kept. Nor
+    does it join a word of letters and a punctuation mark, and such a word is encoded as one piece.
     """
 
     def __init__(self, ranks_path: str):
@@ -56,8 +54,8 @@ class Tokens:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         if max(ranks.values()) >= 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self._encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.vocabulary = max(ranks.values()) + 1
+        coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._encode, single = coder.encode_ordinary, coder._core_bpe.encode_single_piece
         outer = self
 
         class Pieces(dict):
@@ -65,25 +63,38 @@ class Tokens:
                 self.before = before
 
             def __missing__(self, piece: str) -> bytes:
-                ids = outer.whole(self.before + piece)
+                if piece.isalpha():
+                    ids = outer.bytes_of(single((self.before + piece).encode()))
+                elif piece[-1:] in ".,!?;:" and piece[:-1].isalpha():
+                    return self[piece[:-1]] + outer.marks[piece[-1]]
+                else:
+                    ids = outer.whole(self.before + piece)
                 if len(self) < KEPT_PIECES and len(piece) < 64:
                     self[piece] = ids
                 return ids
 
+        self.marks = {c: self.whole(c) for c in ".,!?;:"}
         self._first, self._spaced = Pieces(""), Pieces(" ")
         self._line = self.whole("\n")
 
+    @staticmethod
+    def bytes_of(ids: list[int]) -> bytes:
+        out = array("H", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def whole(self, text: str) -> bytes:
-        return np.array(self._encode(text), "<u2").tobytes()
+        return self.bytes_of(self._encode(text))
 
     def __call__(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1:  # other white space, or more in a row
             return self.whole(text)
         first, spaced = self._first, self._spaced
         lines = []
         for line in text.split("\n"):
             words = line.split(" ")
-            lines.append((first[words[0]] if words[0] else b"") + b"".join(map(spaced.__getitem__, words[1:])))
+            lines.append(first[words[0]] + b"".join(map(spaced.__getitem__, words[1:])))
         return self._line.join(lines)
 
 
