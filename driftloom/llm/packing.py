@@ -89,7 +89,8 @@ class Tokens:
         return self.bytes_of(self._whole.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:  # other white space, or more in a row
+        words, between = text.split(), text.count(" ") + text.count("\n")
+        if len(words) != between + 1 or len("".join(words)) + between != len(text):  # other white space, or more in a row
             return self.whole(text)
         first, spaced = self._first, self._spaced
         lines = []
