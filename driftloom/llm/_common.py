@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,18 +52,49 @@ def crc32_mod(column: str, n: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+#: Links up to which one task finds components (16 bytes each); beyond, all tasks do in rounds.
+ONE_TASK_LINKS = 1_000_000
+
+
+def _forest(batches):
+    """Each vertex of a task's links with the smallest one that it reaches by them."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    at = list(parent)
+    for lo in range(0, len(at), 100_000):
+        part = at[lo : lo + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(map(find, part), pa.int64())], names=["u", "v"])
+
+
+def components(edges: DataFrame, name: str = "components", most_rounds: int = 60, one_task: int = ONE_TASK_LINKS) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): rows (v, root), root the smallest vertex.
 
-    Alternating large-star and small-star steps; every step is two shuffles and a written table, so no
-    link or component reaches the driver. The minimum of a vertex is pre-aggregated before its shuffle
-    and written before the join, which lets adaptive execution split a hub. Self links are ignored;
-    without links the result is empty. Vertices without links are not returned.
+    Up to ``one_task`` distinct links are joined by union-find in one task of bounded memory. Beyond, each task first
+    joins its own links; then large-star and small-star steps alternate until nothing changes, each of them two
+    shuffles and a written table: the minimum of a vertex is pre-aggregated before its shuffle and written
+    before the join, which lets adaptive execution split a hub. No link or component reaches the driver. Self
+    links are ignored; without links the result is empty. Vertices without links are not returned.
     """
     e = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
         f"{name}-edges",
     )
+    if e.count() <= one_task:
+        return written(e.coalesce(1).mapInArrow(_forest, "u long, v long").select(F.col("u").alias("v"), F.col("v").alias("root")), f"{name}-roots")
+    e = written(e.mapInArrow(_forest, "u long, v long").where("u <> v").distinct(), f"{name}-forest")
     print_of = None
     for k in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from ._common import components, shuffle_partitions, table, written
 from ._text import shingle_set
 
-#: Documents of a tile up to which all its pairs are compared.
-SHORT = 48
+#: Documents of a tile up to which all its pairs are compared: in the first round, and in further ones.
+SHORT, SHORTER = 48, 16
 #: Ids up to which a list of documents is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Documents of a block in the last round.
@@ -34,7 +34,7 @@ BLOCK = 2048
 #: Postings that a task gathers before it hands them on.
 GATHERED = 1_500_000
 #: Of a document's hashes, the shares among which the further rounds look for settled tiles.
-ROUNDS = (0.25, 1.0)
+ROUNDS = (0.3, 1.0)
 
 _POSTINGS = "bucket int, docs binary, sizes binary, groups binary, counts binary, inner binary, tokens binary"
 _FOUND = "kind int, a long, b long"
@@ -159,7 +159,8 @@ def _post_more(n_buckets: int, share: float):
 
 
 def _entries(t: pa.Table):
-    """The postings of a bucket, sorted by hash, size and document; where the runs of a hash begin and end."""
+    """The postings of a bucket, sorted by hash, size and document, once each; documents with one twice; where the
+    runs of a hash begin, and how long they are."""
     read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()])
     counts = read("counts", "<i4")
     rank = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -169,18 +170,20 @@ def _entries(t: pa.Table):
     order = np.lexsort((doc, size, token))
     token, doc, size, group, early = token[order], doc[order], size[order], group[order], early[order]
     keep = np.r_[True, (np.diff(token) != 0) | (np.diff(doc) != 0)]
+    twice = doc[~keep & early]
     token, doc, size, group, early = token[keep], doc[keep], size[keep], group[keep], early[keep]
     begin = np.flatnonzero(np.r_[True, np.diff(token) != 0])
-    return token, doc, size, group, early, begin, np.diff(np.r_[begin, len(token)])
+    return token, doc, size, group, early, twice, begin, np.diff(np.r_[begin, len(token)])
 
 
-def _all_pairs(token, doc, size, group):
-    """Pairs of neighbours in sorted runs whose sizes may reach the threshold."""
+def _all_pairs(token, doc, size, group, some, most: int):
+    """Pairs in sorted runs of ``most`` at most whose sizes may reach the threshold, one of them in ``some``."""
     a, b = [], []
-    for d in range(1, SHORT):
+    for d in range(1, most):
         if len(token) <= d:
             break
         ok = (token[d:] == token[:-d]) & (5 * size[:-d].astype(np.int64) >= 4 * size[d:].astype(np.int64)) & (group[d:] != group[:-d])
+        ok &= some[d:] | some[:-d]
         a.append(doc[:-d][ok])
         b.append(doc[d:][ok])
     return (np.concatenate(a), np.concatenate(b)) if a else (doc[:0], doc[:0])
@@ -201,9 +204,9 @@ def _found(pairs, singles) -> pa.Table:
 
 
 def _first_round(t: pa.Table) -> pa.Table:
-    token, doc, size, group, _, begin, length = _entries(t)
+    token, doc, size, group, _, _, begin, length = _entries(t)
     few = np.repeat((length > 1) & (length <= SHORT), length)
-    pairs, many = [_all_pairs(token[few], doc[few], size[few], group[few])], []
+    pairs, many = [_all_pairs(token[few], doc[few], size[few], group[few], few[few], SHORT)], []
     for lo, m in zip(begin[length > SHORT], length[length > SHORT], strict=True):
         d, s = doc[lo : lo + m], size[lo : lo + m]
         many.append(d)
@@ -217,12 +220,15 @@ def _first_round(t: pa.Table) -> pa.Table:
 
 
 def _further_round(t: pa.Table) -> pa.Table:
-    """Kind 2: a document and how many of its first hashes have settled tiles here: short ones, or of one group."""
-    token, doc, size, group, early, begin, length = _entries(t)
+    """Kind 2: a document and how many of its first hashes have no settled tile here: a short one, or of one group.
+
+    Pairs count only where one of the two has the hash among its first: that is where a settled one finds its partner.
+    """
+    token, doc, size, group, early, twice, begin, length = _entries(t)
     one = np.minimum.reduceat(group, begin) == np.maximum.reduceat(group, begin)
-    few = np.repeat((length > 1) & (length <= SHORT) & ~one, length)
-    settled, n = np.unique(doc[early & np.repeat((length <= SHORT) | one, length)], return_counts=True)
-    return _found([_all_pairs(token[few], doc[few], size[few], group[few])], [(2, settled, n)])
+    few = np.repeat((length > 1) & (length <= SHORTER) & ~one, length)
+    open_, n = np.unique(np.r_[twice, doc[early & np.repeat((length > SHORTER) & ~one, length)]], return_counts=True)
+    return _found([_all_pairs(token[few], doc[few], size[few], group[few], early[few], SHORTER)], [(2, open_, n)])
 
 
 def _bounded(batches):
@@ -349,10 +355,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = posted.groupBy("bucket").applyInArrow(_further_round, _FOUND)
         found = written(found.groupBy("kind", "a", F.when(F.col("kind") == 0, F.col("b")).alias("c")).agg(F.sum("b").alias("n")), "jaccard-more")
         links = links.unionByName(_verified(found.where("kind = 0").select("a", F.col("c").alias("b")), sizes, texts, "jaccard-more"))
-        settled = found.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("n").alias("settled"))
+        unsettled = found.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("n").alias("unsettled"))
         n = F.col("n").cast("long")
-        rest = left.join(sizes.select("doc_id", "n"), "doc_id").join(settled, "doc_id", "left")
-        rest = rest.where(F.coalesce("settled", F.lit(0)) < n - F.ceil(4 * n / 5) + 1)
+        rest = left.join(sizes.select("doc_id", "n"), "doc_id").join(unsettled, "doc_id", "left")
+        rest = rest.where(F.floor(F.lit(share) * n) - F.coalesce("unsettled", F.lit(0)) < n - F.ceil(4 * n / 5) + 1)
         left = written(rest.select("doc_id"), "jaccard-left")
     if not left.isEmpty():
         roots = components(links, "jaccard-part")
