@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded, crc32_mod, table, texts_of
+from ._common import bounded, crc32_mod, small_batches, table, texts_of
 
 #: Components of a vector; letters of an n-gram.
 DIMENSIONS, WIDTH = 1024, 3
@@ -108,6 +108,7 @@ def learn(docs: DataFrame, label: str = "lang", most: int = MOST_DOCUMENTS, seed
         names = sorted(sums)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[k].astype("<f8").tobytes() for k in names], pa.binary())], names=["label", "v"])
 
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.col(label).alias("label")).where("label is not null and text is not null")
     ids = bounded(docs.select("doc_id"), most, seed).distinct()
     sums: dict[str, np.ndarray] = {}

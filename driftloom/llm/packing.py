@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, written
+from ._common import small_batches, table, written
 
 WINDOW = 2048
 #: Id behind each document.
@@ -224,6 +224,7 @@ def pack(docs: DataFrame, vocabulary: tuple[str, str] | None = None, window: int
     stand together in the input, so that windows keep to its mix of sources.
     """
     paths = vocabulary or (_vocabulary_path("byte_bpe_50k.json"), _vocabulary_path("byte_bpe_50k.tiktoken"))
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
     cut = written(docs.mapInArrow(_cut(paths, window), _CUT), "packing-cut")
     rests = cut.where("kind = 1")

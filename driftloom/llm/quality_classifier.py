@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded, crc32_mod, table, texts_of
+from ._common import bounded, crc32_mod, small_batches, table, texts_of
 
 #: Components of a word vector, and how many of an index vector are set.
 DIMENSIONS, SET = 96, 6
@@ -114,6 +114,7 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_DOCUMENTS, seed: int = 10) -> Model:
     """Learns from ``most`` labelled documents at most, chosen by a hash of doc_id. Null labels teach nothing."""
+    small_batches(docs.sparkSession)
     labels = labels.select("doc_id", F.col(label).cast("int").alias("__label")).where("doc_id is not null and __label is not null")
     labels = bounded(labels.groupBy("doc_id").agg(F.max("__label").alias("__label")), most, seed)
     rows = texts_of(docs.select("doc_id", "text"), labels).select("doc_id", "text", "__label").collect()

@@ -8,7 +8,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import table
+from ._common import small_batches, table
 
 #: Stands for the white space before a word.
 MARK = "▁"
@@ -106,6 +106,8 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
     columns are not read; an empty input gives an empty result.
     """
 
+    small_batches(docs.sparkSession)
+
     def counted(batches):
         count = counter(model_path)
         for b in batches:
