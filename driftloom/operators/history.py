@@ -91,7 +91,8 @@ def rename_candidates(versions: DataFrame) -> DataFrame:
         "repo", "source_file", "from_date", F.col("commit_date").alias("to_date"),
         F.explode(F.array_except("old", "tools")).alias("old_tool"), F.array_except("tools", "old").alias("new"),
     ).withColumn("new_tool", F.explode("new")).drop("new")
-    one = versions.groupBy("repo", "source_file", "commit_date", "tool").agg(F.max_by(F.struct("description", "props"), "seq").alias("x"))
+    props = F.coalesce("props", F.create_map().cast("map<string,string>")).alias("props")
+    one = versions.groupBy("repo", "source_file", "commit_date", "tool").agg(F.max_by(F.struct("description", props), "seq").alias("x"))
     side = lambda tool, date, name: one.select("repo", "source_file", F.col("commit_date").alias(date), F.col("tool").alias(tool), F.col("x").alias(name))
     pairs = pairs.join(side("old_tool", "from_date", "o"), ["repo", "source_file", "from_date", "old_tool"]).join(side("new_tool", "to_date", "n"), ["repo", "source_file", "to_date", "new_tool"])
     pairs = pairs.withColumn("schema_jaccard", C.jaccard(F.map_keys("o.props"), F.map_keys("n.props"))).withColumn("text_jaccard", C.jaccard(C.word_set("o.description"), C.word_set("n.description")))
