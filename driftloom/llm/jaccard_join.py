@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import components, shuffle_partitions, table, written
-from ._text import shingle_set
+from ._common import components, shuffle_partitions, small_batches, table, written
+from ._text import mixed, shingle_set
 
 #: Documents of a tile up to which all its pairs are compared: in the first round, and in further ones.
 SHORT, SHORTER = 48, 16
@@ -32,12 +32,13 @@ BROADCAST_IDS = 1_000_000
 #: Documents of a block in the last round.
 BLOCK = 2048
 #: Postings that a task gathers before it hands them on.
-GATHERED = 1_500_000
+GATHERED = 600_000
 #: Of a document's hashes, the shares among which the further rounds look for settled tiles.
 ROUNDS = (0.3, 1.0)
 
 _POSTINGS = "bucket int, docs binary, sizes binary, groups binary, counts binary, inner binary, tokens binary"
 _FOUND = "kind int, a long, b long"
+_MORE = "kind int, a long, b long, docs binary, counts binary"
 _SETS = "doc_id long, n int, bits binary, hashes binary"
 
 
@@ -219,16 +220,39 @@ def _first_round(t: pa.Table) -> pa.Table:
     return _found(pairs, [(1, hot, np.zeros(len(hot), np.int64))])
 
 
-def _further_round(t: pa.Table) -> pa.Table:
-    """Kind 2: a document and how many of its first hashes have no settled tile here: a short one, or of one group.
+def _further_round(n_parts: int):
+    """Pairs, and (kind 2) for each of ``n_parts`` parts of the documents how many of their first hashes have no
+    settled tile here: a short one, or of one group. The counts of a part are one row, in arrays.
 
     Pairs count only where one of the two has the hash among its first: that is where a settled one finds its partner.
     """
-    token, doc, size, group, early, twice, begin, length = _entries(t)
-    one = np.minimum.reduceat(group, begin) == np.maximum.reduceat(group, begin)
-    few = np.repeat((length > 1) & (length <= SHORTER) & ~one, length)
-    open_, n = np.unique(np.r_[twice, doc[early & np.repeat((length > SHORTER) & ~one, length)]], return_counts=True)
-    return _found([_all_pairs(token[few], doc[few], size[few], group[few], early[few], SHORTER)], [(2, open_, n)])
+
+    def meet(t: pa.Table) -> pa.Table:
+        token, doc, size, group, early, twice, begin, length = _entries(t)
+        one = np.minimum.reduceat(group, begin) == np.maximum.reduceat(group, begin)
+        few = np.repeat((length > 1) & (length <= SHORTER) & ~one, length)
+        pairs = _found([_all_pairs(token[few], doc[few], size[few], group[few], early[few], SHORTER)], [])
+        open_, n = np.unique(np.r_[twice, doc[early & np.repeat((length > SHORTER) & ~one, length)]], return_counts=True)
+        part = (mixed(open_.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, open_, n = part[order], open_[order].astype("<i8"), n[order].astype("<i8")
+        at = np.flatnonzero(np.r_[True, np.diff(part) != 0]) if len(part) else part
+        ends = np.r_[at[1:], len(part)] if len(part) else part
+        blobs = [[x[lo:hi].tobytes() for lo, hi in zip(at, ends, strict=True)] for x in (open_, n)]
+        none = [None] * pairs.num_rows
+        columns = [np.r_[pairs.column("kind"), np.full(len(at), 2)], np.r_[pairs.column("a"), part[at]], np.r_[pairs.column("b"), np.zeros(len(at), np.int64)]]
+        kinds = (pa.int32(), pa.int64(), pa.int64())
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)] + [pa.array(none + x, pa.binary()) for x in blobs]
+        return pa.Table.from_arrays(arrays, names=["kind", "a", "b", "docs", "counts"])
+
+    return meet
+
+
+def _summed(t: pa.Table) -> pa.Table:
+    docs, counts = (np.concatenate([np.frombuffer(x, "<i8") for x in t.column(c).to_pylist()]) for c in ("docs", "counts"))
+    doc, at = np.unique(docs, return_inverse=True)
+    n = np.bincount(at, counts).astype(np.int64)
+    return pa.Table.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "unsettled"])
 
 
 def _bounded(batches):
@@ -327,6 +351,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     has null in the other columns. Further columns are ignored. An empty input gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = written(docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key")), "jaccard-keys")
     firsts = written(keys.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "jaccard-firsts")
@@ -352,10 +377,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         left = left.join(roots, F.col("doc_id") == F.col("v"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("grp"))
         left = written(left, "jaccard-left")
         posted = _chosen(texts, left, "inner").select("doc_id", "text", "grp").mapInArrow(_post_more(n_buckets, share), _POSTINGS)
-        found = posted.groupBy("bucket").applyInArrow(_further_round, _FOUND)
-        found = written(found.groupBy("kind", "a", F.when(F.col("kind") == 0, F.col("b")).alias("c")).agg(F.sum("b").alias("n")), "jaccard-more")
-        links = links.unionByName(_verified(found.where("kind = 0").select("a", F.col("c").alias("b")), sizes, texts, "jaccard-more"))
-        unsettled = found.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("n").alias("unsettled"))
+        found = written(posted.groupBy("bucket").applyInArrow(_further_round(n_buckets), _MORE), "jaccard-more")
+        links = links.unionByName(_verified(found.where("kind = 0").select("a", "b").distinct(), sizes, texts, "jaccard-more"))
+        unsettled = found.where("kind = 2").select("a", "docs", "counts").groupBy("a").applyInArrow(_summed, "doc_id long, unsettled long")
         n = F.col("n").cast("long")
         rest = left.join(sizes.select("doc_id", "n"), "doc_id").join(unsettled, "doc_id", "left")
         rest = rest.where(F.floor(F.lit(share) * n) - F.coalesce("unsettled", F.lit(0)) < n - F.ceil(4 * n / 5) + 1)
