@@ -124,6 +124,18 @@ def _table(rows: list[tuple], schema: pa.Schema):
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+_place = np.zeros(1 << 16, np.int32)
+
+
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids and how often each stands there, without a sort."""
+    at = np.arange(len(ids), dtype=np.int32)
+    _place[ids] = at
+    terms = ids[_place[ids] == at]
+    _place[terms] = at[: len(terms)]
+    return terms, np.bincount(_place[ids])
+
+
 def _cut(paths: tuple[str, str], window: int):
     """Kind 0: a full window. Kind 1: a rest with its ids. Kind 2: documents of this task that hold each id in their rest."""
 
@@ -138,7 +150,7 @@ def _cut(paths: tuple[str, str], window: int):
                     out.append((doc, k * window, window, _crc(ids[k * window : (k + 1) * window]), len(ids), None, 0, row, 0, None, None, None))
                 rest = ids[full * window :]
                 if len(rest):
-                    frequency[np.unique(rest)] += 1
+                    frequency[_distinct(rest)[0]] += 1
                     out.append((doc, full * window, len(rest), None, len(ids), None, None, row, 1, rest.tobytes(), None, None))
             for lo in range(0, len(out), 512):
                 yield _table(out[lo : lo + 512], _PA_CUT)
@@ -156,24 +168,37 @@ class Index:
         term, doc, count = [], [], []
         self.terms = []
         for k, ids in enumerate(rests):
-            t, c = np.unique(ids, return_counts=True)
-            self.terms.append(t)
+            t, c = _distinct(ids)
+            self.terms.append(np.sort(t))
             term.append(t)
-            doc.append(np.full(len(t), k, np.int32))
+            doc.append(np.full(len(t), k, np.int64))
             count.append(c)
         term, doc, count = np.concatenate(term), np.concatenate(doc), np.concatenate(count)
         length = np.array([len(x) for x in rests])[doc]
         weight = self.idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean_length))
         order = np.argsort(term, kind="stable")
-        self._doc, self._weight = doc[order], weight[order].astype(np.float32)
-        self._at = np.searchsorted(term[order], np.arange((1 << 16) + 1))
+        term, doc, weight = term[order], doc[order], weight[order]
         self.n = len(rests)
+        at = np.searchsorted(term, np.arange((1 << 16) + 1))
+        # Terms of many rests are rows of a matrix, the others runs of postings: the scores are the same.
+        often = np.flatnonzero(np.diff(at) > self.n // 16)
+        self._row = np.full(1 << 16, -1)
+        self._row[often] = np.arange(len(often))
+        self._many = np.zeros((len(often), self.n), np.float32)
+        dense = self._row[term] >= 0
+        self._many[self._row[term[dense]], doc[dense]] = weight[dense]
+        term, self._doc, self._weight = term[~dense], doc[~dense], weight[~dense].astype(np.float64)
+        self._at = np.searchsorted(term, np.arange((1 << 16) + 1))
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """BM25 of every rest for a query of distinct terms."""
-        lo, hi = self._at[terms], self._at[terms + np.int64(1)]
-        at = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange((hi - lo).sum())
-        return np.bincount(self._doc[at], self._weight[at], self.n)
+        rows = self._row[terms]
+        out, terms = self._many[rows[rows >= 0]].sum(0), terms[rows < 0]
+        runs = [slice(lo, hi) for lo, hi in zip(self._at[terms].tolist(), self._at[terms + np.int64(1)].tolist(), strict=True)]
+        if runs:
+            doc, weight = (np.concatenate([x[r] for r in runs]) for x in (self._doc, self._weight))
+            out = out + np.bincount(doc, weight, self.n)
+        return out
 
 
 def packed(lengths: list[int], neighbours, window: int) -> list[list[tuple[int, int, int]]]:
@@ -201,7 +226,7 @@ def packed(lengths: list[int], neighbours, window: int) -> list[list[tuple[int,
         if room:
             score = neighbours(seed)
             free = np.flatnonzero(left)
-            for k in free[np.lexsort((free, -score[free]))].tolist():
+            for k in free[np.argsort(-score[free], kind="stable")].tolist():
                 take = min(room, int(left[k]))
                 pieces.append((k, int(used[k]), take))
                 used[k] += take
