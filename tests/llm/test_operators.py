@@ -379,6 +379,32 @@ def test_neighbours_are_alike():
     assert np.allclose(score, brute, rtol=1e-5)
 
 
+def test_packing_searches_all_shards(spark):
+    """Each window holds the best unused rests of the whole corpus, though every shard holds about 10 of 120."""
+    rng = random.Random(7)
+    topics = [[f"{c}{rng.randint(100, 999)}" for _ in range(30)] for c in "abcdefghijkl" for _ in range(1)]
+    texts = [" ".join(rng.choices(topics[k % 12], k=rng.randint(10, 60))) for k in range(115)] + ["same words here"] * 5
+    rows = packing.pack(docs_of(spark, texts), window=512, per_shard=10).collect()
+    sequences = check_packing(texts, rows, 512)
+    assert sum(1 for s in sequences.values() if sum(n for _, n in s) < 512) == 1
+    encode = packing.tokens(*(packing._vocabulary_path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken")))
+    rests = [np.append(np.frombuffer(encode(t), "<u2"), np.uint16(packing.END)) for t in texts]
+    assert max(map(len, rests)) < 512
+    frequency = np.zeros(1 << 16, np.float32)
+    for r in rests:
+        frequency[np.unique(r)] += 1
+    index = packing.Index(rests, frequency, len(rests), sum(map(len, rests)) / len(rests))
+    left = np.array([len(r) for r in rests])
+    for s in sorted(sequences, reverse=True):
+        seed, *others = sorted((r for r in rows if r.sequence_id == s), key=lambda r: r.offset)
+        left[seed.doc_id] -= seed.length
+        score = index.scores(index.terms[seed.doc_id])
+        for r in others:
+            assert score[r.doc_id] >= score[left > 0].max() - 0.002
+            left[r.doc_id] -= r.length
+    assert not left.any()
+
+
 # --- License scan
 
 
