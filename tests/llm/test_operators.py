@@ -263,6 +263,14 @@ def test_base_counts():
         assert quality_rules.base_counts(t) == brute_counts(t)
 
 
+@pytest.mark.parametrize("size", [4095, 4096, 5000, 6143, 8191, 50_000])
+def test_capitals_of_long_lines(size):
+    """All capitals count at every size, wherever they stand."""
+    for line in ("A" * (size // 4) + "b" * (size - size // 4), "bbbA" * (size // 4) + "b" * (size % 4)):
+        rows, _ = quality_rules.line_features(line)
+        assert rows[0, 5] == 2 * (size // 4) / size
+
+
 def test_field_decodes_the_best_path():
     rng = np.random.default_rng(7)
     for n in (1, 2, 5, 8):
