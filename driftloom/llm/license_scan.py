@@ -19,6 +19,7 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 
 _V = r"(?: (?:version|v))?"
 _L = r"(?: (?:software )?licen[cs]e)?"
+_NOTICE = r"(?:licen[cs]ed|released|distributed|available|published|provided|covered)"
 #: label, keyword (words that every match holds), the name as it stands in prose, SPDX identifier, words of its address.
 FAMILIES = (
     ("mit", "mit", r"(?:the )?mit" + _L, r"mit", r"opensource org licenses? mit"),
@@ -99,15 +100,15 @@ def _rules() -> list[dict]:
     """A family's rules, from its name, identifier and address; and the single ones."""
     forms = (
         ("tag", 1, 1.0, lambda name, spdx, url: rf"spdx licen[cs]e identifier {spdx}"),
-        ("notice", 2, 0.95, lambda name, spdx, url: rf"(?:licen[cs]ed|released|distributed|available|published|provided|covered) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:gnu )?{name}"),
+        ("notice", 2, 0.95, lambda name, spdx, url: rf"{_NOTICE} (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:gnu )?{name}"),
         ("address", 2, 0.9, lambda name, spdx, url: rf"(?:https? )?(?:www )?{url}"),
-        ("name", 3, 0.8, lambda name, spdx, url: rf"(?:gnu )?{name}" if "licen" in name or not spdx.isalpha() else rf"(?:gnu )?{name}(?<=licen[cs]e)"),
+        ("name", 3, 0.8, lambda name, spdx, url: rf"(?:gnu )?{name}(?<=licen[cs]e)" if spdx.isalpha() else rf"(?:gnu )?{name}"),
         ("field", 3, 0.85, lambda name, spdx, url: rf"licen[cs]e (?:is )?{spdx}"),
     )
     out = []
     for label, keyword, name, spdx, url in FAMILIES:
         for form, priority, sure, made in forms:
-            words = {"tag": "spdx", "address": "org" if " org" in url else url.split()[0], "field": "license"}.get(form, keyword)
+            words = {"tag": "spdx", "address": "org" if " org" in url else url.split()[0], "field": "licen"}.get(form, keyword)
             out.append({"label": label, "priority": priority, "sure": sure, "keyword": words, "pattern": f"(?<= ){made(name, spdx, url)}(?= )"})
     for label, keyword, pattern, priority, sure in SINGLE:
         out.append({"label": label, "priority": priority, "sure": sure, "keyword": keyword, "pattern": f"(?<= ){pattern}(?= )"})
@@ -115,12 +116,15 @@ def _rules() -> list[dict]:
 
 
 RULES = _rules()
-#: A text that has none of these and does not match NAMED can match no rule: every pattern holds one of them.
+#: A text that has none of these and matches neither NAMED nor NOTED can match no rule: every other match holds one of them.
 STEMS = (
     "licen", "spdx", "gpl", "copyleft", "domain", "hereby", "permission", "redistribution", "cc0", "commons", "bsd", "attribution",
     "reserved", "proprietary", "mozilla", "eclipse", "wtfpl", "ofl", "joinup", "mariadb",
 )
-NAMED = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NAMED = rf"cc{_GAP}by"
+#: A notice of the MIT license need not say license.
+NOTED = rf"{_NOTICE}{_GAP}(?:under|by){_GAP}(?:(?:the|terms|and|conditions|of|gnu){_GAP})*mit"
 
 _RULE = "array<struct<rule:int,label:string,priority:int,sure:double,keyword:string,pattern:string>>"
 _HIT = "array<struct<start:int,stop:int,priority:int,sure:double,label:string,rule:int>>"
@@ -159,7 +163,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.drop("words", "base", "hits")
     letters = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     out = docs.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    gate = F.col("__low").rlike(NAMED)
+    gate = F.col("__low").rlike(NAMED) | (F.contains("__low", F.lit("mit")) & F.col("__low").rlike(NOTED))
     for stem in STEMS:
         gate = gate | F.contains("__low", F.lit(stem))
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace("__low", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))

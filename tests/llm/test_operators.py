@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -443,6 +444,47 @@ def test_license_rules_pass_the_gate():
         assert any(stem in held for stem in license_scan.STEMS) or "cc by" in held, r
 
 
+def a_match(parts, rng):
+    """Some text that the parts of a parsed pattern match; what looks around is not heeded."""
+    out = ""
+    for op, x in parts:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "IN":
+            kind, of = rng.choice(x)
+            out += "7" if str(kind) == "CATEGORY" else chr(of if str(kind) == "LITERAL" else of[0])
+        elif op == "ANY":
+            out += "x"
+        elif op == "BRANCH":
+            out += a_match(rng.choice(x[1]), rng)
+        elif op == "SUBPATTERN":
+            out += a_match(x[-1], rng)
+        elif op == "MAX_REPEAT":
+            out += "".join(a_match(x[2], rng) for _ in range(rng.randint(x[0], min(x[1], x[0] + 1))))
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+def test_license_gate_shuts_out_no_match(spark):
+    """Whatever a rule matches alone has a hit in the scan, if no other word stands by it."""
+    rng, texts = random.Random(8), []
+    for r in license_scan.RULES:
+        made = {a_match(re._parser.parse(r["pattern"]), rng) for _ in range(12)}
+        made = sorted(t for t in made if re.search(r["pattern"], f" {t} "))
+        assert made, r
+        texts += made
+    texts += ["Released under the MIT.", "distributed under\nMIT terms", "Licence: MIT"]
+    rows = license_scan.scan(docs_of(spark, texts)).select("text", F.size("hits").alias("n")).collect()
+    assert [r.text for r in rows if not r.n] == []
+
+
+def test_license_needs_more_than_mit(spark):
+    rows = license_scan.scan(docs_of(spark, ["wir gehen mit dem Hund", "mit permission", "the MIT licence"])).orderBy("doc_id").collect()
+    assert [[h["label"] for h in r.hits] for r in rows] == [[], [], ["mit"]]
+
+
 def test_license_suppression(spark):
     r = license_scan.scan(docs_of(spark, ["licensed under the mit license"])).first()
     assert [h["label"] for h in r.hits] == ["mit"]  # the notice covers the name
