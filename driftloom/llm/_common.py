@@ -20,6 +20,14 @@ def drop_clashing(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of ``df`` has, upper or lower case alike."""
+    taken, prefix = [c.lower() for c in df.columns], "_"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder of the cluster; in local mode, where it is unset, a folder of our own."""
     shared = spark.conf.get("spark.checkpoint.dir", "") or ""
@@ -43,6 +51,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if path.rsplit("/", 1)[-1].startswith("driftloom-"):
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 #: Rows of an Arrow batch at most: whole texts can be long, and a batch is held in memory.
 BATCH_ROWS = 1000
 
@@ -64,11 +82,15 @@ def crc32_mod(column: str, n: int) -> F.Column:
 
 
 #: Links up to which one task finds components (16 bytes each); beyond, all tasks do in rounds.
-ONE_TASK_LINKS = 1_000_000
+ONE_TASK_LINKS = 500_000
+
+
+#: Vertices that a task joins at a time.
+FOREST = 2_000_000
 
 
 def _forest(batches):
-    """Each vertex of a task's links with the smallest one that it reaches by them."""
+    """Each vertex of a task's links with the smallest one that it reaches by them; of a bounded number of links at a time."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -79,15 +101,21 @@ def _forest(batches):
             parent[x], x = top, parent[x]
         return top
 
+    def told():
+        at = list(parent)
+        for lo in range(0, len(at), 100_000):
+            part = at[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(map(find, part), pa.int64())], names=["u", "v"])
+        parent.clear()
+
     for batch in batches:
         for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    at = list(parent)
-    for lo in range(0, len(at), 100_000):
-        part = at[lo : lo + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(map(find, part), pa.int64())], names=["u", "v"])
+        if len(parent) >= FOREST:
+            yield from told()
+    yield from told()
 
 
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60, one_task: int = ONE_TASK_LINKS) -> DataFrame:
@@ -126,25 +154,26 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     return roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())
 
 
-def block_rank(df: DataFrame, by: list[str], key: F.Column, blocks: int, rank: str, groups: int) -> DataFrame:
-    """Adds ``rank`` (long, gapless from 0 within ``by``) in the order of (block, key).
+def block_rank(df: DataFrame, by: list[str], key: F.Column, ties: list[F.Column], blocks: int, rank: str, groups: int) -> DataFrame:
+    """Adds ``rank`` (long, gapless from 0 within ``by``) in the order of (block, key, *ties).
 
     ``key`` must be a hash that depends only on a row's columns. Rows of a group are dealt over
     ``blocks`` hash blocks, ranked within each, and shifted by the counts of the blocks before, so a
-    group with a third of all rows is spread over many tasks. Rows with equal keys are ranked in any order.
-    ``groups``: how many there are at most; the blocks' starts are broadcast while they are few.
+    group with a third of all rows is spread over many tasks. ``groups``: how many there are at most; the blocks'
+    starts are broadcast while they are few.
     """
     from pyspark.sql import Window
 
-    keyed = df.withColumn("__key", key).withColumn("__block", F.pmod(F.shiftrightunsigned("__key", 40), F.lit(blocks)))
-    counts = keyed.groupBy(*by, "__block").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*by, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy(*by, "__block").orderBy("__key")
-    ranked = keyed.withColumn("__r", F.row_number().over(within))
-    on = [ranked[c].eqNullSafe(starts[c]) for c in (*by, "__block")]
+    k, block, n, start, r, *t = fresh(df, "key", "block", "n", "start", "r", *[f"tie{x}" for x in range(len(ties))])
+    keyed = df.select("*", key.alias(k), *[tie.alias(x) for tie, x in zip(ties, t, strict=True)]).withColumn(block, F.pmod(F.shiftrightunsigned(k, 40), F.lit(blocks)))
+    counts = keyed.groupBy(*by, block).agg(F.count("*").alias(n))
+    before = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, block, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(*by, block).orderBy(k, *t)
+    ranked = keyed.withColumn(r, F.row_number().over(within))
+    on = [ranked[c].eqNullSafe(starts[c]) for c in (*by, block)]
     out = ranked.join(F.broadcast(starts) if groups * blocks <= 200_000 else starts, on, "inner")
-    return out.select(*[ranked[c] for c in df.columns], (F.col("__start") + F.col("__r") - 1).alias(rank))
+    return out.select(*[ranked[c] for c in df.columns], (F.col(start) + F.col(r) - 1).alias(rank))
 
 
 def bounded(ids: DataFrame, most: int, seed: int, column: str = "doc_id") -> DataFrame:

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import bounded, crc32_mod, small_batches, table, texts_of
+from ._common import crc32_mod, discard, small_batches, table, written
 
 #: Components of a vector; letters of an n-gram.
 DIMENSIONS, WIDTH = 1024, 3
-#: Documents that the prototypes are learned from, at most.
-MOST_DOCUMENTS = 4096
+#: Documents of each label that its prototype is learned from, at most.
+MOST_DOCUMENTS = 1024
+#: Standard deviations below the mean likeness of a language's own documents of like length from which on a text is in none.
+DEVIATIONS = 4.0
+#: Documents of a language and length that make a mean of their own; of fewer, the language's counts.
+ENOUGH = 16
 #: n-gram vectors that a worker keeps, at most.
 KEPT = 40_000
 UNKNOWN = "und"
@@ -28,7 +32,7 @@ class Encoder:
         self._rows: dict[int, int] = {}
         self._letters: dict[int, np.ndarray] = {}
         self._kept = np.zeros((KEPT, dimensions), np.int8)
-        self._alpha = np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000)
+        self._alpha = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
     def _letter(self, c: int) -> np.ndarray:
         if c not in self._letters:
@@ -40,7 +44,7 @@ class Encoder:
     def _gram(self, gram: int) -> np.ndarray:
         out = np.ones(self.dimensions, np.int8)
         for k in range(self.width):
-            out = out * np.roll(self._letter((gram >> (18 * k)) & 0x3FFFF), k)
+            out = out * np.roll(self._letter((gram >> (21 * k)) & 0x1FFFFF), k)
         return out
 
     def letters(self, text: str | None) -> np.ndarray:
@@ -48,7 +52,7 @@ class Encoder:
         if not text:
             return np.zeros(0, np.uint64)
         c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-        c = np.where((c < 0x30000) & self._alpha[np.minimum(c, 0x2FFFF)], c, _SPACE).astype(np.uint64)
+        c = np.where(self._alpha[c], c, _SPACE).astype(np.uint64)
         if not (c != _SPACE).any():
             return np.zeros(0, np.uint64)
         c = np.r_[np.uint64(_SPACE), c, np.uint64(_SPACE)]
@@ -62,7 +66,7 @@ class Encoder:
         n = max(1, len(c) - self.width + 1)
         grams = np.zeros(n, np.uint64)
         for k in range(self.width):
-            grams |= c[k : k + n] << np.uint64(18 * k)
+            grams |= c[k : k + n] << np.uint64(21 * k)
         grams, counts = np.unique(grams, return_counts=True)
         out, at, new = np.zeros(self.dimensions, np.float32), [], []
         for g in grams.tolist():
@@ -90,11 +94,28 @@ def _encoder(*key) -> Encoder:
     return _encoders[key]
 
 
-def learn(docs: DataFrame, label: str = "lang", most: int = MOST_DOCUMENTS, seed: int = 9) -> dict[str, np.ndarray]:
-    """A unit prototype for each label: the bundle of its documents' unit vectors. Null labels teach nothing.
+class Prototypes(dict):
+    """A unit vector for each label; ``likeness`` has the mean and the standard deviation of its own documents' cosines to
+    it, by label and size (the bit length of a text's bytes), as short texts hold few n-grams; and by label for all sizes (None)."""
 
-    At most ``most`` documents are read, chosen by a hash of doc_id; their bundles are added up in 16 tasks,
-    so that the driver gets 16 vectors a label at most.
+    likeness: dict[tuple[str, int | None], tuple[float, float]] = {}
+
+    def bar(self, label: str, text: str, deviations: float) -> float:
+        """The cosine from which on a text counts as one of the label's."""
+        mean, sd = self.likeness.get((label, _size(text))) or self.likeness.get((label, None), (2.0, 0.0))
+        return mean - deviations * sd
+
+
+def _size(text: str) -> int:
+    return len(text.encode("utf-8", "replace")).bit_length()
+
+
+def learn(docs: DataFrame, label: str = "lang", most: int = MOST_DOCUMENTS, seed: int = 9) -> Prototypes:
+    """A prototype for each label: the bundle of its documents' unit vectors. Null labels and null texts teach nothing.
+
+    At most ``most`` documents a label are read, chosen by a hash of doc_id, so that a rare label has as good a
+    prototype as its documents allow; their bundles are added up in 16 tasks, and the driver gets 16 vectors a label at
+    most. How like its documents are to it is counted over the same documents.
     """
     key = (DIMENSIONS, WIDTH, seed)
 
@@ -109,12 +130,31 @@ def learn(docs: DataFrame, label: str = "lang", most: int = MOST_DOCUMENTS, seed
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[k].astype("<f8").tobytes() for k in names], pa.binary())], names=["label", "v"])
 
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text", F.col(label).alias("label")).where("label is not null and text is not null")
-    ids = bounded(docs.select("doc_id"), most, seed).distinct()
+    docs = docs.select("doc_id", "text", F.col(label).cast("string").alias("label")).where("label is not null and text is not null")
+    counts = docs.groupBy("label").agg(F.count("*").alias("n"))  # a row for each label
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
+    some = docs.join(F.broadcast(counts), "label").withColumn("place", place).where(F.col("place") * F.col("n") < (1 << 30) * 0.95 * most)
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("place", "doc_id"))).where(F.col("k") <= most)
+    some = written(some.select("text", "label").repartition(16), "language-sample")
     sums: dict[str, np.ndarray] = {}
-    for r in texts_of(docs, ids).select("text", "label").mapInArrow(bundle, "label string, v binary").collect():
+    for r in some.mapInArrow(bundle, "label string, v binary").collect():
         sums[r["label"]] = sums.get(r["label"], 0) + np.frombuffer(r["v"], "<f8")
-    return {k: v / np.linalg.norm(v) for k, v in sorted(sums.items()) if np.linalg.norm(v)}
+    out = Prototypes({k: v / np.linalg.norm(v) for k, v in sorted(sums.items()) if np.linalg.norm(v)})
+
+    def likeness(batches):
+        for b in batches:
+            found = []
+            for text, lang in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
+                v = _encoder(*key)(text)
+                if v is not None and (size := np.linalg.norm(v)) and lang in out:
+                    found.append((lang, _size(text), float(out[lang] @ v / size)))
+            columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["label", "size", "cosine"])
+
+    rows = some.mapInArrow(likeness, "label string, size int, cosine double").rollup("label", "size").agg(F.count("*").alias("n"), F.avg("cosine").alias("mean"), F.stddev_pop("cosine").alias("sd"))
+    out.likeness = {(r["label"], r["size"]): (r["mean"], r["sd"]) for r in rows.collect() if r["label"] is not None and (r["size"] is None or r["n"] >= ENOUGH)}
+    discard(some)
+    return out
 
 
 def _predictor(prototypes: dict[str, np.ndarray], seed: int):
@@ -157,13 +197,23 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 9)
     return docs.select("doc_id", "text").mapInArrow(predicted, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = 0.5, seed: int = 9) -> DataFrame:
-    """The documents with a language: not ``und``, and a score over ``least`` (0.5: a cosine above 0). All columns as they are."""
+def keep_identified(docs: DataFrame, prototypes: Prototypes, label: str = "lang", deviations: float = DEVIATIONS, seed: int = 9) -> DataFrame:
+    """The documents in one of the languages; a null ``label`` becomes the predicted one. All other columns as they are.
+
+    Rejected are texts without a letter, and those less like the language that they are most like than
+    ``deviations`` standard deviations below the mean of that language's own documents of like length. Without prototypes none is kept.
+    """
     predict = _predictor(prototypes, seed)
+    at = docs.columns.index(label) if label in docs.columns else None
 
     def kept(batches):
         for b in batches:
-            yield b.filter(pa.array([x > least for _, x in predict(b.column("text").to_pylist())], pa.bool_()))
+            texts = b.column("text").to_pylist()
+            found = predict(texts)
+            if at is not None:
+                filled = [old if old is not None else new for old, (new, _) in zip(b.column(at).to_pylist(), found, strict=True)]
+                b = b.set_column(at, b.schema.field(at), pa.array(filled, b.schema.field(at).type))
+            yield b.filter(pa.array([x != UNKNOWN and 2 * s - 1 >= prototypes.bar(x, t, deviations) - 1e-6 for t, (x, s) in zip(texts, found, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
 

@@ -1,44 +1,42 @@
 """Packing documents into token windows with lexically near neighbours.
 
-Documents are cut into full windows and a rest. The rests are dealt over shards by a hash; each shard holds a
-BM25 inverted index of its rests, with the term statistics of the whole corpus. From the longest unused rest
-on, the window of each seed is filled by its best unused neighbours, the last of which is cut where the
-window ends; what is left of it stays in the index.
-
-The search goes over all shards, in rounds: a round's seeds are scored against every unused rest, the best of all
-shards are merged, and the windows are filled one after another. A seed whose best have been taken by
-windows of the same round waits for the next one, so each window holds the best rests that were unused.
+Documents are cut into full windows and a rest. The rests are put in a lexical order: each takes a few of its terms
+by weighted sampling (the same random numbers for all rests, the BM25 weights of the whole corpus), so that rests
+that share much of their weight tend to take the same terms, and rests are sorted by what they took. Runs of
+``SHARD`` rests of that order are the shards of a BM25 inverted index. From the longest unused rest on, the window
+of each seed is filled by its best unused neighbours of the shard, the last of which is cut where the window
+ends; what is left of it stays in the index. What a shard can't fill goes on to the next one of the task.
+
+The search is over a shard and not over the corpus, as the buffer of documents in published BM25 packing is: a search
+over all unused rests for each window takes work that grows with the square of the corpus.
 """
 
 from __future__ import annotations
 
 import base64
 import math
-import sys
-import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import scratch, small_batches, table, written
+from ._common import small_batches, table, written
 
 WINDOW = 2048
 #: Id behind each document.
 END = 1
-#: Rests that a shard holds, about.
-SHARD = 1536
-#: Neighbours that a round finds for all its seeds together, and for one of them at first.
-ROUND_NEIGHBOURS, FIRST_NEIGHBOURS = 1 << 18, 32
-#: Seeds that are scored at a time.
-SEEDS = 256
+#: Rests of a shard of the index, and of a task.
+SHARD, PER_TASK = 1536, 6144
 #: BM25's two constants.
 K1, B = 1.2, 0.75
-#: Space-bound pieces of text whose ids a worker keeps, at most.
-KEPT_PIECES = 400_000
+#: Terms that a rest takes for its place in the lexical order.
+TAKEN = 4
+#: Characters without white space from which on a text's ids come from ``tokenizers``, which is slower but merges in a heap.
+LONG_PIECE = 10_000
+
 
 def _vocabulary_path(name: str) -> str:
     import public_tokenizers
@@ -47,66 +45,28 @@ def _vocabulary_path(name: str) -> str:
 
 
 class Tokens:
-    """Byte-level BPE ids of a text as little-endian 16-bit numbers, by ``tokenizers``, special tokens read as text.
+    """Byte-level BPE ids of a text, those of ``tokenizers`` with add_special_tokens=False: the text of a special token is its id.
 
-    The pre-tokenizer never joins what a blank or a line end separates, save a blank and the word behind it; so in
-    texts whose white space is single blanks and line ends, each such piece has ids of its own, which are kept. Nor
-    does it join a word of letters and a punctuation mark. A word of letters is one piece for the merges, and
-    these are done by ``tiktoken``, from the same vocabulary, in a fraction of the time.
+    They are made by ``tiktoken`` from the same vocabulary as ranks, in a fraction of the time.
     """
 
     def __init__(self, path: str, ranks_path: str):
+        import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
-        self._whole = Tokenizer.from_file(path)
-        self._whole.encode_special_tokens = True
+        self._tokenizer = Tokenizer.from_file(path)
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        if max(ranks.values()) >= 1 << 16:
+        special = {t.content: k for k, t in self._tokenizer.get_added_tokens_decoder().items()}
+        if max([*ranks.values(), *special.values()]) >= 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        single = tiktoken.Encoding("ranks", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        outer = self
-
-        class Pieces(dict):
-            def __init__(self, before: str):
-                self.before = before
-
-            def __missing__(self, piece: str) -> bytes:
-                if piece.isalpha():
-                    ids = outer.bytes_of(single((self.before + piece).encode()))
-                elif piece[-1:] in ".,!?;:" and piece[:-1].isalpha():
-                    return self[piece[:-1]] + outer.marks[piece[-1]]
-                else:
-                    ids = outer.whole(self.before + piece)
-                if len(self) < KEPT_PIECES and len(piece) < 64:
-                    self[piece] = ids
-                return ids
-
-        self.marks = {c: self.whole(c) for c in ".,!?;:"}
-        self._first, self._spaced = Pieces(""), Pieces(" ")
-        self._line = self.whole("\n")
-
-    @staticmethod
-    def bytes_of(ids: list[int]) -> bytes:
-        out = array("H", ids)
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
-
-    def whole(self, text: str) -> bytes:
-        return self.bytes_of(self._whole.encode(text, add_special_tokens=False).ids)
-
-    def __call__(self, text: str) -> bytes:
-        words, between = text.split(), text.count(" ") + text.count("\n")
-        if len(words) != between + 1 or len("".join(words)) + between != len(text):  # other white space, or more in a row
-            return self.whole(text)
-        first, spaced = self._first, self._spaced
-        lines = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            lines.append(first[words[0]] + b"".join(map(spaced.__getitem__, words[1:])))
-        return self._line.join(lines)
+        self._fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def __call__(self, text: str) -> np.ndarray:
+        if len(text) >= LONG_PIECE and max(map(len, text.split()), default=0) >= LONG_PIECE:
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
+        return self._fast.encode_to_numpy(text, allowed_special="all").astype(np.uint16)
 
 
 _tokens: dict[tuple[str, str], Tokens] = {}
@@ -119,9 +79,9 @@ def tokens(*paths: str) -> Tokens:
 
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long"
-_CUT = f"{_PIECE}, kind int, ids binary, terms array<int>, counts array<int>"
+_CUT = f"{_PIECE}, at long, kind int, ids binary, terms array<int>, counts array<int>"
 _PA_PIECE = pa.schema([(c.split()[0], pa.int64()) for c in _PIECE.split(", ")])
-_PA_CUT = pa.schema([*_PA_PIECE, ("kind", pa.int32()), ("ids", pa.binary()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+_PA_CUT = pa.schema([*_PA_PIECE, ("at", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -152,28 +112,48 @@ def _cut(paths: tuple[str, str], window: int):
         frequency = np.zeros(1 << 16, np.int64)
         for b in batches:
             out = []
-            for doc, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-                ids = np.append(np.frombuffer(tokens(*paths)(text or ""), "<u2"), np.uint16(END))
+            for doc, row, at, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "at", "text")), strict=True):
+                ids = np.append(tokens(*paths)(text or ""), np.uint16(END))
                 full = len(ids) // window
                 for k in range(full):
-                    out.append((doc, k * window, window, _crc(ids[k * window : (k + 1) * window]), len(ids), None, 0, row, 0, None, None, None))
+                    out.append((doc, k * window, window, _crc(ids[k * window : (k + 1) * window]), len(ids), None, 0, row, at, 0, None, None, None))
                 rest = ids[full * window :]
                 if len(rest):
                     frequency[_distinct(rest)[0]] += 1
-                    out.append((doc, full * window, len(rest), None, len(ids), None, None, row, 1, rest.tobytes(), None, None))
+                    out.append((doc, full * window, len(rest), None, len(ids), None, None, row, at, 1, rest.astype("<u2").tobytes(), None, None))
             for lo in range(0, len(out), 512):
                 yield _table(out[lo : lo + 512], _PA_CUT)
         terms = np.flatnonzero(frequency)
-        yield _table([(None,) * 8 + (2, None, terms.tolist(), frequency[terms].tolist())], _PA_CUT)
+        yield _table([(None,) * 9 + (2, None, terms.tolist(), frequency[terms].tolist())], _PA_CUT)
 
     return cut
 
 
+def inverse_frequency(frequency: np.ndarray, n_docs: int) -> np.ndarray:
+    """BM25's weight of a term by the number of documents that hold it."""
+    return np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5)).clip(0)
+
+
+def _weights(idf, count, length, mean_length):
+    return idf * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean_length))
+
+
+def _exponentials(seed: int = 7) -> np.ndarray:
+    return np.random.default_rng(seed).exponential(size=(TAKEN, 1 << 16)).astype(np.float32)
+
+
+def taken_terms(ids: np.ndarray, idf: np.ndarray, mean_length: float, exponentials: np.ndarray) -> list[int]:
+    """A sample of a rest's terms: each is taken by the smallest of the terms' exponential numbers over their weights, so
+    two rests take the same term as likely as their weights overlap."""
+    terms, count = _distinct(ids)
+    weight = _weights(idf[terms], count, len(ids), mean_length) + np.float32(1e-9)
+    return terms[(exponentials[:, terms] / weight).argmin(1)].tolist()
+
+
 class Index:
     """A shard's inverted index of rests: for each term the rests that hold it, with their BM25 weights."""
 
-    def __init__(self, rests: list[np.ndarray], frequency: np.ndarray, n_docs: int, mean_length: float):
-        self.idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5)).clip(0)
+    def __init__(self, rests: list[np.ndarray], idf: np.ndarray, mean_length: float):
         term, doc, count = [], [], []
         self.terms = []
         for k, ids in enumerate(rests):
@@ -183,8 +163,7 @@ class Index:
             doc.append(np.full(len(t), k, np.int64))
             count.append(c)
         term, doc, count = np.concatenate(term), np.concatenate(doc), np.concatenate(count)
-        length = np.array([len(x) for x in rests])[doc]
-        weight = self.idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean_length))
+        weight = _weights(idf[term], count, np.array([len(x) for x in rests])[doc], mean_length)
         order = np.argsort(term, kind="stable")
         term, doc, weight = term[order], doc[order], weight[order]
         self.n = len(rests)
@@ -209,155 +188,27 @@ class Index:
             out = out + np.bincount(doc, weight, self.n)
         return out
 
-    def scores_of(self, queries: list[np.ndarray]) -> np.ndarray:
-        """``scores`` of several queries, a row each."""
-        out, often = np.zeros((len(queries), self.n), np.float32), np.zeros((len(queries), len(self._many)), np.float32)
-        for k, terms in enumerate(queries):
-            rows = self._row[terms]
-            often[k, rows[rows >= 0]] = 1
-            terms = terms[rows < 0].astype(np.int64)
-            lo = self._at[terms]
-            n = self._at[terms + 1] - lo
-            if n.sum():
-                at = np.arange(n.sum()) + np.repeat(lo - n.cumsum() + n, n)
-                out[k] = np.bincount(self._doc[at], self._weight[at], self.n)
-        return out + often @ self._many
-
-
-def _highest(keys: np.ndarray, most: int) -> np.ndarray:
-    """The ``most`` highest keys of each row, in any order."""
-    return keys if keys.shape[1] <= most else np.partition(keys, keys.shape[1] - most, axis=1)[:, -most:]
-
-
-_LOW = (1 << 32) - 1
-
-
-def _split(ids: bytes, lengths: bytes) -> list[np.ndarray]:
-    ends = np.cumsum(np.frombuffer(lengths, "<u4"))
-    return np.split(np.frombuffer(ids, "<u2"), ends[:-1])
-
-
-def _found(held: DataFrame, first: dict[int, int], left: np.ndarray, seeds: np.ndarray, most: int, frequency, n: int, mean: float) -> np.ndarray:
-    """The ``most`` best unused rests for each seed, of all shards: a row of keys each, best first, -1 where there are no more.
-
-    A key is the score in thousandths and, below it, how far the rest lies behind the seed: seeds with equal
-    neighbours begin with different ones.
-    """
-    context = held.sparkSession.sparkContext
-    sent = context.broadcast((first, seeds))
-
-    def terms(batches):
-        first, seeds = sent.value
-        for b in batches:
-            out = []
-            for shard, ids, lengths in zip(*(b.column(c).to_pylist() for c in ("shard", "ids", "lengths")), strict=True):
-                lo, size = first[shard], len(lengths) // 4
-                mine = np.flatnonzero((seeds >= lo) & (seeds < lo + size))
-                if len(mine):
-                    rests = _split(ids, lengths)
-                    out += [(k, _distinct(rests[seeds[k] - lo])[0].tobytes()) for k in mine.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary()))], names=["seed", "terms"])
-
-    queries: list = [None] * len(seeds)
-    for r in held.mapInArrow(terms, "seed long, terms binary").collect():  # the seeds of a round bound them
-        queries[r["seed"]] = np.frombuffer(r["terms"], "<u2")
-    asked = context.broadcast((left, queries))
-
-    def search(batches):
-        (first, seeds), (left, queries) = sent.value, asked.value
-        best = np.full((len(seeds), most), -1, np.int64)
-        for b in batches:
-            for shard, ids, lengths in zip(*(b.column(c).to_pylist() for c in ("shard", "ids", "lengths")), strict=True):
-                lo, size = first[shard], len(lengths) // 4
-                free = np.flatnonzero(left[lo : lo + size])
-                if not len(free):
-                    continue
-                rests = _split(ids, lengths)
-                index = Index([rests[k] for k in free.tolist()], frequency.value, n, mean)
-                for k in range(0, len(seeds), SEEDS):
-                    behind = (lo + free[None] - seeds[k : k + SEEDS, None]) % n
-                    keys = (np.rint(1000.0 * index.scores_of(queries[k : k + SEEDS])).astype(np.int64) << 32) | (_LOW - behind)
-                    keys[behind == 0] = -1  # the seed itself
-                    best[k : k + SEEDS] = _highest(np.hstack([best[k : k + SEEDS], keys]), most)
-        for k in range(0, len(seeds), SEEDS):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([best[k : k + SEEDS].tobytes()], pa.binary())], names=["at", "keys"])
-
-    def merged(t: pa.Table) -> pa.Table:
-        best = None
-        for x in t.column("keys").to_pylist():
-            x = np.frombuffer(x, np.int64).reshape(-1, most)
-            best = x if best is None else _highest(np.hstack([best, x]), most)
-        return pa.table({"at": pa.array(t.column("at")[:1].to_pylist(), pa.int64()), "keys": pa.array([best.tobytes()], pa.binary())})
-
-    out = np.full((len(seeds), most), -1, np.int64)
-    for r in held.mapInArrow(search, "at long, keys binary").groupBy("at").applyInArrow(merged, "at long, keys binary").collect():
-        out[r["at"] : r["at"] + SEEDS] = np.frombuffer(r["keys"], np.int64).reshape(-1, most)
-    sent.unpersist()
-    asked.unpersist()
-    return -np.sort(-out, axis=1)
-
-
-def packed_by_rounds(lengths: np.ndarray, found, window: int, neighbours: int = ROUND_NEIGHBOURS, each: int = FIRST_NEIGHBOURS):
-    """Windows as in ``packed``, a list for each round: ``found(left, seeds, most)`` gives the seeds' best unused rests.
-
-    The first seed of a round finds its neighbours as they are; a later one waits if those that it found are used
-    up before its window is full. Where many wait, the next round has fewer seeds and finds more for each.
-    """
-    n = len(lengths)
-    left, used = lengths.astype(np.int32), np.zeros(n, np.int32)
-    order, cut = np.argsort(-left, kind="stable"), []
-    while True:
-        order = order[left[order] > 0]
-        if not len(order):
-            return
-        cut = [k for k in dict.fromkeys(reversed(cut)) if left[k]]
-        seeds = np.array(list(dict.fromkeys(cut + order[: neighbours // each].tolist()))[: max(1, neighbours // each)], np.int64)
-        keys = found(left, seeds, each)
-        round_, tried = [], 0
-        for seed, row in zip(seeds.tolist(), keys, strict=True):
-            if not left[seed]:
-                continue
-            tried += 1
-            row = row[row >= 0]
-            room, pieces = window - int(left[seed]), [(seed, int(left[seed]))]
-            for k in ((seed + _LOW - (row & _LOW)) % n).tolist() if room else ():
-                take = min(room, int(left[k]))
-                if take:
-                    pieces.append((k, take))
-                    room -= take
-                    if not room:
-                        break
-            if room and len(row) == each:
-                continue  # there may be more
-            for k, take in pieces:
-                left[k] -= take
-                used[k] += take
-            if left[pieces[-1][0]]:
-                cut.append(pieces[-1][0])
-            round_.append([(k, int(used[k]) - take, take) for k, take in pieces])
-        if 2 * len(round_) < tried:
-            each = min(each * 4, max(window, FIRST_NEIGHBOURS))
-        elif 10 * len(round_) > 9 * tried:
-            each = max(each // 2, FIRST_NEIGHBOURS)
-        yield round_
-
 
-def packed(lengths: list[int], neighbours, window: int) -> list[list[tuple[int, int, int]]]:
+def packed(lengths: list[int], neighbours, window: int, begun: int = 0) -> list[list[tuple[int, int, int]]]:
     """Windows of pieces (rest, start in the rest, length): greedy, each from the longest unused rest.
 
     ``neighbours(seed)`` scores all rests. Every window but the last is full, as a neighbour is cut at its end.
+    The first ``begun`` rests come from a shard before and are seeds before all others.
     """
     left, used = np.array(lengths), np.zeros(len(lengths), np.int64)
     order, out, at = np.argsort(-left, kind="stable"), [], 0
-    cut: list[int] = []
+    cut = list(range(begun))[::-1]
     while True:
         while at < len(order) and not left[order[at]]:
             at += 1
         if at == len(order):
             return out
         seed = int(order[at])
-        if cut:  # what a window's end has cut off a rest starts the next one
-            seed = cut.pop()
+        while cut:  # what a window's end has cut off a rest starts the next one
+            k = cut.pop()
+            if left[k]:
+                seed = k
+                break
         room, pieces = window, []
         take = min(room, int(left[seed]))
         pieces.append((seed, int(used[seed]), take))
@@ -380,107 +231,122 @@ def packed(lengths: list[int], neighbours, window: int) -> list[list[tuple[int,
         out.append(pieces)
 
 
-def pack(docs: DataFrame, vocabulary: tuple[str, str] | None = None, window: int = WINDOW, per_shard: int = SHARD, in_order: bool = False) -> DataFrame:
+def _fill(sent, mean: float, window: int, per_shard: int):
+    """Windows of the rests of a task, shard by shard in the order that they come in; full windows pass through, with numbers in the same order.
+
+    Sequence ids: the task's number above 2^33, counted up in the task; negative, or in the given order positive.
+    """
+
+    def fill(batches):
+        sequence = TaskContext.get().partitionId() << 33
+        idf = sent.value
+        rows: list[tuple] = []  # doc_id, row, start, doc_tokens, ids
+        begun, out = 0, []
+
+        def shard(last: bool):
+            nonlocal rows, begun, sequence
+            ids = [r[4] for r in rows]
+            index = None
+
+            def scores(seed: int) -> np.ndarray:
+                nonlocal index
+                index = index or Index(ids, idf, mean)
+                return index.scores(index.terms[seed])
+
+            windows, kept = packed([len(x) for x in ids], scores, window, begun), []
+            if not last and windows and sum(p[2] for p in windows[-1]) < window:
+                kept = windows.pop()
+            for pieces in windows:
+                at = 0
+                for rest, start, length in pieces:
+                    doc, row, first, doc_tokens, x = rows[rest]
+                    out.append((doc, first + start, length, _crc(x[start : start + length]), doc_tokens, sequence, at, row))
+                    at += length
+                sequence += 1
+            rows = [(*rows[k][:2], rows[k][2] + start, rows[k][3], rows[k][4][start : start + n]) for k, start, n in kept]
+            begun = len(rows)
+
+        for b in batches:
+            columns = (b.column(c).to_pylist() for c in ("kind", "doc_id", "row", "start", "doc_tokens", "length", "ids_crc32", "ids"))
+            for kind, doc, row, start, doc_tokens, length, crc, ids in zip(*columns, strict=True):
+                if kind == 0:
+                    out.append((doc, start, length, crc, doc_tokens, sequence, 0, row))
+                    sequence += 1
+                    continue
+                rows.append((doc, row, start, doc_tokens, np.frombuffer(ids, "<u2")))
+                if len(rows) >= per_shard + begun:
+                    shard(False)
+            if len(out) > 4096:
+                yield _table(out, _PA_PIECE)
+                out.clear()
+        if rows:
+            shard(True)
+        yield _table(out, _PA_PIECE)
+
+    return fill
+
+
+def pack(docs: DataFrame, vocabulary: tuple[str, str] | None = None, window: int = WINDOW, per_shard: int = SHARD, order: Column | None = None, exhaustive: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row - all long) of ``docs`` (doc_id, text).
 
     Each document is its ids and END; each id is in one piece, and a sequence's offsets have no gaps. All
-    sequences are full but one (``in_order``: one a shard). ``row`` tells rows of one doc_id apart. Null and empty texts are
-    END alone; ``vocabulary``: the paths of one vocabulary's two files. Equal and very long texts are treated like any other; other columns are not read; an empty
-    input gives an empty result. Sequence ids are unique, not consecutive. ``in_order``: a shard holds rows that
-    stand together in the input, so that windows keep to its mix of sources.
+    sequences are full but one a task of PER_TASK rests. ``row`` tells rows of one doc_id apart. Null and empty texts are
+    END alone; ``vocabulary``: the paths of one vocabulary's two files. Equal texts and very long ones are treated like
+    any other, a null doc_id stays null; neighbours of equal scores are taken in the order of the shard. Other columns are not read; an empty
+    input gives an empty result. Sequence ids are unique, not consecutive. ``order`` (long): shards are runs of
+    the documents in that order in place of the lexical one, and sequence ids grow with it. ``exhaustive``: each window
+    gets the best unused rests of the whole corpus; work grows with its square, and the driver holds all rests' lengths.
     """
     paths = vocabulary or (_vocabulary_path("byte_bpe_50k.json"), _vocabulary_path("byte_bpe_50k.tiktoken"))
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
+    spark = docs.sparkSession
+    small_batches(spark)
+    at = F.lit(None) if order is None else order
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", at.cast("long").alias("at")).withColumn("row", F.monotonically_increasing_id())
     cut = written(docs.mapInArrow(_cut(paths, window), _CUT), "packing-cut")
     rests = cut.where("kind = 1")
     n, total = rests.agg(F.count("*"), F.sum("length")).first()
-    # Full windows count from zero up, the shards' windows from zero down.
-    whole = cut.where("kind = 0").select(*[f.name for f in _PA_PIECE]).withColumn("sequence_id", F.monotonically_increasing_id())
+    whole = cut.where("kind = 0").select(*[f.name for f in _PA_PIECE])
     if not n:
-        return whole
+        return whole.withColumn("sequence_id", F.monotonically_increasing_id())
     terms = cut.where("kind = 2").select(F.arrays_zip("terms", "counts").alias("x")).select(F.inline("x"))
     frequency = np.zeros(1 << 16)  # the vocabulary bounds what comes to the driver
     for r in terms.groupBy("terms").agg(F.sum("counts").alias("n")).collect():
         frequency[r["terms"]] = r["n"]
-    sent = docs.sparkSession.sparkContext.broadcast(frequency.astype(np.float32))
-    shards = max(1, math.ceil(n / per_shard))
-    mean = total / n
-
-    if not in_order:
-        return _pack_all(rests.withColumn("shard", F.pmod(F.xxhash64("row", "doc_id"), F.lit(shards)).cast("int")), sent, n, mean, shards, window).unionByName(whole)
+    sent = spark.sparkContext.broadcast(inverse_frequency(frequency, n).astype(np.float32))
+    mean, parts = total / n, max(1, math.ceil(n / PER_TASK))
+    columns = ["kind", "doc_id", "row", "start", "doc_tokens", "length", "ids_crc32", "ids"]
 
-    def fill(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("row", "ascending")])
-        shard = t.column("shard")[0].as_py()
-        rows = t.select(["doc_id", "row", "start", "doc_tokens"]).to_pylist()
-        ids = [np.frombuffer(x, "<u2") for x in t.column("ids").to_pylist()]
-        index = Index(ids, sent.value, n, mean)
-        out = []
-        for k, pieces in enumerate(packed([len(x) for x in ids], lambda s: index.scores(index.terms[s]), window)):
-            at = 0
-            for rest, start, length in pieces:
-                r = rows[rest]
-                crc = _crc(ids[rest][start : start + length])
-                out.append((r["doc_id"], r["start"] + start, length, crc, r["doc_tokens"], -1 - (shard << 20) - k, at, r["row"]))
-                at += length
-        return pa.Table.from_batches([_table(out, _PA_PIECE)])
+    if exhaustive:
+        from .exhaustive import pack_all
 
-    rests = rests.withColumn("shard", F.expr(f"row div {per_shard}"))
-    return rests.select("shard", "doc_id", "row", "start", "doc_tokens", "ids").groupBy("shard").applyInArrow(fill, _PIECE).unionByName(whole)
+        shards = max(1, math.ceil(n / per_shard))
+        rests = rests.withColumn("shard", F.pmod(F.xxhash64("row", "doc_id"), F.lit(shards)).cast("int"))
+        return pack_all(rests, sent, n, mean, shards, window).unionByName(whole.withColumn("sequence_id", F.monotonically_increasing_id()))
+    if order is not None:
+        rows = cut.where("kind < 2").select("at", *columns)
+        return _in_parts(rows, parts, "at", "row", "start").select(*columns).mapInArrow(_fill(sent, mean, window, per_shard), _PIECE)
 
+    names = [f"k{k}" for k in range(TAKEN)]
 
-_HELD = "shard int, ids binary, lengths binary, doc_id array<long>, row array<long>, start array<long>, doc_tokens array<long>"
-_PA_PLACE = pa.schema([("shard", pa.int32()), ("rest", pa.int32()), *((c, pa.int64()) for c in ("used", "length", "sequence_id", "offset"))])
-
-
-def _pack_all(rests: DataFrame, frequency, n: int, mean: float, shards: int, window: int) -> DataFrame:
-    """Pieces of all rests, each window from the best unused rests of all shards.
-
-    The driver holds the lengths of all rests (8 bytes each) and a round's neighbours; ids stay in the shards.
-    """
-    spark = rests.sparkSession
-
-    def gathered(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("row", "ascending")])
-        ids = t.column("ids").to_pylist()
-        whole = [t.column("shard")[0].as_py(), b"".join(ids), np.array([len(x) // 2 for x in ids], "<u4").tobytes()]
-        whole += [t.column(c).to_pylist() for c in ("doc_id", "row", "start", "doc_tokens")]
-        kinds = (pa.int32(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 4)
-        return pa.Table.from_arrays([pa.array([x], k) for x, k in zip(whole, kinds, strict=True)], names=[c.split()[0] for c in _HELD.split(", ")])
-
-    dealt = rests.select("shard", "doc_id", "row", "start", "doc_tokens", "ids").repartition(min(shards, 4 * spark.sparkContext.defaultParallelism), "shard")
-    held = written(dealt.groupBy("shard").applyInArrow(gathered, _HELD), "packing-shards")
-    lengths, first, at = [], {}, 0
-    for r in held.select("shard", "lengths").orderBy("shard").collect():
-        first[r["shard"]] = at
-        lengths.append(np.frombuffer(r["lengths"], "<u4"))
-        at += len(lengths[-1])
-    shard_of, starts = np.array(list(first), np.int32), np.array(list(first.values()), np.int64)
-    search = held.select("shard", "ids", "lengths")
-    path, sequence = f"{scratch(spark)}/driftloom-packing-places-{uuid.uuid4().hex}", 0
-    for windows in packed_by_rounds(np.concatenate(lengths), lambda left, seeds, most: _found(search, first, left, seeds, most, frequency, n, mean), window):
-        places = []
-        for pieces in windows:
-            sequence, offset = sequence - 1, 0
-            for rest, used, length in pieces:
-                k = int(np.searchsorted(starts, rest, "right")) - 1
-                places.append((int(shard_of[k]), rest - int(starts[k]), used, length, sequence, offset))
-                offset += length
-        if places:
-            spark.createDataFrame(pa.Table.from_batches([_table(places, _PA_PLACE)])).coalesce(1).write.mode("append").parquet(path)
-    places = spark.read.parquet(path)
-
-    def pieces(held: pa.Table, places: pa.Table) -> pa.Table:
-        r = {c: held.column(c)[0].as_py() for c in held.column_names}
-        ids, out = _split(r["ids"], r["lengths"]), []
-        for p in places.to_pylist():
-            k, used, length = p["rest"], p["used"], p["length"]
-            crc = _crc(ids[k][used : used + length])
-            out.append((r["doc_id"][k], r["start"][k] + used, length, crc, r["doc_tokens"][k], p["sequence_id"], p["offset"], r["row"][k]))
-        return pa.Table.from_batches([_table(out, _PA_PIECE)])
-
-    return held.groupBy("shard").cogroup(places.groupBy("shard")).applyInArrow(pieces, _PIECE)
+    def keyed(batches):
+        exponentials = _exponentials()
+        for b in batches:
+            taken = [taken_terms(np.frombuffer(x, "<u2"), sent.value, mean, exponentials) for x in b.column("ids").to_pylist()]
+            keys = [pa.array([t[k] for t in taken], pa.int32()) for k in range(TAKEN)]
+            yield pa.RecordBatch.from_arrays([*keys, *[b.column(c) for c in columns]], names=[*names, *columns])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rests.schema.fields}
+    keys = rests.select(*columns).mapInArrow(keyed, ", ".join([*[f"{x} int" for x in names], *[f"{c} {kinds[c]}" for c in columns]]))
+    # Rests that took the same terms lie in the order of a hash, so that a great many of them are split.
+    keys = written(keys.withColumn("h", F.xxhash64("row", "doc_id")), "packing-keys")
+    filled = _in_parts(keys, parts, *names, "h", "row").select(*columns).mapInArrow(_fill(sent, mean, window, per_shard), _PIECE)
+    # Full windows count from zero up, the others from zero down.
+    filled = filled.withColumn("sequence_id", -1 - F.col("sequence_id"))
+    return filled.unionByName(whole.withColumn("sequence_id", F.monotonically_increasing_id()))
+
+
+def _in_parts(rows: DataFrame, parts: int, *by: str) -> DataFrame:
+    return rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
