@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftloom.llm import jaccard_join, language_id, mixing, packing, quality_classifier
-from driftloom.llm._common import shuffle_partitions, table, written
+from driftloom.llm._common import discard, shuffle_partitions, table, written
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language, by prototypes learned from the labelled ones."""
+    """Documents in one of the languages of the labelled ones; those without a label get theirs."""
     return language_id.keep_identified(docs, language_id.learn(docs))
 
 
@@ -24,13 +25,13 @@ def first_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the source mix; packing keeps to it."""
+    """All documents, written in the order of the source mix, which ``mixing.written_position`` reads back."""
     return mixing.mixed(docs, shuffle_partitions(spark))
 
 
 def in_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in token windows; neighbours come from the same stretch of the mix."""
-    return packing.pack(docs, in_order=True).drop("row")
+    """Pieces of the documents in token windows, in the order of the mix; neighbours come from the same stretch of it."""
+    return packing.pack(mixing.written_position(docs), order=F.col("position")).drop("row")
 
 
 STAGES = [
@@ -46,8 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage is written as Parquet and read again as the next one's documents."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; each stage is written as Parquet and read again as the next one's documents, then deleted."""
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
+        before = docs
     return docs
