@@ -132,18 +132,21 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         f"{name}-edges",
     )
     if e.count() <= one_task:
-        return written(e.coalesce(1).mapInArrow(_forest, "u long, v long").select(F.col("u").alias("v"), F.col("v").alias("root")), f"{name}-roots")
+        roots = written(e.coalesce(1).mapInArrow(_forest, "u long, v long").select(F.col("u").alias("v"), F.col("v").alias("root")), f"{name}-roots")
+        discard(e)
+        return roots
     e = written(e.mapInArrow(_forest, "u long, v long").where("u <> v").distinct(), f"{name}-forest")
     print_of = None
     for k in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        first = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-low")
+        large = both.where("v > u").join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where("u <> v").distinct(), f"{name}-large")
         low = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v")))
-        e = written(small.where("u <> v").distinct(), f"{name}-small")
+        before, e = (e, first, large, low), written(small.where("u <> v").distinct(), f"{name}-small")
+        discard(*before)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("u") % 1000003)).first()
         if now == print_of:
             break

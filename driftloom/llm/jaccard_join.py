@@ -1,13 +1,15 @@
 """Exact n-gram Jaccard self-join: prefix tiles by size, hashed bitmaps as a bound, sorted-array intersection.
 
-Copies of one text are first brought together. Every other text posts the smallest hashes of its shingle
-set - a prefix so long that two texts over the threshold share a posted hash - to the tile of each hash. A
+Copies of one text are first brought together. A sketch then counts the shingles of all texts: cells that hold
+more than an even share are common, and every text orders its hashes with the common ones last. It posts the first of them -
+a prefix so long that two texts over the threshold share a posted hash - to the tile of each hash. A
 tile's documents are sorted by set size, and only sizes that can reach the threshold meet. A short tile gives
 all its pairs. A tile of more than ``SHORT`` documents gives pairs with the smallest document of each
 size band alone, and its documents go on, with more of their hashes, to further rounds, in which documents that
 are linked already need not meet and tiles of widely shared hashes are passed over wherever the document has
-enough others. What is left then (documents made of widely shared shingles nearly throughout) meets in
-size-banded tiles of two bitmap blocks each. No step drops a pair over the threshold.
+enough others. A common hash never gathers its documents in one tile: each task links its own, and passes on the
+smallest of each size band alone. What is left then (documents made of widely shared shingles nearly throughout, that
+are not linked yet) meets in size-banded tiles of two bitmap blocks each. No step drops a pair over the threshold.
 
 Bitmaps are made with the postings; hashes are made anew from the texts for the few documents whose
 bitmaps leave a pair open, which costs less than keeping the hashes of all.
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import components, shuffle_partitions, small_batches, table, written
+from ._common import components, discard, shuffle_partitions, small_batches, table, written
 from ._text import mixed, shingle_set
 
 #: Documents of a tile up to which all its pairs are compared: in the first round, and in further ones.
@@ -33,6 +35,8 @@ BROADCAST_IDS = 1_000_000
 BLOCK = 2048
 #: Postings that a task gathers before it hands them on.
 GATHERED = 600_000
+#: Cells of the sketch (a byte each in every task), and how many times the mean a common one holds.
+CELLS, COMMON = 1 << 22, 4
 #: Of a document's hashes, the shares among which the further rounds look for settled tiles.
 ROUNDS = (0.3, 1.0)
 
@@ -101,64 +105,238 @@ def _dealt(docs, sizes, groups, within, taken, n_buckets: int):
     return _batch(_PA_POSTINGS, *rows)
 
 
-def _gathered(items, n_buckets: int):
-    """items: (doc, size, group, how many first hashes count, hashes) without end; batches of blocks."""
-    held, count = ([], [], [], [], []), 0
-    for item in items:
-        for h, v in zip(held, item, strict=True):
-            h.append(v)
-        count += len(item[4])
-        if count >= GATHERED:
-            yield _dealt(*held, n_buckets)
-            held, count = ([], [], [], [], []), 0
-    if count:
-        yield _dealt(*held, n_buckets)
+def _sketched(batches):
+    """(cell, n) of the cells that stand out in this task, and (-1, all shingles).
 
+    A cell that holds ``COMMON`` times the mean of all tasks stands out in those that hold most of it.
+    """
+    counts, total = np.zeros(CELLS, np.int32), 0
+    for b in batches:
+        for text in b.column("text").to_pylist():
+            h = shingle_set(text)
+            total += len(h)
+            np.add.at(counts, (h & np.uint64(CELLS - 1)).astype(np.int64), 1)
+    mean = total / CELLS
+    cells = np.flatnonzero(counts > max(1, COMMON * mean / 2 + 4 * math.sqrt(mean)))
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, cells], pa.int32()), pa.array(np.r_[total, counts[cells]], pa.int64())], names=["cell", "n"])
+
+
+def _common_cells(texts: DataFrame) -> np.ndarray:
+    """A class for each cell of the sketch: 0 for most, higher the more shingles it holds. Two cells in CELLS at most come to the driver."""
+    held = written(texts.mapInArrow(_sketched, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "jaccard-sketch")
+    total = held.where("cell < 0").agg(F.sum("n")).first()[0] or 0
+    least = max(SHORT, COMMON * total / CELLS)
+    found = held.where((F.col("cell") >= 0) & (F.col("n") > least)).select("cell", F.least(F.lit(255), F.floor(F.log2(F.col("n") / least)) + 1).cast("int").alias("rank")).toArrow()
+    out = np.zeros(CELLS, np.uint8)
+    out[found.column("cell").to_numpy()] = found.column("rank").to_numpy()
+    discard(held)
+    return out
+
+
+def _ordered(h: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes with those of common cells last, the commonest at the end; and the ranks of their cells."""
+    rank = ranks[(h & np.uint64(CELLS - 1)).astype(np.int64)]
+    if not rank.any():
+        return h, rank
+    order = np.lexsort((h, rank))
+    return h[order], rank[order]
+
+
+def _stars(run, doc, size):
+    """Pairs of each document with the smallest of its run that its size may link with, and the places of these smallest.
+
+    Sorted by run (numbers from 0) and size.
+    """
+    key = run.astype(np.int64) << 32 | size
+    first = np.flatnonzero(np.r_[True, np.diff(run) != 0]) if len(run) else np.zeros(0, np.int64)
+    last, a, b, heads = np.r_[first[1:], len(run)] if len(first) else first, [], [], []
+    while len(first):
+        end = np.searchsorted(key, (run[first].astype(np.int64) << 32) | (size[first].astype(np.int64) * 5 // 4), side="right")
+        n = end - first - 1
+        a.append(np.repeat(doc[first], n))
+        b.append(doc[np.arange(n.sum()) + np.repeat(first + 1 - n.cumsum() + n, n)])
+        heads.append(first)
+        more = end < last
+        first, last = end[more], last[more]
+    none = doc[:0]
+    return np.concatenate(a or [none]), np.concatenate(b or [none]), np.concatenate(heads or [np.zeros(0, np.int64)])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, the smaller id first."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    if len(a):
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)]
+        a, b = a[new], b[new]
+    return a, b
+
+
+def _row(bucket: int, docs=None, sizes=None, groups=None, tokens=None) -> pa.RecordBatch:
+    """A block of one of the kinds that are no tile, by bucket: SIZES, PAIRS, MARKED, CELLS_SEEN or CELLS_OF."""
+    blob = lambda x, kind: b"" if x is None else x if isinstance(x, bytes) else np.asarray(x, kind).tobytes()
+    return _batch(_PA_POSTINGS, [bucket], [blob(docs, "<i8")], [blob(sizes, "<i4")], [blob(groups, "<i8")], [b""], [b""], [blob(tokens, "<u4")])
 
-def _post_prefixes(n_buckets: int):
-    def post(batches):
-        def items():
-            for b in batches:
-                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    h = shingle_set(text)
-                    seen.append((doc, len(h), _bitmap(h)))
-                    if len(h):
-                        yield doc, len(h), doc, 0, h[: _prefix(len(h))]
 
+#: Buckets below 0. Sizes and bitmaps; pairs of a task's common hashes; documents that go on; groups by cell; cells by document.
+SIZES, PAIRS, MARKED, CELLS_SEEN, CELLS_OF = -1, -2, -3, -4, -5
+
+
+def _post_prefixes(n_buckets: int, ranks):
+    def post(batches):
+        held: list[list] = [[], [], []]  # documents, their set sizes, posted hashes
+        common: list[list] = [[], [], []]
         seen: list[tuple[int, int, bytes]] = []
 
         def told():
-            """The sizes and bitmaps so far, as a block without hashes."""
+            if common[0]:
+                lengths = [len(h) for h in common[2]]
+                doc, size, token = np.repeat(common[0], lengths), np.repeat(common[1], lengths), np.concatenate(common[2])
+                order = np.lexsort((doc, size, token))
+                doc, size, token = doc[order].astype("<i8"), size[order].astype("<i4"), token[order]
+                run = np.cumsum(np.r_[0, np.diff(token) != 0])
+                a, b, heads = _stars(run, doc, size)
+                a, b = _pairs(a[a != b], b[a != b])
+                yield _row(PAIRS, docs=a, groups=b)
+                yield _row(MARKED, docs=np.unique(common[0]))
+                # The smallest of each size band stands for its task.
+                order = np.argsort(doc[heads], kind="stable")
+                heads = heads[order]
+                at = np.flatnonzero(np.r_[True, np.diff(doc[heads]) != 0])
+                for part in np.split(heads, at[1:]):
+                    held[0].append(int(doc[part[0]]))
+                    held[1].append(int(size[part[0]]))
+                    held[2].append(token[part])
+            if held[0]:
+                yield _dealt(held[0], held[1], held[0], [0] * len(held[0]), held[2], n_buckets)
             if seen:
                 d, n, bits = zip(*seen, strict=True)
-                seen.clear()
-                yield _batch(_PA_POSTINGS, [-1], [np.array(d, "<i8").tobytes()], [np.array(n, "<i4").tobytes()], [b""], [b""], [b""], [b"".join(bits)])
-
-        for out in _gathered(items(), n_buckets):
-            yield out
-            yield from told()
+                yield _row(SIZES, docs=d, sizes=n, tokens=b"".join(bits))
+            for x in (*held, *common, seen):
+                x.clear()
+
+        count, bytes_ = 0, 0
+        for b in batches:
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                h = shingle_set(text)
+                bits = _bitmap(h)
+                seen.append((doc, len(h), bits))
+                bytes_ += len(bits)
+                if len(h):
+                    h, rank = _ordered(h, ranks.value)
+                    h, rank = h[: _prefix(len(h))], rank[: _prefix(len(h))]
+                    rare = int(np.searchsorted(rank, 1))
+                    for to, part in ((held, h[:rare]), (common, h[rare:])):
+                        if len(part):
+                            for x, v in zip(to, (doc, int(seen[-1][1]), part), strict=True):
+                                x.append(v)
+                    count += len(h)
+                if count >= GATHERED or bytes_ >= 16 * GATHERED:
+                    yield from told()
+                    count = bytes_ = 0
         yield from told()
 
     return post
 
 
-def _post_more(n_buckets: int, share: float):
+def _post_more(n_buckets: int, share: float, ranks):
     """The first ``share`` of the hashes and those that a partner's first ``share`` can reach: a partner is larger
-    by a quarter at most, and a fifth of the document's own hashes, those it lacks, can stand before."""
+    by a quarter at most, and a fifth of the document's own hashes, those it lacks, can stand before.
+
+    Common hashes are not posted: the groups by cell of the sketch are, and the cells of each document's first hashes.
+    """
 
     def post(batches):
-        def items():
-            for b in batches:
-                columns = (b.column(c).to_pylist() for c in ("doc_id", "text", "grp"))
-                for doc, text, group in zip(*columns, strict=True):
-                    h = shingle_set(text)
-                    yield doc, len(h), group, math.floor(share * len(h)), h[: math.ceil((1.25 * share + 0.2) * len(h)) + 1]
+        held: list[list] = [[], [], [], [], []]
+        cells: list[list] = [[], [], [], []]  # documents, groups, how many first, cells
 
-        yield from _gathered(items(), n_buckets)
+        def told():
+            if held[0]:
+                yield _dealt(*held, n_buckets)
+            if cells[0]:
+                doc, group, early, cell = cells
+                lengths, of = np.array([len(c) for c in cell]), np.concatenate(cell)
+                group = np.repeat(np.array(group, np.int64), lengths)
+                order = np.lexsort((group, of))
+                at = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0])
+                yield _row(CELLS_SEEN, docs=group[order][at], groups=group[order][np.r_[at[1:], len(order)] - 1], tokens=of[order][at])
+                yield _row(CELLS_OF, docs=doc, sizes=early, tokens=np.concatenate([c[:n] for c, n in zip(cell, early, strict=True)]))
+            for x in (*held, *cells):
+                x.clear()
+
+        count = 0
+        for b in batches:
+            columns = (b.column(c).to_pylist() for c in ("doc_id", "text", "grp"))
+            for doc, text, group in zip(*columns, strict=True):
+                h, rank = _ordered(shingle_set(text), ranks.value)
+                n, first = len(h), math.floor(share * len(h))
+                h, rank = h[: math.ceil((1.25 * share + 0.2) * n) + 1], rank[: math.ceil((1.25 * share + 0.2) * n) + 1]
+                rare = int(np.searchsorted(rank, 1))
+                if rare:
+                    for x, v in zip(held, (doc, n, group, min(first, rare), h[:rare]), strict=True):
+                        x.append(v)
+                if rare < len(h):
+                    cell = (h[rare:] & np.uint64(CELLS - 1)).astype("<u4")
+                    for x, v in zip(cells, (doc, group, max(0, first - rare), cell), strict=True):
+                        x.append(v)
+                count += len(h)
+                if count >= GATHERED:
+                    yield from told()
+                    count = 0
+        yield from told()
 
     return post
 
 
+def _cells_seen(batches):
+    for b in batches:
+        for lo, hi, cell in zip(*(b.column(c).to_pylist() for c in ("docs", "groups", "tokens")), strict=True):
+            columns = [pa.array(np.frombuffer(x, kind), t) for x, kind, t in ((cell, "<u4", pa.int64()), (lo, "<i8", pa.int64()), (hi, "<i8", pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["cell", "lo", "hi"])
+
+
+def _by_part(docs: np.ndarray, counts: np.ndarray, n_parts: int):
+    """Numbers of parts of the documents, and each part's documents and counts as bytes."""
+    part = (mixed(docs.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, docs, counts = part[order], docs[order].astype("<i8"), counts[order].astype("<i8")
+    at = np.flatnonzero(np.r_[True, np.diff(part) != 0]) if len(part) else part
+    ends = np.r_[at[1:], len(part)] if len(part) else part
+    return part[at], [[x[lo:hi].tobytes() for lo, hi in zip(at, ends, strict=True)] for x in (docs, counts)]
+
+
+def _open_cells(n_parts: int, open_):
+    """(kind 2) How many of each document's first hashes lie in common cells of several groups."""
+
+    def count(batches):
+        is_open = np.zeros(CELLS, bool)
+        is_open[open_.value] = True
+        for b in batches:
+            for docs, n, cell in zip(*(b.column(c).to_pylist() for c in ("docs", "sizes", "tokens")), strict=True):
+                docs, n, cell = np.frombuffer(docs, "<i8"), np.frombuffer(n, "<i4"), np.frombuffer(cell, "<u4")
+                many = np.bincount(np.repeat(np.arange(len(docs)), n), is_open[cell], len(docs)).astype(np.int64)
+                part, blobs = _by_part(docs[many > 0], many[many > 0], n_parts)
+                arrays = [pa.array(np.full(len(part), 2), pa.int32()), pa.array(part, pa.int64()), pa.array(np.zeros(len(part)), pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays + [pa.array(x, pa.binary()) for x in blobs], names=["kind", "a", "b", "docs", "counts"])
+
+    return count
+
+
+def _pairs_of(batches):
+    for b in batches:
+        for x, y in zip(b.column("docs").to_pylist(), b.column("groups").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
+            yield _batch(_PA_FOUND, np.zeros(len(x), np.int32), x, y)
+
+
+def _marked_of(batches):
+    for b in batches:
+        for x in b.column("docs").to_pylist():
+            x = np.frombuffer(x, "<i8")
+            yield _batch(_PA_FOUND, np.ones(len(x), np.int32), x, np.zeros(len(x), np.int64))
+
+
 def _entries(t: pa.Table):
     """The postings of a bucket, sorted by hash, size and document, once each; documents with one twice; where the
     runs of a hash begin, and how long they are."""
@@ -191,13 +369,8 @@ def _all_pairs(token, doc, size, group, some, most: int):
 
 
 def _found(pairs, singles) -> pa.Table:
-    a, b = np.concatenate([p[0] for p in pairs] or [np.zeros(0, "<i8")]), np.concatenate([p[1] for p in pairs] or [np.zeros(0, "<i8")])
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    if len(a):
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)]
-        a, b = a[new], b[new]
+    none = np.zeros(0, "<i8")
+    a, b = _pairs(np.concatenate([p[0] for p in pairs] or [none]), np.concatenate([p[1] for p in pairs] or [none]))
     kind = np.zeros(len(a), np.int32)
     for k, docs, n in singles:
         kind, a, b = np.r_[kind, np.full(len(docs), k, np.int32)], np.r_[a, docs], np.r_[b, n]
@@ -207,16 +380,11 @@ def _found(pairs, singles) -> pa.Table:
 def _first_round(t: pa.Table) -> pa.Table:
     token, doc, size, group, _, _, begin, length = _entries(t)
     few = np.repeat((length > 1) & (length <= SHORT), length)
-    pairs, many = [_all_pairs(token[few], doc[few], size[few], group[few], few[few], SHORT)], []
-    for lo, m in zip(begin[length > SHORT], length[length > SHORT], strict=True):
-        d, s = doc[lo : lo + m], size[lo : lo + m]
-        many.append(d)
-        at = 0
-        while at < m:
-            end = int(np.searchsorted(s, s[at] * 5 // 4, side="right"))
-            pairs.append((np.full(end - at - 1, d[at]), d[at + 1 : end]))
-            at = end
-    hot = np.unique(np.concatenate(many)) if many else doc[:0]
+    pairs = [_all_pairs(token[few], doc[few], size[few], group[few], few[few], SHORT)]
+    many = np.repeat(length > SHORT, length)
+    run = np.cumsum(np.r_[0, np.diff(token[many]) != 0])[: many.sum()]
+    pairs.append(_stars(run, doc[many], size[many])[:2])
+    hot = np.unique(doc[many])
     return _found(pairs, [(1, hot, np.zeros(len(hot), np.int64))])
 
 
@@ -233,14 +401,9 @@ def _further_round(n_parts: int):
         few = np.repeat((length > 1) & (length <= SHORTER) & ~one, length)
         pairs = _found([_all_pairs(token[few], doc[few], size[few], group[few], early[few], SHORTER)], [])
         open_, n = np.unique(np.r_[twice, doc[early & np.repeat((length > SHORTER) & ~one, length)]], return_counts=True)
-        part = (mixed(open_.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part, open_, n = part[order], open_[order].astype("<i8"), n[order].astype("<i8")
-        at = np.flatnonzero(np.r_[True, np.diff(part) != 0]) if len(part) else part
-        ends = np.r_[at[1:], len(part)] if len(part) else part
-        blobs = [[x[lo:hi].tobytes() for lo, hi in zip(at, ends, strict=True)] for x in (open_, n)]
+        part, blobs = _by_part(open_, n, n_parts)
         none = [None] * pairs.num_rows
-        columns = [np.r_[pairs.column("kind"), np.full(len(at), 2)], np.r_[pairs.column("a"), part[at]], np.r_[pairs.column("b"), np.zeros(len(at), np.int64)]]
+        columns = [np.r_[pairs.column("kind"), np.full(len(part), 2)], np.r_[pairs.column("a"), part], np.r_[pairs.column("b"), np.zeros(len(part), np.int64)]]
         kinds = (pa.int32(), pa.int64(), pa.int64())
         arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)] + [pa.array(none + x, pa.binary()) for x in blobs]
         return pa.Table.from_arrays(arrays, names=["kind", "a", "b", "docs", "counts"])
@@ -333,8 +496,10 @@ def _verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, name: str) -
     bits = pairs.join(side(sizes, "a", "n", "bits"), "a").join(side(sizes, "b", "n", "bits"), "b")
     likely = written(bits.mapInArrow(_bounded, _FOUND).select("a", "b"), f"{name}-likely")
     ids = written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-    sets = written(_chosen(texts, ids, "left_semi").mapInArrow(_hashed, _SETS).select("doc_id", "hashes"), f"{name}-sets")
-    return written(likely.join(side(sets, "a", "hashes"), "a").join(side(sets, "b", "hashes"), "b").mapInArrow(_exact, _FOUND).select("a", "b"), f"{name}-links")
+    sets = written(_chosen(texts, ids, "left_semi").mapInArrow(_hashed, _SETS).select("doc_id", "hashes").dropDuplicates(["doc_id"]), f"{name}-sets")
+    links = written(likely.join(side(sets, "a", "hashes"), "a").join(side(sets, "b", "hashes"), "b").mapInArrow(_exact, _FOUND).select("a", "b"), f"{name}-links")
+    discard(likely, ids, sets)
+    return links
 
 
 def _chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -347,88 +512,131 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Two documents link when their sets of 5-word shingles have a Jaccard similarity of 0.8 or more; a
     component's id is its smallest doc_id. Texts without words, and null ones, have an empty set and link
-    with nothing. Rows with one doc_id count as one document with the largest of their sets; a null doc_id
-    has null in the other columns. Further columns are ignored. An empty input gives an empty result.
+    with nothing. Rows of one doc_id are one document: it has the links of each of its texts and the size of the largest
+    set, in all its rows. A null doc_id has null in the other columns. Very long texts are taken whole (a set is held by one
+    task); further columns are ignored. An empty input gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = written(docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key")), "jaccard-keys")
-    firsts = written(keys.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "jaccard-firsts")
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(written(df, f"jaccard-{name}"))
+        return made[-1]
+
+    keys = written(docs.select("doc_id", key.alias("key")), "jaccard-keys")
+    named = keys.where("doc_id is not null")
+    firsts = kept(named.groupBy("key").agg(F.min("doc_id").alias("rep")), "firsts")
+    # Documents of several texts: each text has a vertex of its own, and they are linked.
+    several = kept(named.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("doc_id"), "several")
+    some = not several.isEmpty()
+    vertices = firsts.withColumn("v", F.col("rep"))
+    if some:
+        above = named.agg(F.max("doc_id")).first()[0]
+        again = firsts.join(firsts.groupBy("rep").agg(F.min("key").alias("main")), "rep").where("key <> main").select("key", (above + 1 + F.monotonically_increasing_id()).alias("v"))
+        again = kept(again, "again")
+        vertices = kept(firsts.join(again, "key", "left").select("key", "rep", F.coalesce("v", "rep").alias("v")), "vertices")
     # A key that holds many rows: both sides are written, so that adaptive execution can split it.
-    rep_of = written(keys.join(firsts, "key").select("doc_id", "rep"), "jaccard-reps")
-    copies = rep_of.where("doc_id <> rep").select("doc_id").distinct()
-    texts = _chosen(docs.where("doc_id is not null"), copies, "left_anti")
+    vertex_of = written(keys.join(vertices, "key").select("doc_id", "v", "rep"), "jaccard-vertices")
+    others = kept(vertex_of.where("doc_id <> rep").select("doc_id").distinct(), "copies")
+    if some:
+        others = kept(others.union(several).distinct(), "others")
+    texts = _chosen(docs.where("doc_id is not null"), others, "left_anti")
+    if some:
+        odd = _chosen(docs, several, "left_semi").withColumn("key", key).join(vertices, "key").where("doc_id = rep")
+        texts = texts.unionByName(odd.select(F.col("v").alias("doc_id"), "text"))
 
     n_buckets = max(shuffle_partitions(spark), math.ceil(keys.count() / 4096))
-    posted = written(texts.mapInArrow(_post_prefixes(n_buckets), _POSTINGS), "jaccard-postings")
-    sizes = posted.where("bucket < 0").select("docs", "sizes", "tokens").mapInArrow(_sizes, "doc_id long, n int, bits binary")
-    sizes = sizes.groupBy("doc_id").agg(F.max(F.struct("n", "bits")).alias("x")).select("doc_id", "x.n", "x.bits")
-    sizes = written(sizes, "jaccard-sizes")
-    found = posted.where("bucket >= 0").groupBy("bucket").applyInArrow(_first_round, _FOUND).distinct()
-    found = written(found, "jaccard-first")
-    links = _verified(found.where("kind = 0").select("a", "b"), sizes, texts, "jaccard-first")
-    left = written(found.where("kind = 1").select(F.col("a").alias("doc_id")), "jaccard-hot")
+    ranks = spark.sparkContext.broadcast(_common_cells(texts))
+    posted = kept(texts.mapInArrow(_post_prefixes(n_buckets, ranks), _POSTINGS), "postings")
+    sizes = posted.where(f"bucket = {SIZES}").select("docs", "sizes", "tokens").mapInArrow(_sizes, "doc_id long, n int, bits binary")
+    sizes = kept(sizes.dropDuplicates(["doc_id"]), "sizes")
+    found = posted.where("bucket >= 0").groupBy("bucket").applyInArrow(_first_round, _FOUND)
+    found = found.unionByName(posted.where(f"bucket = {PAIRS}").mapInArrow(_pairs_of, _FOUND)).unionByName(posted.where(f"bucket = {MARKED}").mapInArrow(_marked_of, _FOUND))
+    found = kept(found.distinct(), "first")
+    links = kept(_verified(found.where("kind = 0").select("a", "b"), sizes, texts, "jaccard-first"), "links")
+    left = kept(found.where("kind = 1").select(F.col("a").alias("doc_id")), "hot")
 
     for share in ROUNDS:
         if left.isEmpty():
             break
-        roots = components(links, "jaccard-part")
-        left = left.join(roots, F.col("doc_id") == F.col("v"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("grp"))
-        left = written(left, "jaccard-left")
-        posted = _chosen(texts, left, "inner").select("doc_id", "text", "grp").mapInArrow(_post_more(n_buckets, share), _POSTINGS)
-        found = written(posted.groupBy("bucket").applyInArrow(_further_round(n_buckets), _MORE), "jaccard-more")
-        links = links.unionByName(_verified(found.where("kind = 0").select("a", "b").distinct(), sizes, texts, "jaccard-more"))
+        left = kept(_grouped(left, links), "left")
+        posted = kept(_chosen(texts, left, "inner").select("doc_id", "text", "grp").mapInArrow(_post_more(n_buckets, share, ranks), _POSTINGS), "more-postings")
+        cells = posted.where(f"bucket = {CELLS_SEEN}").mapInArrow(_cells_seen, "cell long, lo long, hi long")
+        cells = cells.groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("cell").toArrow()
+        open_ = spark.sparkContext.broadcast(cells.column("cell").to_numpy())  # a part of the sketch's common cells
+        found = posted.where("bucket >= 0").groupBy("bucket").applyInArrow(_further_round(n_buckets), _MORE)
+        found = kept(found.unionByName(posted.where(f"bucket = {CELLS_OF}").mapInArrow(_open_cells(n_buckets, open_), _MORE)), "more")
+        more = _verified(found.where("kind = 0").select("a", "b").distinct(), sizes, texts, "jaccard-more")
+        links = kept(links.unionByName(more), "links")
+        discard(more)
         unsettled = found.where("kind = 2").select("a", "docs", "counts").groupBy("a").applyInArrow(_summed, "doc_id long, unsettled long")
         n = F.col("n").cast("long")
         rest = left.join(sizes.select("doc_id", "n"), "doc_id").join(unsettled, "doc_id", "left")
         rest = rest.where(F.floor(F.lit(share) * n) - F.coalesce("unsettled", F.lit(0)) < n - F.ceil(4 * n / 5) + 1)
-        left = written(rest.select("doc_id"), "jaccard-left")
+        left = kept(rest.select("doc_id"), "left")
     if not left.isEmpty():
-        roots = components(links, "jaccard-part")
-        left = left.join(roots, F.col("doc_id") == F.col("v"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("grp"))
-        links = links.unionByName(_blocks(_hashed_with(texts, written(left, "jaccard-left"))))
+        rest = kept(_chosen(texts, left, "left_semi").mapInArrow(_hashed, _SETS).join(kept(_grouped(left, links), "left"), "doc_id"), "rest")
+        links = links.unionByName(kept(_blocks(rest), "blocks"))
 
+    if some:
+        of_one = vertex_of.join(several, "doc_id").join(sizes.where("n > 0").select(F.col("doc_id").alias("v")), "v")
+        links = links.unionByName(of_one.join(of_one.groupBy("doc_id").agg(F.min("v").alias("b")), "doc_id").select(F.col("v").alias("a"), "b"))
     roots = components(links, "jaccard")
-    of = sizes.join(roots, F.col("doc_id") == F.col("v"), "left").select(
-        F.col("doc_id").alias("rep"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("root")
+    of = sizes.join(roots, sizes.doc_id == roots.v, "left").select(
+        F.col("doc_id").alias("v"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).alias("root")
     )
     of = written(of, "jaccard-roots")
-    out = rep_of.join(of, "rep").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    out = vertex_of.join(of, "v").select("doc_id", "n_shingles", "root")
+    if some:
+        ids = written(several, "jaccard-several")
+        whole = written(out.join(ids, "doc_id").groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.min("root").alias("r")), "jaccard-several")
+        out = out.join(whole, "doc_id", "left").select("doc_id", F.coalesce("n", "n_shingles").alias("n_shingles"), F.coalesce("r", "root").alias("root"))
+    discard(roots, *made)
+    out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     nameless = keys.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nameless)
 
 
-def _hashed_with(texts: DataFrame, left: DataFrame) -> DataFrame:
-    return written(_chosen(texts, left.select("doc_id"), "left_semi").mapInArrow(_hashed, _SETS).join(left, "doc_id"), "jaccard-rest")
+def _grouped(left: DataFrame, links: DataFrame) -> DataFrame:
+    """The documents with the component that they are in so far."""
+    roots = components(links, "jaccard-part")
+    return left.join(roots, F.col("doc_id") == F.col("v"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("grp"))
 
 
-def _blocks(rest: DataFrame) -> DataFrame:
+def _blocks(rest: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links among documents of widely shared shingles: blocks of one size band, or of two next to each other, meet.
 
-    A band is as wide as the ratio of sizes that can link, so a partner is in the same band or the next.
+    A band is as wide as the ratio of sizes that can link, so a partner is in the same band or the next two.
     """
     rest = rest.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(1.25) + 1e-9).cast("int"))
-    counts = {r["band"]: -(-r["count"] // BLOCK) for r in rest.groupBy("band").count().collect()}
-    tiles = []
-    for band, k in counts.items():
-        for i in range(k):
-            tiles += [(band, i, band, j) for j in range(i, k)]
-            tiles += [(band, i, band + d, j) for d in (1, 2) for j in range(counts.get(band + d, 0))]
+    counts = {r["band"]: -(-r["count"] // block) for r in rest.groupBy("band").count().collect()}  # a band for each quarter of size
     spread = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.element_at(spread, F.col("band"))).cast("int"))
-    spark = rest.sparkSession
-    sides = [(b, i, t, 0) for t, (b, i, _, _) in enumerate(tiles)] + [(b, j, t, 1) for t, (x, i, b, j) in enumerate(tiles) if (b, j) != (x, i)]
-    placed = rest.join(F.broadcast(spark.createDataFrame(sides, "band int, block int, tile int, side int")), ["band", "block"])
-    found = placed.select("tile", "side", "doc_id", "n", "grp", "bits", "hashes").groupBy("tile").applyInArrow(_tile, _FOUND)
-    return written(found.select("a", "b"), "jaccard-blocks")
+    blocks = lambda d: F.coalesce(F.try_element_at(spread, F.col("band") + d), F.lit(0))
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks(0)).cast("int"))
+
+    def tiles(lo, hi, made):
+        return F.when(lo < hi, F.transform(F.sequence(lo, hi - 1), made)).otherwise(F.array().cast(_TILES))
+
+    tile = lambda b, i, c, j, side: F.struct(b.alias("b"), i.alias("i"), c.alias("c"), j.alias("j"), F.lit(side).alias("side"))
+    band, own, zero = F.col("band"), F.col("block"), F.lit(0)
+    placed = [tiles(own, blocks(0), lambda j: tile(band, own, band, j, 0)), tiles(zero, own, lambda i: tile(band, i, band, own, 1))]
+    for d in (1, 2):
+        placed.append(tiles(zero, blocks(d), lambda j, d=d: tile(band, own, band + d, j, 0)))
+        placed.append(tiles(zero, blocks(-d), lambda i, d=d: tile(band - d, i, band, own, 1)))
+    placed = rest.withColumn("t", F.explode(F.concat(*placed)))
+    found = placed.select("t.*", "doc_id", "n", "grp", "bits", "hashes").groupBy("b", "i", "c", "j").applyInArrow(_tile, _FOUND)
+    return found.select("a", "b")
+
+
+_TILES = "array<struct<b:int,i:int,c:int,j:int,side:int>>"
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest doc_id; rows with a null doc_id stay. All columns as they are."""
-    others = written(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-others")
+    others = written(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-rest")
     return _chosen(docs, others, "left_anti").select(*docs.columns)
 
 

@@ -214,6 +214,60 @@ def test_jaccard_join(spark):
     assert got == brute_jaccard(rows)
 
 
+def test_jaccard_of_widely_shared_passages(spark, monkeypatch):
+    """Texts of nothing but shared passages pass through both further rounds and the blocks, split over several tiles."""
+    blocks, rounds, real, grouped = [], [], jaccard_join._blocks, jaccard_join._grouped
+    monkeypatch.setattr(jaccard_join, "_blocks", lambda rest: blocks.append(rest.count()) or real(rest, 40))
+    monkeypatch.setattr(jaccard_join, "_grouped", lambda left, links: rounds.append(left.count()) or grouped(left, links))
+    rng = random.Random(8)
+    passages = [" ".join(f"{k}w{j}" for j in range(30)) for k in range(16)]
+    texts = [" ".join(rng.sample(passages, rng.choice((6, 7, 8)))) for _ in range(230)]
+    for k in range(0, 60, 2):
+        texts[k + 1] = texts[k] + " and a few more words"
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_jaccard(rows)
+    assert blocks and blocks[0] > 100 and len(rounds) == 3
+
+
+def test_jaccard_of_a_shingle_in_half_of_all_texts(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    notice = " ".join(word() for _ in range(9))
+    texts = [(notice + " " if k % 2 else "") + " ".join(word() for _ in range(rng.randint(3, 30))) for k in range(3000)]
+    for k in range(0, 300, 3):
+        texts[k + 1] = texts[k] + " end"
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_jaccard(rows)
+
+
+def test_jaccard_of_a_document_with_two_texts(spark):
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "a text of its own that no other has")
+    rows = [(2, b), (5, a), (5, b), (7, a), (9, c), (9, c + " x y"), (9, ""), (11, ""), (12, c + " x y"), (3, "alone"), (None, a)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id)
+    assert got == [(2, 2, 2), (3, 1, 3), (5, 3, 2), (5, 3, 2), (7, 3, 2), (9, 7, 9), (9, 7, 9), (9, 7, 9), (11, 0, 11), (12, 7, 9)]
+    assert jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).count() == 7
+
+
+def test_stars_join_each_size_band():
+    rng = np.random.default_rng(2)
+    run, size = np.sort(rng.integers(0, 9, 200)), rng.integers(1, 60, 200)
+    order = np.lexsort((size, run))
+    run, size, doc = run[order], size[order], np.arange(200)
+    a, b, heads = jaccard_join._stars(run, doc, size)
+    pairs, at = set(), 0
+    tops = []
+    while at < 200:
+        tops.append(at)
+        end = at
+        while end < 200 and run[end] == run[at] and 4 * size[end] <= 5 * size[at]:
+            end += 1
+        pairs |= {(at, k) for k in range(at + 1, end)}
+        at = end
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == pairs and sorted(heads) == tops
+
+
 def test_jaccard_edges(spark):
     rows = sorted((r.doc_id is not None, r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(odd_docs(spark)).collect() if r.doc_id is not None)
     assert [r[1:] for r in rows] == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 5), (5, 1, 5), (6, 1, 6)]
