@@ -12,164 +12,104 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import drop_clashing, fresh, table
+from .license_rules import NAMED, NOTED, PRIORITIES, RULES, STEMS
 
 #: Word phrases that always count: (words, label).
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-_V = r"(?: (?:version|v))?"
-_L = r"(?: (?:software )?licen[cs]e)?"
-_NOTICE = r"(?:licen[cs]ed|released|distributed|available|published|provided|covered)"
-#: label, keyword (words that every match holds), the name as it stands in prose, SPDX identifier, words of its address.
-FAMILIES = (
-    ("mit", "mit", r"(?:the )?mit" + _L, r"mit", r"opensource org licenses? mit"),
-    ("mit-0", "mit", r"mit no attribution" + _L, r"mit 0", r"opensource org licenses? mit 0"),
-    ("apache-2.0", "apache", r"(?:the )?apache(?: software)? licen[cs]e" + _V + r" v?2(?: 0)?", r"apache 2 0", r"apache org licenses license 2 0"),
-    ("apache-1.1", "apache", r"(?:the )?apache(?: software)? licen[cs]e" + _V + r" v?1 1", r"apache 1 1", r"apache org licenses license 1 1"),
-    ("apache-1.0", "apache", r"(?:the )?apache(?: software)? licen[cs]e" + _V + r" v?1 0", r"apache 1 0", r"apache org licenses license 1 0"),
-    ("gpl-1.0", "general public", r"(?<!lesser )(?<!affero )general public licen[cs]e" + _V + r" v?1(?: 0)?", r"gpl 1 0(?: only| or later)?", r"gnu org licenses old licenses gpl 1 0"),
-    ("gpl-2.0", "general public", r"(?<!lesser )(?<!library )(?<!affero )general public licen[cs]e" + _V + r" v?2(?: 0)?", r"gpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?gpl 2 0"),
-    ("gpl-3.0", "general public", r"(?<!lesser )(?<!affero )general public licen[cs]e" + _V + r" v?3(?: 0)?", r"gpl 3 0(?: only| or later)?", r"gnu org licenses gpl 3 0"),
-    ("lgpl-2.0", "general public", r"library general public licen[cs]e" + _V + r" v?2(?: 0)?", r"lgpl 2 0(?: only| or later)?", r"gnu org licenses old licenses lgpl 2 0"),
-    ("lgpl-2.1", "general public", r"lesser general public licen[cs]e" + _V + r" v?2 1", r"lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
-    ("lgpl-3.0", "general public", r"lesser general public licen[cs]e" + _V + r" v?3(?: 0)?", r"lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0"),
-    ("agpl-3.0", "general public", r"affero general public licen[cs]e" + _V + r" v?3(?: 0)?", r"agpl 3 0(?: only| or later)?", r"gnu org licenses agpl 3 0"),
-    ("gfdl-1.3", "free documentation", r"gnu free documentation licen[cs]e(?:" + _V + r" v?1 \d)?", r"gfdl 1 \d(?: only| or later)?", r"gnu org licenses fdl"),
-    ("bsd-2-clause", "bsd", r"(?:2|two) clause bsd" + _L, r"bsd 2 clause", r"opensource org licenses? bsd 2 clause"),
-    ("bsd-3-clause", "bsd", r"(?:3|three) clause bsd" + _L, r"bsd 3 clause", r"opensource org licenses? bsd 3 clause"),
-    ("bsd-4-clause", "bsd", r"(?:4|four) clause bsd" + _L, r"bsd 4 clause", r"spdx org licenses bsd 4 clause"),
-    ("bsd", "bsd", r"(?:new |modified |simplified )?bsd(?: style)? licen[cs]e", r"0bsd", r"opensource org licenses? bsd license"),
-    ("isc", "isc", r"isc licen[cs]e", r"isc", r"opensource org licenses? isc"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e" + _V + r" v?1 1", r"mpl 1 1", r"mozilla org mpl mpl 1 1"),
-    ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e" + _V + r" v?2(?: 0)?", r"mpl 2 0", r"mozilla org (?:en us )?mpl 2 0"),
-    ("epl-1.0", "eclipse", r"eclipse public licen[cs]e" + _V + r" v?1(?: 0)?", r"epl 1 0", r"eclipse org legal epl v10"),
-    ("epl-2.0", "eclipse", r"eclipse public licen[cs]e" + _V + r" v?2(?: 0)?", r"epl 2 0", r"eclipse org legal epl (?:2 0|v20)"),
-    ("cddl-1.0", "common development", r"common development and distribution licen[cs]e(?:" + _V + r" v?1 \d)?", r"cddl 1 [01]", r"opensource org licenses? cddl"),
-    ("cpl-1.0", "common public", r"common public licen[cs]e(?:" + _V + r" v?1 0)?", r"cpl 1 0", r"opensource org licenses? cpl1"),
-    ("artistic-1.0", "artistic", r"artistic licen[cs]e" + _V + r" v?1(?: 0)?", r"artistic 1 0", r"opensource org licenses? artistic 1 0"),
-    ("artistic-2.0", "artistic", r"artistic licen[cs]e" + _V + r" v?2(?: 0)?", r"artistic 2 0", r"opensource org licenses? artistic 2 0"),
-    ("bsl-1.0", "boost", r"boost software licen[cs]e(?:" + _V + r" v?1(?: 0)?)?", r"bsl 1 0", r"boost org license 1 0"),
-    ("busl-1.1", "business source", r"business source licen[cs]e(?:" + _V + r" v?1 1)?", r"busl 1 1", r"mariadb com bsl11"),
-    ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", r"zlib", r"opensource org licenses? zlib"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense", r"unlicense org"),
-    ("wtfpl", "want", r"do what the [a-z]+ you want to public licen[cs]e", r"wtfpl", r"wtfpl net"),
-    ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0", r"creativecommons org publicdomain zero"),
-    ("cc-by-4.0", "cc by", r"cc by(?: 4 0)?(?! (?:nc|nd|sa))", r"cc by 4 0", r"creativecommons org licenses by 4 0"),
-    ("cc-by-3.0", "cc by", r"cc by 3 0", r"cc by 3 0", r"creativecommons org licenses by 3 0"),
-    ("cc-by-sa-4.0", "cc by", r"cc by sa(?: 4 0)?", r"cc by sa 4 0", r"creativecommons org licenses by sa 4 0"),
-    ("cc-by-sa-3.0", "cc by", r"cc by sa 3 0", r"cc by sa 3 0", r"creativecommons org licenses by sa 3 0"),
-    ("cc-by-nc-4.0", "cc by", r"cc by nc(?: 4 0)?(?! (?:nd|sa))", r"cc by nc 4 0", r"creativecommons org licenses by nc 4 0"),
-    ("cc-by-nd-4.0", "cc by", r"cc by nd(?: 4 0)?", r"cc by nd 4 0", r"creativecommons org licenses by nd 4 0"),
-    ("cc-by-nc-sa-4.0", "cc by", r"cc by nc sa(?: 4 0)?", r"cc by nc sa 4 0", r"creativecommons org licenses by nc sa 4 0"),
-    ("cc-by-nc-nd-4.0", "cc by", r"cc by nc nd(?: 4 0)?", r"cc by nc nd 4 0", r"creativecommons org licenses by nc nd 4 0"),
-    ("cc-by", "creative commons", r"creative commons attribution(?: (?:\d 0|international|unported|generic))*" + _L, r"cc by 2 0", r"creativecommons org licenses by 2 0"),
-    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: (?:\d 0|international|unported|generic))*" + _L, r"cc by sa 2 0", r"creativecommons org licenses by sa 2 0"),
-    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial(?: (?:\d 0|international|unported|generic))*" + _L, r"cc by nc 2 0", r"creativecommons org licenses by nc 2 0"),
-    ("ofl-1.1", "open font", r"(?:sil )?open font licen[cs]e(?:" + _V + r" v?1 1)?", r"ofl 1 1", r"scripts sil org ofl"),
-    ("odbl-1.0", "open data", r"open (?:data commons open )?database licen[cs]e", r"odbl 1 0", r"opendatacommons org licenses odbl"),
-    ("postgresql", "postgresql", r"postgresql licen[cs]e", r"postgresql", r"opensource org licenses? postgresql"),
-    ("python-2.0", "python", r"python (?:software foundation )?licen[cs]e(?:" + _V + r" v?2)?", r"(?:python|psf) 2 0", r"docs python org 3 license"),
-    ("ruby", "ruby", r"ruby licen[cs]e", r"ruby", r"ruby lang org en about license"),
-    ("php-3.01", "php", r"php licen[cs]e(?:" + _V + r" v?3 0?1)?", r"php 3 01", r"php net license"),
-    ("openssl", "openssl", r"openssl licen[cs]e", r"openssl", r"openssl org source license"),
-    ("sspl-1.0", "server side", r"server side public licen[cs]e(?:" + _V + r" v?1)?", r"sspl 1 0", r"mongodb com licensing server side public license"),
-    ("eupl-1.2", "european union", r"european union public licen[cs]e(?:" + _V + r" v?1 \d)?", r"eupl 1 [012]", r"joinup ec europa eu .{0,40}eupl"),
-    ("ms-pl", "microsoft", r"microsoft public licen[cs]e", r"ms pl", r"opensource org licenses? ms pl"),
-    ("upl-1.0", "universal permissive", r"universal permissive licen[cs]e(?:" + _V + r" v?1 0)?", r"upl 1 0", r"opensource org licenses? upl"),
-)
-
-#: Single rules: label, keyword, pattern, priority (1 best), confidence.
-SINGLE = (
-    ("gpl", "general public", r"gnu (?:lesser |library |affero )?general public licen[cs]e", 4, 0.7),
-    ("gpl", "gpl", r"(?:l|a)?gpl ?v?[123](?: 0)?", 4, 0.6),
-    ("apache", "apache", r"apache licen[cs]e", 4, 0.7),
-    ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 2, 0.95),
-    ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose", 2, 0.9),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification", 2, 0.9),
-    ("boost", "hereby", r"permission is hereby granted free of charge to any person or organization obtaining a copy", 2, 0.9),
-    ("public-domain", "public domain", r"(?:released|placed|dedicated|put) (?:in|into|to) the public domain", 3, 0.8),
-    ("public-domain", "public domain", r"public domain(?: dedication)?", 5, 0.4),
-    ("copyleft", "copyleft", r"copyleft(?: licen[cs]e)?", 5, 0.4),
-    ("proprietary", "rights reserved", r"all rights reserved", 5, 0.3),
-    ("proprietary", "proprietary", r"proprietary (?:and confidential|licen[cs]e|software)", 4, 0.6),
-    ("commercial", "commercial", r"commercial licen[cs]e", 4, 0.5),
-)
-
-
-def _rules() -> list[dict]:
-    """A family's rules, from its name, identifier and address; and the single ones."""
-    forms = (
-        ("tag", 1, 1.0, lambda name, spdx, url: rf"spdx licen[cs]e identifier {spdx}"),
-        ("notice", 2, 0.95, lambda name, spdx, url: rf"{_NOTICE} (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:gnu )?{name}"),
-        ("address", 2, 0.9, lambda name, spdx, url: rf"(?:https? )?(?:www )?{url}"),
-        ("name", 3, 0.8, lambda name, spdx, url: rf"(?:gnu )?{name}(?<=licen[cs]e)" if spdx.isalpha() else rf"(?:gnu )?{name}"),
-        ("field", 3, 0.85, lambda name, spdx, url: rf"licen[cs]e (?:is )?{spdx}"),
-    )
-    out = []
-    for label, keyword, name, spdx, url in FAMILIES:
-        for form, priority, sure, made in forms:
-            words = {"tag": "spdx", "address": "org" if " org" in url else url.split()[0], "field": "licen"}.get(form, keyword)
-            out.append({"label": label, "priority": priority, "sure": sure, "keyword": words, "pattern": f"(?<= ){made(name, spdx, url)}(?= )"})
-    for label, keyword, pattern, priority, sure in SINGLE:
-        out.append({"label": label, "priority": priority, "sure": sure, "keyword": keyword, "pattern": f"(?<= ){pattern}(?= )"})
-    return [r | {"rule": k} for k, r in enumerate(out)]
-
-
-RULES = _rules()
-#: A text that has none of these and matches neither NAMED nor NOTED can match no rule: every other match holds one of them.
-STEMS = (
-    "licen", "spdx", "gpl", "copyleft", "domain", "hereby", "permission", "redistribution", "cc0", "commons", "bsd", "attribution",
-    "reserved", "proprietary", "mozilla", "eclipse", "wtfpl", "ofl", "joinup", "mariadb",
-)
-_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-NAMED = rf"cc{_GAP}by"
-#: A notice of the MIT license need not say license.
-NOTED = rf"{_NOTICE}{_GAP}(?:under|by){_GAP}(?:(?:the|terms|and|conditions|of|gnu){_GAP})*mit"
-
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _RULE = "array<struct<rule:int,label:string,priority:int,sure:double,keyword:string,pattern:string>>"
 _HIT = "array<struct<start:int,stop:int,priority:int,sure:double,label:string,rule:int>>"
 
 
+#: Entries of an array that are run through at a time; longer arrays are cut into runs, so that work stays in proportion.
+RUN = 512
+
+
+def _let(value: Column, made) -> Column:
+    """``made`` of a value that is computed once: a lambda would compute an expression from outside anew for each entry."""
+    return F.get(F.transform(F.array(value), made), 0)
+
+
+def _before(values: Column, kind: str, add, none: Column) -> Column:
+    """For each entry of an array of ``kind``, what ``add`` (associative) makes of those before it, beginning with ``none``.
+
+    Runs of entries are added up first, so that no array grows longer than a run or than the number of runs.
+    """
+
+    def running(entries: Column, first: Column) -> Column:
+        begin = F.struct(first.alias("now"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(entries, begin, lambda acc, x: F.struct(add(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")), lambda acc: acc["out"])
+
+    def cut(v: Column) -> Column:
+        n = F.floor((F.size(v) + RUN - 1) / RUN).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(v, k * RUN + 1, RUN))).otherwise(F.array().cast(f"array<array<{kind}>>"))
+
+    def summed(runs: Column) -> Column:
+        return F.flatten(F.zip_with(runs, running(F.transform(runs, lambda r: F.aggregate(r, none, add)), none), running))
+
+    return _let(values, lambda v: _let(cut(v), summed))
+
+
 def _places(norm: Column, r: Column) -> Column:
-    """The places of a rule's matches, one after another."""
-    hits = F.regexp_extract_all(norm, r["pattern"], F.lit(0))
-    gaps = F.split(norm, r["pattern"], -1)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(_HIT).alias("hits"))
+    """The places of a rule's matches: the length of all gaps and matches before, and of its own gap."""
+    lengths = F.struct(
+        F.transform(F.regexp_extract_all(norm, r["pattern"], F.lit(0)), F.length).alias("hits"), F.transform(F.split(norm, r["pattern"], -1), F.length).alias("gaps")
+    )
+    made = lambda at, n: F.struct(
+        at.alias("start"), (-(at + n)).alias("back"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["sure"].alias("sure"), r["label"].alias("label")
+    )
 
-    def add(acc, k):
-        start = acc["at"] + F.length(F.get(gaps, k))
-        stop = start + F.length(F.get(hits, k))
-        hit = F.struct(start.alias("start"), stop.alias("stop"), r["priority"].alias("priority"), r["sure"].alias("sure"), r["label"].alias("label"), r["rule"].alias("rule"))
-        return F.struct(stop.alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
+    def placed(x: Column) -> Column:
+        gaps = F.slice(x["gaps"], 1, F.size(x["hits"]))
+        before = _before(F.zip_with(x["hits"], gaps, lambda h, g: h + g), "int", lambda a, b: a + b, F.lit(0))
+        return F.zip_with(F.zip_with(before, gaps, lambda a, g: a + g), x["hits"], made)
 
-    steps = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, first, add, lambda acc: acc["hits"])
+    return _let(lengths, placed)
+
+
+def _stay(hits: Column) -> Column:
+    """The hits that no other one suppresses.
+
+    In the order of (start, longer first, priority, rule) all that may suppress a hit stand before it; so it goes if one before it
+    of its priority or a better one reaches its end. The furthest ends by priority are carried along.
+    """
+    kind = "struct<" + ",".join(f"p{p}:int" for p in PRIORITIES) + ">"
+    none = F.struct(*[F.lit(0).alias(f"p{p}") for p in PRIORITIES])
+    most = lambda a, b: F.struct(*[F.greatest(a[f"p{p}"], b[f"p{p}"]).alias(f"p{p}") for p in PRIORITIES])
+    reached = lambda h, e: F.coalesce(*[F.when(h["priority"] == p, e[f"p{p}"]) for p in PRIORITIES])
+    made = lambda x: F.struct(
+        x["h"]["start"].alias("start"), (-x["h"]["back"]).alias("stop"), x["h"]["priority"].alias("priority"), x["h"]["sure"].alias("sure"), x["h"]["label"].alias("label"), x["h"]["rule"].alias("rule")
+    )
 
+    def kept(ordered: Column) -> Column:
+        ends = F.transform(ordered, lambda h: F.struct(*[F.when(h["priority"] <= p, -h["back"]).otherwise(F.lit(0)).alias(f"p{p}") for p in PRIORITIES]))
+        both = F.zip_with(ordered, _before(ends, kind, most, none), lambda h, e: F.struct(h.alias("h"), (reached(h, e) >= -h["back"]).alias("gone")))
+        return F.transform(F.filter(both, lambda x: ~x["gone"]), made)
 
-def _outer(h: Column, g: Column) -> Column:
-    """g covers h and comes before it: a better priority; or the same, and longer or of an earlier rule."""
-    covers = (g["start"] <= h["start"]) & (g["stop"] >= h["stop"])
-    longer = (g["start"] < h["start"]) | (g["stop"] > h["stop"])
-    return covers & ((g["priority"] < h["priority"]) | ((g["priority"] == h["priority"]) & (longer | (g["rule"] < h["rule"]))))
+    return _let(F.array_sort(hits), kept)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``words`` (count), ``base`` (places, first, last, labels) and ``hits`` (detections that stay).
 
-    Hits are places in the text's words joined by single spaces, with label, rule, priority and confidence.
-    Null and empty texts have no words and no hits. Rows are independent: nothing is shuffled. Columns
-    of those three names are replaced.
+    Hits are places in the text's words joined by single spaces, with label, rule, priority and confidence; A-Z are lower-cased
+    and no other letters. Null and empty texts have no words and no hits. Very long texts are scanned whole, in time in proportion
+    to their length and hits. Of detections with equal places, priority and then the earlier rule decide, so no tie is
+    left open. Rows are independent: nothing is shuffled, and equal rows have equal results. Columns of those three names are replaced.
     """
-    docs = docs.drop("words", "base", "hits")
-    letters = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    out = docs.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    gate = F.col("__low").rlike(NAMED) | (F.contains("__low", F.lit("mit")) & F.col("__low").rlike(NOTED))
+    docs = drop_clashing(docs, "words", "base", "hits")
+    low_, norm_, present_ = fresh(docs, "low", "norm", "present")
+    out = docs.withColumn(low_, F.translate(F.coalesce(F.col(text), F.lit("")), _CAPITALS, _CAPITALS.lower()))
+    gate = F.col(low_).rlike(NAMED) | (F.contains(low_, F.lit("mit")) & F.col(low_).rlike(NOTED))
     for stem in STEMS:
-        gate = gate | F.contains("__low", F.lit(stem))
-    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace("__low", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
-    out = out.withColumn("words", F.regexp_count("__low", F.lit(letters)).cast("long")).withColumn("__norm", F.when(gate, norm)).drop("__low")
+        gate = gate | F.contains(low_, F.lit(stem))
+    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(low_, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
+    out = out.withColumn("words", F.regexp_count(low_, F.lit(_LETTERS)).cast("long")).withColumn(norm_, F.when(gate, norm)).drop(low_)
 
-    n = F.col("__norm")
+    n = F.col(norm_)
     spaces = lambda s: (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
     places, firsts, lasts, labels = [], [], [], []
     for phrase, label in BASE:
@@ -185,12 +125,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     keywords = sorted({r["keyword"] for r in RULES})
     rules = F.from_json(F.lit(json.dumps(RULES)), _RULE)
     present = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(n, k))
-    out = out.withColumn("base", base).withColumn("__present", F.when(n.isNotNull(), present))
-    held = F.filter(rules, lambda r: F.array_contains(F.col("__present"), r["keyword"]))
+    out = out.withColumn("base", base).withColumn(present_, F.when(n.isNotNull(), present))
+    held = F.filter(rules, lambda r: F.array_contains(F.col(present_), r["keyword"]))
     found = F.flatten(F.transform(held, lambda r: _places(n, r)))
-    out = out.withColumn("__hits", F.when(F.size("__present") > 0, found))
-    stay = F.filter("__hits", lambda h: ~F.exists("__hits", lambda g: _outer(h, g)))
-    return out.withColumn("hits", F.coalesce(stay, F.array().cast(_HIT))).drop("__norm", "__present", "__hits")
+    out = out.withColumn("hits", F.when(F.size(present_) > 0, found))
+    return out.withColumn("hits", F.coalesce(F.when(F.size("hits") > 0, _stay(F.col("hits"))), F.array().cast(_HIT))).drop(norm_, present_)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -576,11 +576,14 @@ def test_license_scan(spark):
         assert (",".join(sorted(r.base["labels"] or [])), ",".join(got), r.base["places"] or 0) == (base, labels, n), text
 
 
-def test_license_rules_pass_the_gate():
-    assert len(license_scan.RULES) > 200
+def test_license_rules_hold_their_keywords():
+    rng = random.Random(5)
+    assert len(license_scan.RULES) > 200 and len({r["pattern"] for r in license_scan.RULES}) == len(license_scan.RULES)
     for r in license_scan.RULES:
         held = r["pattern"].replace("licen[cs]e", "license")
         assert any(stem in held for stem in license_scan.STEMS) or "cc by" in held, r
+        parsed = re._parser.parse(r["pattern"])
+        assert all(r["keyword"] in a_match(parsed, rng) for _ in range(20)), r
 
 
 def a_match(parts, rng):
@@ -624,11 +627,56 @@ def test_license_needs_more_than_mit(spark):
     assert [[h["label"] for h in r.hits] for r in rows] == [[], [], ["mit"]]
 
 
+def brute_hits(text):
+    """All detections in the text's words, and those that stay, by comparing each with all others."""
+    norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))) + " "
+    hits = [(m.start(), m.end(), r["priority"], r["rule"], r["label"]) for r in license_scan.RULES for m in re.finditer(r["pattern"], norm)]
+    inside = lambda g, h: g[0] <= h[0] and g[1] >= h[1] and (g[2] < h[2] or (g[2] == h[2] and (g[:2] != h[:2] or g[3] < h[3])))
+    return [h for h in hits if not any(inside(g, h) for g in hits)]
+
+
 def test_license_suppression(spark):
     r = license_scan.scan(docs_of(spark, ["licensed under the mit license"])).first()
     assert [h["label"] for h in r.hits] == ["mit"]  # the notice covers the name
     assert license_scan.scan(odd_docs(spark)).count() == 8
     assert license_scan.scan(empty_docs(spark)).count() == 0
+    rng = random.Random(12)
+    parsed = [re._parser.parse(r["pattern"]) for r in license_scan.RULES]
+    texts = [" ".join(a_match(rng.choice(parsed), rng) if rng.random() < 0.6 else rng.choice(("the", "or,\n", "MIT", "License", "GNU", "KELVIN \u212a", "İ")) for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    texts.append(" ".join(["Licensed under the Apache License, Version 2.0 or the GNU General Public License v3."] * 300))
+    for text, r in zip(texts, license_scan.scan(docs_of(spark, texts)).orderBy("doc_id").collect(), strict=True):
+        assert sorted((h["start"], h["stop"], h["priority"], h["rule"], h["label"]) for h in r.hits) == sorted(brute_hits(text)), text
+
+
+def test_license_scan_of_a_long_text_takes_time_in_proportion(spark):
+    import time
+
+    notice = "Licensed under the Apache License, Version 2.0 and the MIT license.\n"
+    took = []
+    for n in (20, 2000, 8000):
+        df = docs_of(spark, [notice * n]).cache()
+        df.count()
+        start = time.time()
+        assert license_scan.scan(df).select(F.size("hits")).first()[0] == 2 * n
+        took.append(time.time() - start)
+    assert took[2] < 8 * max(took[1], 1)
+
+
+def test_license_contract_against_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in license_scan.op8_license_scan(spark, d).collect()}
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+    for doc, text in docs:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        at = [(k, label) for k in range(len(words)) for p, label in phrases.items() if tuple(words[k : k + len(p)]) == p]
+        base = sorted({label for _, label in at})
+        labels = sorted({*base, *(h[4] for h in brute_hits(text))})
+        r = got[doc]
+        assert (r.n_words, r.n_base, r.base_labels, r.labels) == (len(words), len(at), ",".join(base), ",".join(labels))
+        assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
+        assert 0 <= r.score <= 1 and (r.score > 0) == bool(brute_hits(text))
 
 
 # --- Classifiers
