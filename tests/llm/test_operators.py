@@ -365,6 +365,44 @@ def test_field_decodes_the_best_path():
         assert tuple(f.decode(x)) == max(itertools.product((0, 1), repeat=n), key=score)
 
 
+def test_marginals_and_gradients_by_brute_force():
+    rng = np.random.default_rng(6)
+    f = quality_rules.Field(rng.normal(size=(quality_rules.N_FEATURES, 2)), rng.normal(size=(2, 2)))
+    lengths, y = np.array([6, 4, 4, 1]), np.array([1, 0, 1, 0])
+    x, weight = rng.normal(size=(15, quality_rules.N_FEATURES)), rng.random(4)
+    node, pair, total = f.marginals(x, lengths)
+    at = 0
+    for n, z in zip(lengths, total, strict=True):
+        score = x[at : at + n] @ f.emit
+        paths = list(itertools.product((0, 1), repeat=int(n)))
+        p = np.array([sum(score[t, k] for t, k in enumerate(q)) + sum(f.move[a, b] for a, b in itertools.pairwise(q)) for q in paths])
+        assert np.logaddexp.reduce(p) == pytest.approx(z)
+        p = np.exp(p - z)
+        for t in range(n):
+            assert node[at + t, 1] == pytest.approx(sum(w for q, w in zip(paths, p, strict=True) if q[t]))
+            if t:
+                assert pair[at + t, 1, 0] == pytest.approx(sum(w for q, w in zip(paths, p, strict=True) if (q[t - 1], q[t]) == (1, 0)))
+        at += n
+    _, g_emit, g_move = f.loss(x, lengths, y, weight)
+    for values, g in ((f.emit, g_emit), (f.move, g_move)):
+        for k in itertools.islice(np.ndindex(values.shape), 8):
+            out = []
+            for step in (1e-5, -2e-5):
+                values[k] += step
+                out.append(f.loss(x, lengths, y, weight)[0])
+            values[k] += 1e-5
+            assert (out[0] - out[1]) / 2e-5 == pytest.approx(g[k], abs=1e-6)
+
+
+def test_verdict_on_labelled_documents(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    rows = quality_rules.op5_quality_rules(spark, d).join(labels, "doc_id").where("not base_failed").collect()
+    good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
+    print(len(good), len(bad), np.mean(good), np.mean(bad))
+    assert np.mean(good) > 0.95 and np.mean(bad) < 0.3
+
+
 def test_field_learns():
     rng = np.random.default_rng(8)
     docs, labels = [], []
