@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ._common import components, table, written
 
-#: Vectors for each pivot, and pivots at most.
-PER_PIVOT, MOST_PIVOTS = 16_384, 1024
+#: Vectors for each pivot, and pivots at most (a broadcast of so many vectors); beyond, cells have more tiles.
+PER_PIVOT, MOST_PIVOTS = 16_384, 4096
 #: Vectors of a block; a tile holds two.
 BLOCK = 8192
 
@@ -36,9 +36,14 @@ def _near(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray,
     """The nearest pivot of each unit vector, and which cells it goes to."""
     dots = x @ pivots.T
     home = dots.argmax(1)
-    apart = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(2), 0))[home]
     own = dots[np.arange(len(x)), home][:, None]
-    return home, own - dots <= reach * apart + 1e-9
+    # Rounding of the pivots' distances makes cells larger by a hair, never smaller.
+    apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0) + 1e-9)
+    there = np.empty(dots.shape, bool)
+    for lo in range(0, len(x), 256):
+        part = slice(lo, lo + 256)
+        there[part] = own[part] - dots[part] <= reach * apart[home[part]] + 1e-9
+    return home, there
 
 
 def _assigned(pivots: dict[int, np.ndarray], reach: float, counts: dict[int, tuple[int, int]] | None):
@@ -111,7 +116,7 @@ def _joined(least: float):
     return join
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, column: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.95, column: str = "embedding", per_pivot: int = PER_PIVOT) -> DataFrame:
     """(vec_id, n_links, component_id long, kept boolean) for each row of ``vectors`` (vec_id, ``column``).
 
     Two vectors link when their cosine, in double precision, is ``least`` or more. A vector that is null or empty,
@@ -119,13 +124,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, column: str = "embeddi
     lengths with each other. Copies of one vector are joined as one and counted as many. ``n_links`` counts
     other vec_ids, ``component_id`` is the smallest vec_id reachable, ``kept`` marks that one. A null
     vec_id is returned with null in the other columns. Other columns are ignored; an empty input gives an empty
-    result; rows that repeat a vec_id with one vector count once.
+    result; rows that repeat a vec_id are one vector, of several different ones that with the smallest md5. The larger a
+    cell, the more tiles it has; ``per_pivot`` vectors make a cell on average.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce((F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     keyed = vectors.withColumn("key", F.when(good & F.col("vec_id").isNotNull(), F.md5(F.col("v").cast("string").cast("binary"))))
-    keys = written(keyed.where("key is not null").select("vec_id", "key").distinct(), "embedding-keys")
+    keys = written(keyed.where("key is not null").groupBy("vec_id").agg(F.min("key").alias("key")), "embedding-keys")
     firsts = written(keys.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "embedding-firsts")
     of = written(keys.join(firsts, "key").select("vec_id", "rep", "m"), "embedding-reps")
     heads = firsts.select(F.col("rep").alias("vec_id"), "key", "m")
@@ -134,7 +140,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, column: str = "embeddi
 
     n = reps.count()
     chosen: dict[int, list] = {}
-    for r in reps.orderBy(F.xxhash64("h"), "rep").limit(min(MOST_PIVOTS, n // PER_PIVOT + 1)).collect():
+    for r in reps.orderBy(F.xxhash64("h"), "rep").limit(min(MOST_PIVOTS, n // per_pivot + 1)).collect():
         chosen.setdefault(len(r["v"]), []).append(r["v"])
     pivots = {k: _unit(v) for k, v in chosen.items()}
     reach = math.sqrt(max(0.0, 2 - 2 * least))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import ahocorasick
 import pyarrow as pa
@@ -12,8 +13,11 @@ from ._common import small_batches, table
 
 #: Stands for the white space before a word.
 MARK = "▁"
-#: What an unknown character costs below the worst piece.
-UNKNOWN = 10
+#: What an unknown character costs below the worst piece: 10 in the unit of log-probabilities, in thousandths.
+UNKNOWN = 10_000
+#: Characters at which str.split() parts words and the tokenizer doesn't.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words whose counts a worker keeps, at most.
 KEPT_WORDS = 400_000
 
@@ -91,6 +95,11 @@ class Counter:
         return total & ((1 << 40) - 1), -(total >> 40)
 
 
+def words_of(text: str) -> list[str]:
+    """Words ``[^\\x20\\x09-\\x0D]+``."""
+    return _WORD.findall(text) if _ODD.search(text) else text.split()
+
+
 _counters: dict[str, Counter] = {}
 
 
@@ -101,9 +110,9 @@ def counter(model_path: str) -> Counter:
 
 
 def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, n_words, n_tokens, score - long): words apart by white space, pieces of the whole text, and the
-    best segmentation's score in thousandths. Null and empty texts have zeros. Rows are independent; other
-    columns are not read; an empty input gives an empty result.
+    """(doc_id, n_words, n_tokens, score - long): words apart by blanks, tabs and line ends, pieces of the whole
+    text, of any length, and the best segmentation's score in thousandths; ties by the tokenizer's rules. Null and empty texts
+    have zeros. Rows are independent, equal ones have equal results; other columns are not read; an empty input gives an empty result.
     """
 
     small_batches(docs.sparkSession)
@@ -113,7 +122,7 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
         for b in batches:
             rows = []
             for text in b.column("text").to_pylist():
-                words = (text or "").split()
+                words = words_of(text or "")
                 rows.append((len(words), *count(words)))
             columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns]], names=["doc_id", "n_words", "n_tokens", "score"])

@@ -316,6 +316,34 @@ def test_embedding_join(spark):
     assert embedding_join.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("per_pivot", [1000, 40, 8])
+def test_embedding_join_through_many_cells(spark, per_pivot):
+    """Clustered vectors, copies and ties through one, eight and forty cells: links, components and counts by brute force."""
+    rng = np.random.default_rng(per_pivot)
+    centres = rng.normal(size=(14, 7))
+    x = np.float32(centres[rng.integers(0, 14, 320)] + rng.normal(scale=0.3, size=(320, 7))).astype(float)
+    x[100:130] = x[0:30]
+    x[130:140] = 2 * x[0:10]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    rows += rows[5:9]  # repeated rows
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), per_pivot=per_pivot).collect()}
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (y @ y.T >= 0.95) & ~np.eye(320, dtype=bool)
+    root = np.arange(320)
+    for _ in range(320):
+        new = np.minimum(root, np.where(link, root[None], 320).min(1))
+        if (new == root).all():
+            break
+        root = new
+    assert got == {k: (int(link[k].sum()), int(root[k]), bool(root[k] == k)) for k in range(320)}
+
+
+def test_a_vector_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 0.001]), (3, [0.001, 1.0]), (4, [1.0, 0.0])]
+    got = {r.vec_id: r.n_links for r in embedding_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == 4 and got[2] in (1, 2) and got[1] in (1, 2)
+
+
 def test_cells_hold_all_within_reach():
     rng = np.random.default_rng(5)
     centres = embedding_join._unit(rng.normal(size=(12, 6)).tolist())
@@ -438,12 +466,31 @@ def test_counts_equal_the_tokenizer():
         vocab = [(p, float(s)) for p, s in pieces.items()] + [("<unk>", float(min(pieces.values())))]
         t = Tokenizer(models.Unigram(vocab, unk_id=len(pieces)))
         t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=token_counts.MARK, prepend_scheme="always", split=False)
-        count = token_counts.Counter(pieces)
+        count = token_counts.Counter({p: 1000 * s for p, s in pieces.items()})
         for _ in range(40):
             w = ["".join(rng.choices("abcdé", k=rng.randint(1, 8))) for _ in range(rng.randint(1, 5))]
             assert count(w)[0] == len(t.encode(" ".join(w)).tokens), (pieces, w)
 
 
+def test_counts_of_real_texts_equal_the_tokenizer():
+    """The 32k vocabulary over whole documents, with unknown characters and odd blanks, against the usual unigram tokenizer."""
+    import duckdb
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    import public_tokenizers
+
+    pieces = token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    vocab = [(p, s / 1000) for p, s in pieces.items()] + [("<unk>", min(pieces.values()) / 1000)]
+    t = Tokenizer(models.Unigram(vocab, unk_id=len(pieces)))
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex("[\\x20\\x09-\\x0D]+"), "removed"), pre_tokenizers.Metaspace(replacement=token_counts.MARK, prepend_scheme="always", split=False)])
+    count = token_counts.Counter(pieces)
+    texts = [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet' where text is not null").fetchall()]
+    texts += ["ab\u00a0cd \u4e9c\u5516\ud7a3 x\U0001f98a\U0001f98ay", "a\x1cb\x85c", "\u2603\u2603\u2603 \U0001f98a"]
+    for text in texts:
+        got, expected = count(token_counts.words_of(text))[0], len(t.encode(text).tokens)
+        assert got == expected, text[:100]
+
+
 def test_token_counts_edges(spark):
     import public_tokenizers
 
