@@ -1,80 +1,151 @@
-"""Quality scores: random-indexing word vectors, pooled per document, and a calibrated two-layer network."""
+"""Quality scores: random-indexing word vectors, pooled per document, and a calibrated two-layer network.
+
+Words fall into hash buckets. Each bucket has a sparse random index vector, and a context vector: the sum of the index
+vectors of the words around its words, over all documents of the corpus. A bounded sample of labelled documents
+teaches the network alone.
+"""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded, crc32_mod, small_batches, table, texts_of
+from ._common import bounded, crc32_mod, fresh, small_batches, table, texts_of
 
-#: Components of a word vector, and how many of an index vector are set.
-DIMENSIONS, SET = 96, 6
-#: Labelled documents that are learned from, and words that get a vector, at most.
-MOST_DOCUMENTS, MOST_WORDS = 3000, 20_000
+#: Buckets of words, components of a vector, and how many of an index vector are set.
+BUCKETS, DIMENSIONS, SET = 1 << 15, 64, 6
+#: Labelled documents that are learned from, at most.
+MOST_DOCUMENTS = 3000
 #: Neighbours on each side whose index vectors a word's vector adds up.
 CONTEXT = 2
+#: Buckets of a row in which a task hands on its sums; tasks whose sums are added up at first.
+ROWS, TOGETHER = 512, 32
+#: Words whose buckets a worker remembers; then it starts anew.
+REMEMBERED = 400_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 
 
-def _index_vector(word: str) -> np.ndarray:
-    """A sparse vector of a few ones and minus ones, drawn from the word's hash."""
-    rng = np.random.default_rng(xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")))
-    v = np.zeros(DIMENSIONS, np.float32)
-    v[rng.choice(DIMENSIONS, SET, replace=False)] = np.where(np.arange(SET) % 2, -1, 1) / np.sqrt(SET)
-    return v
+class _Buckets(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        b = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) & (BUCKETS - 1)
+        return b
+
+
+_buckets = _Buckets()
+
+
+def buckets_of(text: str | None) -> np.ndarray:
+    tokens = _TOKEN.findall(text or "")
+    return np.fromiter(map(_buckets.__getitem__, tokens), np.int32, len(tokens))
+
+
+def index_places() -> np.ndarray:
+    """Which components of each bucket's index vector are set, half of them to 1 and half to -1; the row behind the last has none."""
+    return np.random.default_rng(10).random((BUCKETS, DIMENSIONS)).argsort(1)[:, :SET].astype(np.int64)
+
+
+def index_vectors(places: np.ndarray) -> np.ndarray:
+    out = np.zeros((BUCKETS, DIMENSIONS), np.float32)
+    np.put_along_axis(out, places, np.where(np.arange(SET) % 2, -1, 1).astype(np.float32) / np.float32(np.sqrt(SET)), 1)
+    return out
+
+
+def add_contexts(sums: np.ndarray, ids: np.ndarray, places: np.ndarray) -> None:
+    """Adds the index vectors (unscaled) of the words around each word to its bucket's row; -1 parts documents."""
+    flat = sums.reshape(-1)
+    for d in range(1, CONTEXT + 1):
+        a, b = ids[:-d], ids[d:]
+        near = (a >= 0) & (b >= 0)
+        if d > 1:
+            near &= ids[1:-1] >= 0
+        a, b = a[near].astype(np.int64), b[near].astype(np.int64)
+        for k in range(SET):
+            step = -1 if k % 2 else 1
+            np.add.at(flat, a * DIMENSIONS + places[b, k], step)
+            np.add.at(flat, b * DIMENSIONS + places[a, k], step)
+
+
+def _summed(t: pa.Table) -> pa.Table:
+    out = sum(np.frombuffer(x, "<i8") for x in t.column("sums").to_pylist())
+    n = sum(np.frombuffer(x, "<i8") for x in t.column("n").to_pylist())
+    return pa.table({"row": t.column("row")[:1].cast(pa.int32()), "part": t.column("part")[:1].cast(pa.int32()), "sums": pa.array([out.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
+
+
+def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A unit context vector for each bucket (zeros where none of its words stands), and how often its words stand, over all documents.
+
+    Every task adds up its own documents in one table of fixed size; the tables are added up in two steps, some
+    tasks at a time. What comes to the driver has the size of one table.
+    """
+    spark = docs.sparkSession
+
+    def gathered(batches):
+        places, sums, n = index_places(), np.zeros((BUCKETS, DIMENSIONS), np.int32), np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            parts = [np.array([-1], np.int32)]
+            for text in b.column("text").to_pylist():
+                parts += [buckets_of(text), parts[0]]
+            ids = np.concatenate(parts)
+            n += np.bincount(ids[ids >= 0], minlength=BUCKETS)
+            add_contexts(sums, ids, places)
+        part = TaskContext.get().partitionId() % TOGETHER
+        for row in range(BUCKETS // ROWS):
+            some = slice(row * ROWS, (row + 1) * ROWS)
+            if n[some].any():
+                columns = [pa.array([row], pa.int32()), pa.array([part], pa.int32()), pa.array([sums[some].astype("<i8").tobytes()], pa.binary()), pa.array([n[some].astype("<i8").tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "part", "sums", "n"])
+
+    small_batches(spark)
+    kind = "row int, part int, sums binary, n binary"
+    # A task's table has a fixed size, so there are not many more tasks than can run.
+    texts = docs.select("text").coalesce(4 * spark.sparkContext.defaultParallelism)
+    found = texts.mapInArrow(gathered, kind).groupBy("row", "part").applyInArrow(_summed, kind).groupBy("row").applyInArrow(_summed, kind)
+    vectors, counts = np.zeros((BUCKETS, DIMENSIONS)), np.zeros(BUCKETS, np.int64)
+    for r in found.collect():
+        some = slice(r["row"] * ROWS, (r["row"] + 1) * ROWS)
+        vectors[some] = np.frombuffer(r["sums"], "<i8").reshape(-1, DIMENSIONS)
+        counts[some] = np.frombuffer(r["n"], "<i8")
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
+    return vectors.astype(np.float32), counts
 
 
 class Model:
     """Word vectors, the network over pooled vectors, and its temperature."""
 
-    def __init__(self, texts: list[str | None], labels: list[int], seed: int = 10):
-        counts = Counter(w for t in texts for w in _TOKEN.findall(t or ""))
-        most = sorted(counts, key=lambda w: (-counts[w], w))[:MOST_WORDS]
-        self.ids = {w: k for k, w in enumerate(most)}
-        n = len(most)
-        # Row n stands for all other words; they have no direction of their own.
-        self.index = np.zeros((n + 1, DIMENSIONS), np.float32)
-        for w, k in self.ids.items():
-            self.index[k] = _index_vector(w)
-        context = self.index.copy()
-        for t in texts:
-            ids = self._ids(t)
-            for d in range(1, CONTEXT + 1):
-                if len(ids) > d:
-                    np.add.at(context, ids[d:], self.index[ids[:-d]])
-                    np.add.at(context, ids[:-d], self.index[ids[d:]])
-        context[n] = 0
-        self.words = context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
-        x = np.stack([self.pooled(t) for t in texts]) if texts else np.zeros((0, 2 * DIMENSIONS + 3))
-        self._fit(x.astype(np.float64), np.array(labels, np.float64), np.random.default_rng(seed))
-
-    def _ids(self, text: str | None) -> np.ndarray:
-        tokens = _TOKEN.findall(text or "")
-        other, get = len(self.ids), self.ids.get
-        return np.fromiter((get(w, other) for w in tokens), np.int64, len(tokens))
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        self.words, self.index = words, index_vectors(index_places())
+        self.rarity = np.log1p(counts.max() / (counts + 1.0)).astype(np.float32) / 10 if counts.any() else np.zeros(BUCKETS, np.float32)
 
     def pooled(self, text: str | None) -> np.ndarray:
-        """Mean word vector, mean index vector's size by part, and how many words are known; zeros for no word."""
-        ids = self._ids(text)
+        """Mean word vector, mean index vector's size by part, how rare the words are and how many; zeros for no word."""
+        ids = buckets_of(text)
         out = np.zeros(2 * DIMENSIONS + 3, np.float32)
         if len(ids):
-            seen, n = np.unique(ids, return_counts=True)
-            share = (n / len(ids)).astype(np.float32)
+            n = np.bincount(ids)
+            seen = np.flatnonzero(n)
+            share = (n[seen] / len(ids)).astype(np.float32)
             for lo in range(0, len(seen), 8192):
                 out[:DIMENSIONS] += share[lo : lo + 8192] @ self.words[seen[lo : lo + 8192]]
                 out[DIMENSIONS : 2 * DIMENSIONS] += share[lo : lo + 8192] @ self.index[seen[lo : lo + 8192]]
             mean = out[DIMENSIONS : 2 * DIMENSIONS]
-            out[-3:] = np.linalg.norm(mean), float(share[seen == len(self.ids)].sum()), np.log1p(len(ids)) / 10
+            out[-3:] = np.linalg.norm(mean), share @ self.rarity[seen], np.log1p(len(ids)) / 10
             out[DIMENSIONS : 2 * DIMENSIONS] = np.abs(mean)
         return out
 
+    def fit(self, x: np.ndarray, labels: list[int], seed: int = 10) -> Model:
+        """Learns from pooled vectors and their labels, 0 or 1."""
+        self._fit(x.astype(np.float64), np.array(labels, np.float64), np.random.default_rng(seed))
+        return self
+
     def _fit(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, hidden: int = 32, steps: int = 500) -> None:
         d = x.shape[1]
         self.mean = x.mean(0) if len(x) else np.zeros(d)
@@ -102,7 +173,7 @@ class Model:
         if held.any():
             z, t = self._logits(x[held]), y[held]
             loss = lambda s: np.logaddexp(0, np.where(t > 0, -z, z) / s).mean()
-            self.temperature = float(min(np.geomspace(1, 8, 60), key=loss))
+            self.temperature = float(min(np.geomspace(0.25, 8, 80), key=loss))
 
     def _logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(x @ self.net[0] + self.net[1]) @ self.net[2] + self.net[3]
@@ -113,19 +184,31 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_DOCUMENTS, seed: int = 10) -> Model:
-    """Learns from ``most`` labelled documents at most, chosen by a hash of doc_id. Null labels teach nothing."""
-    small_batches(docs.sparkSession)
-    labels = labels.select("doc_id", F.col(label).cast("int").alias("__label")).where("doc_id is not null and __label is not null")
-    labels = bounded(labels.groupBy("doc_id").agg(F.max("__label").alias("__label")), most, seed)
-    rows = texts_of(docs.select("doc_id", "text"), labels).select("doc_id", "text", "__label").collect()
-    rows.sort(key=lambda r: (r[0], r[1] or ""))
-    return Model([r[1] for r in rows], [int(r[2] > 0) for r in rows], seed)
+    """Word vectors of all ``docs``; the network learns from ``most`` labelled documents at most, chosen by a hash of doc_id,
+    of which the driver gets the pooled vectors. Null labels teach nothing."""
+    model = Model(*word_vectors(docs))
+    (name,) = fresh(docs, "label")
+    labels = labels.select("doc_id", F.col(label).cast("int").alias(name)).where(F.col("doc_id").isNotNull() & F.col(name).isNotNull())
+    labels = bounded(labels.groupBy("doc_id").agg(F.max(name).alias(name)), most, seed)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def pooled(batches):
+        for b in batches:
+            made = [sent.value.pooled(t).astype("<f4").tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(name), b.column("place"), pa.array(made, pa.binary())], names=["label", "place", "x"])
+
+    some = texts_of(docs.select("doc_id", "text"), labels).select("text", name, F.xxhash64("doc_id", "text").alias("place"))
+    # A doc_id may stand in many rows: of those, the first by a hash.
+    rows = some.mapInArrow(pooled, "label int, place long, x binary").orderBy("place").limit(2 * most).collect()
+    rows.sort(key=lambda r: (r["place"], bytes(r["x"])))
+    x = np.stack([np.frombuffer(r["x"], "<f4") for r in rows]) if rows else np.zeros((0, 2 * DIMENSIONS + 3))
+    return model.fit(x, [int(r["label"] > 0) for r in rows], seed)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score double): how likely label 1 is for each whole text. Null and empty texts get the score of
-    no words. Other columns are not read; equal rows get equal scores; an empty input gives an empty result."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # MOST_WORDS vectors at most
+    no words, very long texts are pooled whole. Other columns are not read; equal rows get equal scores; an empty input gives an empty result."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # two vectors a bucket
 
     def predict(batches):
         for b in batches:

@@ -788,6 +788,32 @@ def test_quality_classifier(spark):
     assert np.mean([r.predicted == r.quality for r in got]) > 0.95 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_quality_scores_are_calibrated(spark):
+    """Over held-out documents, mean scores and shares of label 1 are near each other, in all and where the model is sure."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    rows = quality_classifier.op10_quality_classifier(spark, d).join(labels, "doc_id").where("held_out").select("score", "quality").collect()
+    s, y = np.array([r.score for r in rows]), np.array([r.quality for r in rows])
+    assert abs(s.mean() - y.mean()) < 0.03 and np.mean((s >= 0.5) == y) > 0.95
+    for part in (s < 0.2, s > 0.8):
+        assert abs(s[part].mean() - y[part].mean()) < 0.05
+
+
+def test_contexts_by_brute_force(spark):
+    texts = ["a b c a d", "b a", "", None, "d d d e"]
+    words, counts = quality_classifier.word_vectors(docs_of(spark, texts))
+    index, of = quality_classifier.index_vectors(quality_classifier.index_places()), lambda w: int(quality_classifier.buckets_of(w)[0])
+    expected = np.zeros_like(index)
+    for text in texts:
+        tokens = (text or "").split()
+        for i, w in enumerate(tokens):
+            for j in range(max(0, i - 2), min(len(tokens), i + 3)):
+                if i != j:
+                    expected[of(w)] += index[of(tokens[j])]
+    expected /= np.maximum(np.linalg.norm(expected, axis=1, keepdims=True), 1e-6)
+    assert np.allclose(words, expected, atol=1e-5) and counts[of("d")] == 4 and counts.sum() == 11
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(4, 0), (5, 1), (6, None), (None, 1)], "doc_id long, quality int")
     m = quality_classifier.learn(odd_docs(spark), labels)
