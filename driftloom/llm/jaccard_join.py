@@ -28,15 +28,15 @@ from ._common import components, discard, shuffle_partitions, small_batches, tab
 from ._text import mixed, shingle_set
 
 #: Documents of a tile up to which all its pairs are compared: in the first round, and in further ones.
-SHORT, SHORTER = 48, 16
+SHORT, SHORTER = 16, 16
 #: Ids up to which a list of documents is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Documents of a block in the last round.
 BLOCK = 2048
 #: Postings that a task gathers before it hands them on.
 GATHERED = 600_000
-#: Cells of the sketch (a byte each in every task), and how many times the mean a common one holds.
-CELLS, COMMON = 1 << 22, 4
+#: Cells of the sketch (a byte each in every task).
+CELLS = 1 << 22
 #: Of a document's hashes, the shares among which the further rounds look for settled tiles.
 ROUNDS = (0.3, 1.0)
 
@@ -108,7 +108,7 @@ def _dealt(docs, sizes, groups, within, taken, n_buckets: int):
 def _sketched(batches):
     """(cell, n) of the cells that stand out in this task, and (-1, all shingles).
 
-    A cell that holds ``COMMON`` times the mean of all tasks stands out in those that hold most of it.
+    A cell that holds much more than the mean of all tasks stands out in those that hold most of it.
     """
     counts, total = np.zeros(CELLS, np.int32), 0
     for b in batches:
@@ -117,15 +117,19 @@ def _sketched(batches):
             total += len(h)
             np.add.at(counts, (h & np.uint64(CELLS - 1)).astype(np.int64), 1)
     mean = total / CELLS
-    cells = np.flatnonzero(counts > max(1, COMMON * mean / 2 + 4 * math.sqrt(mean)))
+    cells = np.flatnonzero(counts > max(1, mean + 2 * math.sqrt(mean)))
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, cells], pa.int32()), pa.array(np.r_[total, counts[cells]], pa.int64())], names=["cell", "n"])
 
 
 def _common_cells(texts: DataFrame) -> np.ndarray:
-    """A class for each cell of the sketch: 0 for most, higher the more shingles it holds. Two cells in CELLS at most come to the driver."""
+    """A class for each cell of the sketch: 0 for most, higher the more shingles it holds. The sketch bounds what comes to the driver.
+
+    Which cells are common changes only how work is dealt, not the links that are found.
+    """
     held = written(texts.mapInArrow(_sketched, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "jaccard-sketch")
     total = held.where("cell < 0").agg(F.sum("n")).first()[0] or 0
-    least = max(SHORT, COMMON * total / CELLS)
+    mean = total / CELLS
+    least = max(SHORT, 0.75 * mean + 3 * math.sqrt(mean))
     found = held.where((F.col("cell") >= 0) & (F.col("n") > least)).select("cell", F.least(F.lit(255), F.floor(F.log2(F.col("n") / least)) + 1).cast("int").alias("rank")).toArrow()
     out = np.zeros(CELLS, np.uint8)
     out[found.column("cell").to_numpy()] = found.column("rank").to_numpy()
