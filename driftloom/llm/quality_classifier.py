@@ -49,29 +49,38 @@ def buckets_of(text: str | None) -> np.ndarray:
 
 
 def index_places() -> np.ndarray:
-    """Which components of each bucket's index vector are set, half of them to 1 and half to -1; the row behind the last has none."""
+    """Which components of each bucket's index vector are set, half of them to 1 and half to -1."""
     return np.random.default_rng(10).random((BUCKETS, DIMENSIONS)).argsort(1)[:, :SET].astype(np.int64)
 
 
-def index_vectors(places: np.ndarray) -> np.ndarray:
-    out = np.zeros((BUCKETS, DIMENSIONS), np.float32)
-    np.put_along_axis(out, places, np.where(np.arange(SET) % 2, -1, 1).astype(np.float32) / np.float32(np.sqrt(SET)), 1)
+def index_signs(places: np.ndarray) -> np.ndarray:
+    """The index vectors' components as 1, -1 and 0."""
+    out = np.zeros((BUCKETS, DIMENSIONS), np.int32)
+    np.put_along_axis(out, places, np.where(np.arange(SET) % 2, -1, 1).astype(np.int32), 1)
     return out
 
 
-def add_contexts(sums: np.ndarray, ids: np.ndarray, places: np.ndarray) -> None:
-    """Adds the index vectors (unscaled) of the words around each word to its bucket's row; -1 parts documents."""
-    flat = sums.reshape(-1)
+def index_vectors(places: np.ndarray) -> np.ndarray:
+    return index_signs(places).astype(np.float32) / np.float32(np.sqrt(SET))
+
+
+def add_contexts(sums: np.ndarray, ids: np.ndarray, signs: np.ndarray) -> None:
+    """Adds the signs of the index vectors of the words around each word to its bucket's row; -1 parts documents.
+
+    Pairs of buckets are counted first, so that a row is added once for each pair.
+    """
+    pairs = []
     for d in range(1, CONTEXT + 1):
-        a, b = ids[:-d], ids[d:]
+        a, b = ids[:-d].astype(np.int64), ids[d:].astype(np.int64)
         near = (a >= 0) & (b >= 0)
         if d > 1:
             near &= ids[1:-1] >= 0
-        a, b = a[near].astype(np.int64), b[near].astype(np.int64)
-        for k in range(SET):
-            step = -1 if k % 2 else 1
-            np.add.at(flat, a * DIMENSIONS + places[b, k], step)
-            np.add.at(flat, b * DIMENSIONS + places[a, k], step)
+        pairs += [a[near] * BUCKETS + b[near], b[near] * BUCKETS + a[near]]
+    pairs, n = np.unique(np.concatenate(pairs), return_counts=True)
+    for lo in range(0, len(pairs), 1 << 16):
+        word, other = np.divmod(pairs[lo : lo + (1 << 16)], BUCKETS)
+        first = np.flatnonzero(np.r_[True, np.diff(word) != 0])
+        sums[word[first]] += np.add.reduceat(signs[other] * n[lo : lo + (1 << 16), None].astype(np.int32), first, axis=0)
 
 
 def _summed(t: pa.Table) -> pa.Table:
@@ -89,14 +98,14 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     spark = docs.sparkSession
 
     def gathered(batches):
-        places, sums, n = index_places(), np.zeros((BUCKETS, DIMENSIONS), np.int32), np.zeros(BUCKETS, np.int64)
+        signs, sums, n = index_signs(index_places()), np.zeros((BUCKETS, DIMENSIONS), np.int32), np.zeros(BUCKETS, np.int64)
         for b in batches:
             parts = [np.array([-1], np.int32)]
             for text in b.column("text").to_pylist():
                 parts += [buckets_of(text), parts[0]]
             ids = np.concatenate(parts)
             n += np.bincount(ids[ids >= 0], minlength=BUCKETS)
-            add_contexts(sums, ids, places)
+            add_contexts(sums, ids, signs)
         part = TaskContext.get().partitionId() % TOGETHER
         for row in range(BUCKETS // ROWS):
             some = slice(row * ROWS, (row + 1) * ROWS)
