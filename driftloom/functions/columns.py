@@ -108,16 +108,16 @@ def structural_type(described, added, removed, types) -> Column:
 def property_types(schema) -> Column:
     """Property names of a JSON schema with their types: ``type``, else oneOf or anyOf, else object. A null schema has none.
 
-    A property that is no JSON object is of type object; one that is JSON null counts as absent.
+    A property that is no JSON object is of type object; one that is JSON null has no type, but its name counts.
     """
     props = F.from_json(F.get_json_object(_col(schema), "$.properties"), "map<string,string>")
-    props = F.coalesce(F.map_filter(props, lambda k, v: v.isNotNull()), F.create_map().cast("map<string,string>"))
+    props = F.coalesce(props, F.create_map().cast("map<string,string>"))
 
     def kind(k, v):
         named = F.get_json_object(v, "$.type")
         named = F.when(named.isin("", "[]", "{}", "false", "0"), None).otherwise(named)
         has = lambda x: F.get_json_object(v, f"$.{x}").isNotNull()
-        return F.coalesce(named, F.when(has("oneOf"), "oneOf").when(has("anyOf"), "anyOf").otherwise("object"))
+        return F.when(v.isNotNull(), F.coalesce(named, F.when(has("oneOf"), "oneOf").when(has("anyOf"), "anyOf").otherwise("object")))
 
     return F.transform_values(props, kind)
 

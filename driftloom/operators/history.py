@@ -49,7 +49,7 @@ def diffs(versions: DataFrame) -> DataFrame:
 
 def single_versions(versions: DataFrame) -> DataFrame:
     """Entities that have one version only: nothing can have changed."""
-    one = versions.groupBy("repo", "tool").agg(F.count("*").alias("snapshot_count"), F.min("sha").alias("sha"), F.min("commit_date").alias("commit_date"))
+    one = versions.groupBy("repo", "tool").agg(F.count("*").alias("snapshot_count"), F.substring(F.min("sha"), 1, 8).alias("sha"), F.min("commit_date").alias("commit_date"))
     return one.where("snapshot_count = 1").withColumn("status", F.lit("no_drift_observed"))
 
 

@@ -16,8 +16,15 @@ def canonical(rows: DataFrame, names: dict[str, list[str]]) -> DataFrame:
 
 
 def validated(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """``rows`` with ``violations``: the names of the rules that do not hold. A rule that is null holds."""
-    return rows.withColumn("violations", F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(True)), name) for name, rule in rules.items()])))
+    """``rows`` with ``violations``: the names of the rules that do not hold. A rule that is null does not hold."""
+    return rows.withColumn("violations", F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items()])))
+
+
+def definition_rules(of: str = "") -> dict[str, Column]:
+    """Of a definition, or of a struct column ``of`` that holds one: all fields are required, a schema is a JSON object, a sha is not blank."""
+    c = lambda name: F.col(f"{of}.{name}" if of else name)
+    required = {name: c(name).isNotNull() for name in ("tool", "description", "source_file", "commit_date", "repo")}
+    return required | {"schema": F.substring(F.ltrim(F.get_json_object(c("schema"), "$")), 1, 1) == "{", "sha": F.trim(c("sha")) != ""}
 
 
 def seed_rules() -> dict[str, Column]:
@@ -30,6 +37,7 @@ def event_rules() -> dict[str, Column]:
         "tool": F.col("before.tool").eqNullSafe(F.col("after.tool")) & F.col("tool").eqNullSafe(F.col("before.tool")),
         "repo": F.col("before.repo").eqNullSafe(F.col("after.repo")),
         "sha": (F.trim("before.sha") != "") & (F.trim("after.sha") != ""),
+        "classified_by": F.col("classified_by").isNotNull(),
         "confidence": F.col("confidence").between(0.0, 1.0),
         "change_type": F.col("change_type").isin("cosmetic", "schema_change", "permission_change", "description_semantic_change", "name_unchanged_behavior_changed"),
     }

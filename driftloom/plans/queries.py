@@ -194,22 +194,6 @@ def description_unified_diff(spark, d):
     return e.select("repo", "tool", "to_seq", D.unified_diff("before", "after").alias("diff"), F.array_join(D.diff_lines("before", "after"), "\n").alias("view"))
 
 
-@query(
-    """SELECT old.source, old.lang AS old_lang, new.lang AS new_lang, old.block, round(inter / u, 6) AS similarity FROM
-    (SELECT o.source, o.lang, o.block, n.lang AS nl, CAST(len(list_intersect(o.w, n.w)) AS DOUBLE) AS inter, len(list_distinct(list_concat(o.w, n.w))) AS u FROM heads o JOIN heads n ON o.source = n.source AND n.block = o.block + 1 AND o.lang <> n.lang) x
-    JOIN heads old ON old.source = x.source AND old.lang = x.lang AND old.block = x.block JOIN heads new ON new.source = x.source AND new.lang = x.nl AND new.block = x.block + 1 WHERE inter / u >= 0.01""",
-    """heads AS (SELECT source, lang, doc_id // 100 AS block, list_distinct(list_filter(regexp_split_to_array(lower(arg_min(text, doc_id)), '\\s+'), lambda x: x <> '')) AS w FROM documents GROUP BY source, lang, doc_id // 100)""",
-)
-def similar_neighbours(spark, d):
-    """Word-set similarity of the first texts of neighbouring blocks, of one source and different languages."""
-    docs = table(spark, d, "documents").withColumn("block", F.expr("doc_id div 100"))
-    heads = docs.groupBy("source", "lang", "block").agg(F.min_by("text", "doc_id").alias("t")).withColumn("w", C.word_set("t")).drop("t")
-    old = heads.select("source", F.col("lang").alias("old_lang"), "block", F.col("w").alias("o"))
-    new = heads.select("source", F.col("lang").alias("new_lang"), (F.col("block") - 1).alias("block"), F.col("w").alias("n"))
-    out = old.join(new, ["source", "block"]).where("old_lang <> new_lang").withColumn("j", C.jaccard("o", "n"))
-    return out.where("j >= 0.01").select("source", "old_lang", "new_lang", "block", F.round("j", 6).alias("similarity"))
-
-
 @query(
     """SELECT o.repo, o.source_file, o.tool AS old_tool, n.tool AS new_tool, o.commit_date AS from_date, n.commit_date AS to_date, round(s, 6) AS schema_jaccard, round(t, 6) AS text_jaccard,
     CASE WHEN s >= 1 AND t >= 1 THEN 'Perfect' WHEN s >= 0.8 AND t >= 0.5 THEN 'High' ELSE 'Medium' END AS tier FROM
@@ -477,6 +461,21 @@ def row_validation(spark, d):
     return out.select("o_orderkey", C.joined("violations", ",").alias("violations"))
 
 
+@query(
+    """SELECT doc_id, concat_ws(',', CASE WHEN source IS NULL OR doc_id % 11 = 0 THEN 'description' END, CASE WHEN lang = 'de' THEN 'schema' END, CASE WHEN n_chars < 100 THEN 'sha' END) AS violations
+    FROM documents WHERE source IS NULL OR doc_id % 11 = 0 OR lang = 'de' OR n_chars < 100"""
+)
+def definition_validation(spark, d):
+    """Definitions made of documents: some without a description, with an array for a schema, or with a blank sha."""
+    lang, size, key = F.col("lang"), F.col("n_chars"), F.col("doc_id")
+    made = table(spark, d, "documents").select(
+        "doc_id", key.cast("string").alias("tool"), F.when(key % 11 != 0, F.col("source")).alias("description"), F.lit("a.py").alias("source_file"), F.lit("2024-01-01").alias("commit_date"),
+        F.lit("r").alias("repo"), F.when(lang == "de", "[1]").otherwise('{"type": "object"}').alias("schema"), F.when(size < 100, " ").otherwise("abc").alias("sha"),
+    )
+    out = seeds.validated(made, seeds.definition_rules()).where(F.size("violations") > 0)
+    return out.select("doc_id", C.joined("violations", ",").alias("violations"))
+
+
 @query("SELECT to_seq, structural_type, added AS fields FROM diffs WHERE valid AND regexp_matches(lower(after), '^[12]-') AND structural_type IN ('schema_mixed', 'type_change')", VERSIONS)
 def event_search(spark, d):
     e = _changes(spark, d).where("valid").where(C.matches("^[12]-", "after") & F.col("structural_type").isin("schema_mixed", "type_change"))
@@ -528,14 +527,14 @@ def label_distribution(spark, d):
 
 
 @query(
-    "SELECT s.doc_id AS event_id, s.source, CASE WHEN quality = 1 THEN 'A' ELSE 'B' END AS human, m.pass1, m.pass2 FROM (SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0) s JOIN labels USING (doc_id) JOIN (SELECT source, arg_max(CASE WHEN n_chars % 2 = 0 THEN 'A' ELSE 'B' END, doc_id) AS pass1, arg_max(CASE WHEN n_chars % 3 = 0 THEN 'A' ELSE 'B' END, doc_id) AS pass2 FROM documents GROUP BY source) m ON m.source = s.source"
+    "SELECT s.doc_id AS event_id, s.source, CASE WHEN quality = 1 THEN 'A' ELSE 'B' END AS human, m.pass1, m.pass2 FROM (SELECT doc_id, source FROM documents) s JOIN labels USING (doc_id) JOIN (SELECT source, arg_max(CASE WHEN n_chars % 2 = 0 THEN 'A' ELSE 'B' END, doc_id) AS pass1, arg_max(CASE WHEN n_chars % 3 = 0 THEN 'A' ELSE 'B' END, doc_id) AS pass2 FROM documents GROUP BY source) m ON m.source = s.source"
 )
 def rater_alignment(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
     human = table(spark, d, "labels").select(F.col("doc_id").alias("event_id"), F.when(F.col("quality") == 1, " a ").otherwise("b").alias("human"))
     ab = lambda k: F.when(F.col("n_chars") % k == 0, "A").otherwise("B")
     machine = docs.select("source", F.col("doc_id").alias("seq"), ab(2).alias("pass1"), ab(3).alias("pass2"))
-    return agreement.aligned(docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("event_id"), "source"), human, machine, ["source"], ["A", "B"])
+    return agreement.aligned(docs.select(F.col("doc_id").alias("event_id"), "source"), human, machine, ["source"], ["A", "B"])
 
 
 @query(

@@ -39,11 +39,13 @@ def jsonl(spark: SparkSession, path: str, schema: str | None = None, tolerant: b
 def checkpoint(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
     """A log of records, of which the last of each key counts; broken lines are passed over.
 
-    The line's place is its file's name and its place in it; one file's lines stay in order.
+    A line's place is its file's time of writing, then the file's name and its place in it: what is appended later counts.
     """
     from ..operators.seeds import last_per_key
 
-    rows = jsonl(spark, path, schema, tolerant=True).withColumn("__seq", F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")))
+    at = [F.col(f"_metadata.{c}") for c in ("file_modification_time", "file_name", "file_block_start")]
+    rows = jsonl(spark, path, schema, tolerant=True)
+    rows = rows.select("*", F.struct(*at, F.monotonically_increasing_id().alias("i")).alias("__seq"))
     return last_per_key(rows, keys, "__seq").drop("__seq")
 
 

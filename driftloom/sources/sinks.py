@@ -11,7 +11,8 @@ from . import readers
 
 
 def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
-    df.write.mode("append" if append else "overwrite").option("header", True).csv(path)
+    """With a header; quotes are doubled inside quotes, as ``readers.csv`` expects them."""
+    df.write.mode("append" if append else "overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -31,17 +32,21 @@ def append_new(df: DataFrame, path: str, keys: list[str], schema: str) -> int:
 
 
 def upsert_json(new: DataFrame, path: str, key: str, schema: str) -> None:
-    """Puts rows in place of those of the same key, in key order. Written beside, then moved in place."""
+    """Puts rows in place of those of the same key, in key order. Written beside, then moved in place: the old
+    table is moved aside first and deleted last, so that a crash at any point leaves one of the two."""
     spark = new.sparkSession
     if readers.exists(spark, path):
         new = upserted(readers.jsonl(spark, path, schema), new, key)
-    beside = f"{path}.{uuid.uuid4().hex}"
+    beside, aside = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
     new.orderBy(key).write.json(beside)
     jvm = spark.sparkContext._jvm
-    to, fro = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside))
+    to, fro, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside, aside))
     fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(to, True)
-    fs.rename(fro, to)
+    if fs.exists(to):
+        fs.rename(to, old)
+    if not fs.rename(fro, to):
+        raise OSError(f"could not move {beside} to {path}; the rows before are in {aside}")
+    fs.delete(old, True)
 
 
 def backup_once(spark, path: str, to: str) -> bool:

@@ -128,7 +128,7 @@ def test_schema_types(spark):
     schema = json.dumps({"properties": {"a": {"type": "string"}, "b": {}, "c": {"oneOf": []}, "d": {"anyOf": [1]}, "e": {"type": ["string", "null"]}, "f": {"type": ""}, "g": None}})
     df = spark.createDataFrame([(schema,), (None,), ("{}",), ("no json",)], "s string")
     got = [r[0] for r in df.select(C.property_types("s")).collect()]
-    assert got[0] == {"a": "string", "b": "object", "c": "oneOf", "d": "anyOf", "e": '["string","null"]', "f": "object"}
+    assert got[0] == {"a": "string", "b": "object", "c": "oneOf", "d": "anyOf", "e": '["string","null"]', "f": "object", "g": None}
     assert got[1:] == [{}, {}, {}]
     assert json.loads(df.select(C.sanitised_schema(F.lit('{"x":1,"type":"object","required":["a"]}'))).first()[0]) == {"type": "object", "required": ["a"]}
     assert json.loads(df.select(C.sanitised_schema(F.lit("{}"))).first()[0]) == {"type": "object", "properties": {}}
@@ -167,11 +167,32 @@ def test_extraction_over_files(spark):
 def test_event_rules(spark):
     side = "struct<repo:string,tool:string,sha:string>"
     rows = [(("r", "t", "a"), ("r", "t", "b"), "t", 0.9, "cosmetic"), (("r", "t", " "), ("q", "u", "b"), "t", 1.01, "odd"), (("r", "t", "a"), ("r", "t", "b"), "x", -0.001, "cosmetic")]
-    df = spark.createDataFrame(rows, f"before {side}, after {side}, tool string, confidence double, change_type string")
+    df = spark.createDataFrame(rows, f"before {side}, after {side}, tool string, confidence double, change_type string").withColumn("classified_by", F.lit("x"))
     got = [r.violations for r in seeds.validated(df, seeds.event_rules()).collect()]
     assert got == [[], ["tool", "repo", "sha", "confidence", "change_type"], ["tool", "confidence"]]
 
 
+def test_required_fields(spark):
+    """A field that is absent is a violation, as is a blank sha or a schema that is no object."""
+    of = "tool string, description string, source_file string, commit_date string, repo string, schema string, sha string"
+    rows = [("t", "", "f", "d", "r", "{}", "a"), (None, None, None, None, None, None, None), ("t", "x", "f", "d", "r", "[]", " "), ("t", "x", "f", "d", "r", "nope", "a")]
+    got = [r.violations for r in seeds.validated(spark.createDataFrame(rows, of), seeds.definition_rules()).collect()]
+    assert got == [[], ["tool", "description", "source_file", "commit_date", "repo", "schema", "sha"], ["schema", "sha"], ["schema"]]
+    side = "struct<repo:string,tool:string,sha:string>"
+    event = spark.createDataFrame([(None, None, "t", None, None, None)], f"before {side}, after {side}, tool string, confidence double, change_type string, classified_by string")
+    assert set(seeds.validated(event, seeds.event_rules()).first().violations) == {"tool", "sha", "classified_by", "confidence", "change_type"}
+
+
+def test_single_versions_have_short_shas(spark):
+    one = _versions(spark, [("r", "t", "2024-01-01", 1, "0123456789abcdef0123", "d", {}, "f.py")])
+    assert [r.sha for r in history.single_versions(one).collect()] == ["01234567"]
+
+
+def test_a_property_that_is_null_keeps_its_name(spark):
+    df = spark.createDataFrame([('{"properties": {"a": null, "b": {"type": "string"}}}',)], "s string")
+    assert df.select(C.property_types("s")).first()[0] == {"a": None, "b": "string"}
+
+
 def test_seed_rules_and_canonical(spark):
     df = spark.createDataFrame([("u", None, -1), (None, "s", None)], "URL string, registry_source string, stargazers int")
     out = seeds.canonical(df, {"repo_url": ["repo_url", "url"], "registry_source": ["registry_source"], "stars": ["stars", "stargazers"], "language": ["lang"]})

@@ -22,6 +22,22 @@ def test_csv_and_jsonl(spark, tmp_path):
     assert readers.optional(spark, str(tmp_path / "none"), readers.csv) is None
 
 
+def test_csv_round_trip(spark, tmp_path):
+    rows = [('q "u", v\nw', 1), ("a,b", 2), ("it's", None), ("\"", 4)]
+    sinks.write_csv(spark.createDataFrame(rows, "t string, n int"), str(tmp_path / "c"))
+    assert sorted(readers.csv(spark, str(tmp_path / "c"), "t string, n int").collect()) == sorted(rows)
+
+
+def test_what_is_appended_later_counts(spark, tmp_path):
+    import time
+
+    log, schema = str(tmp_path / "log"), "k int, v int"
+    for k in range(4):
+        spark.createDataFrame([(1, k), (k, 10)], schema).coalesce(1).write.mode("append").json(log)
+        time.sleep(0.05)
+    assert {(r.k, r.v) for r in readers.checkpoint(spark, log, schema, ["k"]).collect()} == {(0, 10), (1, 3), (2, 10), (3, 10)}
+
+
 def test_append_and_upsert(spark, tmp_path):
     log, schema = str(tmp_path / "log"), "k int, v string"
     df = spark.createDataFrame([(1, "a"), (2, "b")], schema)
