@@ -35,8 +35,8 @@ BROADCAST_IDS = 1_000_000
 BLOCK = 2048
 #: Postings that a task gathers before it hands them on.
 GATHERED = 600_000
-#: Cells of the sketch (a byte each in every task).
-CELLS = 1 << 22
+#: Cells of the sketch (a byte each in every task), and those whose counts make a row.
+CELLS, STRETCH = 1 << 22, 1 << 12
 #: Of a document's hashes, the shares among which the further rounds look for settled tiles.
 ROUNDS = (0.3, 1.0)
 
@@ -106,31 +106,46 @@ def _dealt(docs, sizes, groups, within, taken, n_buckets: int):
 
 
 def _sketched(batches):
-    """(cell, n) of the cells that stand out in this task, and (-1, all shingles).
-
-    A cell that holds much more than the mean of all tasks stands out in those that hold most of it.
-    """
-    counts, total = np.zeros(CELLS, np.int32), 0
+    """How many shingles of a task's texts fall in each cell of the sketch, by stretches of cells: (stretch, counts)."""
+    counts = np.zeros(CELLS, np.uint32)
     for b in batches:
         for text in b.column("text").to_pylist():
-            h = shingle_set(text)
-            total += len(h)
-            np.add.at(counts, (h & np.uint64(CELLS - 1)).astype(np.int64), 1)
-    mean = total / CELLS
-    cells = np.flatnonzero(counts > max(1, mean + 2 * math.sqrt(mean)))
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, cells], pa.int32()), pa.array(np.r_[total, counts[cells]], pa.int64())], names=["cell", "n"])
+            np.add.at(counts, (shingle_set(text) & np.uint64(CELLS - 1)).astype(np.int64), 1)
+    rows = counts.reshape(-1, STRETCH)
+    # In as few bytes as the stretch's largest count takes.
+    blobs = [x.astype(np.min_scalar_type(m)).tobytes() for x, m in zip(rows, rows.max(1), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), pa.array(blobs, pa.binary())], names=["stretch", "counts"])
+
+
+def _added(t: pa.Table) -> pa.Table:
+    n = sum(np.frombuffer(x, f"<u{len(x) // STRETCH}").astype(np.int64) for x in t.column("counts").to_pylist())
+    return pa.table({"stretch": t.column("stretch")[:1], "counts": pa.array([n.tobytes()], pa.binary()), "total": pa.array([n.sum()], pa.int64())})
+
+
+def _above(least: float):
+    def cells(batches):
+        for b in batches:
+            for stretch, blob in zip(b.column("stretch").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                n = np.frombuffer(blob, "<i8")
+                at = np.flatnonzero(n > least)
+                rank = np.minimum(255, np.floor(np.log2(n[at] / least)) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(at + stretch * STRETCH, pa.int32()), pa.array(rank.astype(np.int32))], names=["cell", "rank"])
+
+    return cells
 
 
 def _common_cells(texts: DataFrame) -> np.ndarray:
     """A class for each cell of the sketch: 0 for most, higher the more shingles it holds. The sketch bounds what comes to the driver.
 
+    Tasks' counts are added up whole, so that a shingle spread over all tasks stands out as one that a single task holds.
     Which cells are common changes only how work is dealt, not the links that are found.
     """
-    held = written(texts.mapInArrow(_sketched, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "jaccard-sketch")
-    total = held.where("cell < 0").agg(F.sum("n")).first()[0] or 0
-    mean = total / CELLS
-    least = max(SHORT, 0.75 * mean + 3 * math.sqrt(mean))
-    found = held.where((F.col("cell") >= 0) & (F.col("n") > least)).select("cell", F.least(F.lit(255), F.floor(F.log2(F.col("n") / least)) + 1).cast("int").alias("rank")).toArrow()
+    # A task's counts have a fixed size, so there are not many more tasks than can run.
+    few = texts.select("text").coalesce(4 * texts.sparkSession.sparkContext.defaultParallelism)
+    added = few.mapInArrow(_sketched, "stretch int, counts binary").groupBy("stretch").applyInArrow(_added, "stretch int, counts binary, total long")
+    held = written(added, "jaccard-sketch")
+    mean = (held.agg(F.sum("total")).first()[0] or 0) / CELLS
+    found = held.select("stretch", "counts").mapInArrow(_above(max(SHORT, mean + 3 * math.sqrt(mean))), "cell int, rank int").toArrow()
     out = np.zeros(CELLS, np.uint8)
     out[found.column("cell").to_numpy()] = found.column("rank").to_numpy()
     discard(held)
