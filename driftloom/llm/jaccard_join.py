@@ -35,6 +35,8 @@ BROADCAST_IDS = 1_000_000
 BLOCK = 2048
 #: Postings that a task gathers before it hands them on.
 GATHERED = 600_000
+#: Postings of a bucket, in the mean. A pair is found once in each bucket that holds a hash of both, so buckets are few and large.
+POSTED = 1_000_000
 #: Cells of the sketch (a byte each in every task), and those whose counts make a row.
 CELLS, STRETCH = 1 << 22, 1 << 12
 #: Of a document's hashes, the shares among which the further rounds look for settled tiles.
@@ -134,8 +136,10 @@ def _above(least: float):
     return cells
 
 
-def _common_cells(texts: DataFrame) -> np.ndarray:
-    """A class for each cell of the sketch: 0 for most, higher the more shingles it holds. The sketch bounds what comes to the driver.
+def _common_cells(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """A class for each cell of the sketch: 0 for most, higher the more shingles it holds; and how many shingles there are.
+
+    The sketch bounds what comes to the driver.
 
     Tasks' counts are added up whole, so that a shingle spread over all tasks stands out as one that a single task holds.
     Which cells are common changes only how work is dealt, not the links that are found.
@@ -144,12 +148,13 @@ def _common_cells(texts: DataFrame) -> np.ndarray:
     few = texts.select("text").coalesce(4 * texts.sparkSession.sparkContext.defaultParallelism)
     added = few.mapInArrow(_sketched, "stretch int, counts binary").groupBy("stretch").applyInArrow(_added, "stretch int, counts binary, total long")
     held = written(added, "jaccard-sketch")
-    mean = (held.agg(F.sum("total")).first()[0] or 0) / CELLS
+    total = held.agg(F.sum("total")).first()[0] or 0
+    mean = total / CELLS
     found = held.select("stretch", "counts").mapInArrow(_above(max(SHORT, mean + 3 * math.sqrt(mean))), "cell int, rank int").toArrow()
     out = np.zeros(CELLS, np.uint8)
     out[found.column("cell").to_numpy()] = found.column("rank").to_numpy()
     discard(held)
-    return out
+    return out, total
 
 
 def _ordered(h: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -567,8 +572,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         odd = _chosen(docs, several, "left_semi").withColumn("key", key).join(vertices, "key").where("doc_id = rep")
         texts = texts.unionByName(odd.select(F.col("v").alias("doc_id"), "text"))
 
-    n_buckets = max(shuffle_partitions(spark), math.ceil(keys.count() / 4096))
-    ranks = spark.sparkContext.broadcast(_common_cells(texts))
+    ranks, total = _common_cells(texts)
+    n_buckets = max(shuffle_partitions(spark), math.ceil(_prefix(total) / POSTED))
+    ranks = spark.sparkContext.broadcast(ranks)
     posted = kept(texts.mapInArrow(_post_prefixes(n_buckets, ranks), _POSTINGS), "postings")
     sizes = posted.where(f"bucket = {SIZES}").select("docs", "sizes", "tokens").mapInArrow(_sizes, "doc_id long, n int, bits binary")
     sizes = kept(sizes.dropDuplicates(["doc_id"]), "sizes")
