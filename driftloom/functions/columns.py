@@ -233,11 +233,15 @@ def sanitised_schema(c) -> Column:
     return F.when(body == "", '{"type":"object","properties":{}}').otherwise(F.concat(F.lit("{"), body, F.lit("}")))
 
 
+#: A JSON string, which the steps below pass over.
+_STRING = r'"(?:[^"\\]|\\.)*"'
+
+
 def relaxed_json(c) -> Column:
-    """JSON of an object literal with commas at ends, single quotes or bare keys, as VARIANT; null if it is none."""
-    s = F.regexp_replace(_col(c), r",\s*([}\]])", "$1")
-    s = F.regexp_replace(s, r"'([^']*)'", '"$1"')
-    return F.try_parse_json(F.regexp_replace(s, r"(?<=[{,])\s*([a-zA-Z_]\w*)\s*:", ' "$1":'))
+    """JSON of an object literal with commas at ends, single quotes or bare keys, as VARIANT; null if it is none. What stands in strings stays."""
+    double = F.regexp_replace(_col(c), r'"((?:[^"\\]|\\.)*)"|\'((?:[^\'\\]|\\.)*)\'', '"$1$2"')
+    closed = F.regexp_replace(double, f"({_STRING})|,(?=\\s*[}}\\]])", "$1")
+    return F.try_parse_json(F.regexp_replace(closed, r"([{,]\s*)([A-Za-z_]\w*)(?=\s*:)", '$1"$2"'))
 
 
 def matches(query: str, *columns) -> Column:
@@ -261,6 +265,41 @@ def replacement_reason(cloned, signals, tools) -> Column:
     return F.when(~_col(cloned), "clone_failed").when(_col(tools) > 0, None).when(_col(signals), "zero_tools_found").otherwise("not_a_server")
 
 
+def replacement(cloned, tools, hosted, curated, signals) -> Column:
+    """A struct (reason, note): why a repository has to be replaced, null if it need not. Nulls count as false, and as no tools.
+
+    Hosted servers and curated lists are told from others without tools by their note, whatever signals they have.
+    """
+    is_ = lambda c: F.coalesce(_col(c), F.lit(False))
+    none = is_(cloned) & (F.coalesce(_col(tools), F.lit(0)) <= 0)
+    note = F.when(none & is_(hosted), "remote_hosted_server").when(none & is_(curated), "curator_list")
+    reason = F.when(note.isNotNull(), "not_a_server").otherwise(replacement_reason(is_(cloned), is_(signals), F.coalesce(_col(tools), F.lit(0))))
+    return F.struct(reason.alias("reason"), note.alias("note"))
+
+
+def timestamp_or_null(c) -> Column:
+    """A text's time, in UTC where it names no zone (the session's zone is UTC); null if it is none."""
+    return F.try_to_timestamp(_stripped(_col(c)))
+
+
+def months_before(as_of, months: int) -> Column:
+    """The same day so many months earlier, or the month's last one. ``as_of`` is a parameter, so that a run can be repeated."""
+    t = F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else as_of
+    return (F.add_months(t.cast("date"), -months).cast("timestamp_ntz") + (t - F.date_trunc("day", t))).cast("timestamp_ntz")
+
+
+def rendered_required(schema) -> Column:
+    """A schema's required names as a list, ``['a', 'b']``; ``[]`` without any."""
+    names = F.from_json(F.get_json_object(_col(schema), "$.required"), "array<string>")
+    return F.when(F.coalesce(F.size(names), F.lit(0)) > 0, _listed(names)).otherwise("[]")
+
+
+def category_order(c, values: list[str]) -> Column:
+    """A sort key for an order of one's own: the value's place in ``values``, others after them, null last."""
+    place = F.array_position(F.array(*map(F.lit, values)), _col(c))
+    return F.when(_col(c).isNull(), len(values) + 2).when(place > 0, place).otherwise(len(values) + 1)
+
+
 def coordinate_risk(moved, before, after, path) -> Column:
     """An entity may have been mistaken for another: its file moved between two empty schemas, or it is a numbered chapter's."""
     return (_col(moved) & (F.size(_col(before)) == 0) & (F.size(_col(after)) == 0)) | _col(path).rlike(r"/\d{2,3}/")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .rounds import settled
+from .similar_sets import candidate_pairs
 
 
 def consecutive(versions: DataFrame) -> DataFrame:
@@ -20,9 +22,12 @@ def consecutive(versions: DataFrame) -> DataFrame:
     return versions.withColumn("prev", F.lag(F.struct("sha", "commit_date", "seq", "description", "props", "source_file")).over(w)).withColumn("n_versions", n)
 
 
-def diffs(versions: DataFrame) -> DataFrame:
-    """One row for each consecutive pair, changed or not. A null description is an empty one, null props are none."""
-    pairs = consecutive(versions).where("prev is not null")
+def diffs(versions: DataFrame, firsts: bool = False) -> DataFrame:
+    """One row for each consecutive pair, changed or not. A null description is an empty one, null props are none. With
+    ``firsts`` an entity's first version has a row too: without a from side, and never valid."""
+    pairs = consecutive(versions)
+    if not firsts:
+        pairs = pairs.where("prev is not null")
     none = F.create_map().cast("map<string,string>")
     before, after = F.coalesce("prev.props", none), F.coalesce("props", none)
     out = pairs.select(
@@ -35,18 +40,24 @@ def diffs(versions: DataFrame) -> DataFrame:
         C.type_changes(before, after).alias("type_changes"),
         before.alias("before_props"), after.alias("after_props"),
         (~F.col("prev.source_file").eqNullSafe(F.col("source_file"))).alias("source_file_changed"),
-        F.col("prev.source_file").alias("from_file"), F.col("source_file").alias("to_file"),
+        F.col("prev.source_file").alias("from_file"), F.col("source_file").alias("to_file"), F.col("prev").isNotNull().alias("follows"),
     )
     sizes = [F.size(c) for c in ("fields_added", "fields_removed", "type_changes")]
     changed = F.col("description_changed") | (sizes[0] > 0) | (sizes[1] > 0) | (sizes[2] > 0)
     return (
         out.withColumn("is_inplace_mutation", F.lit(True))
-        .withColumn("changed", changed)
-        .withColumn("valid", changed & ~F.col("from_sha").eqNullSafe(F.col("to_sha")))
-        .withColumn("structural_type", F.when(changed, C.structural_type("description_changed", *sizes)))
+        .withColumn("changed", changed & F.col("follows"))
+        .withColumn("valid", F.col("changed") & ~F.col("from_sha").eqNullSafe(F.col("to_sha")))
+        .withColumn("structural_type", F.when(F.col("changed"), C.structural_type("description_changed", *sizes)))
+        .drop("follows")
     )
 
 
+def change_rates(versions: DataFrame) -> DataFrame:
+    """(repo, tool, n, c): each entity's versions and its valid changes, in one pass over the versions."""
+    return diffs(versions, firsts=True).groupBy("repo", "tool").agg(F.count("*").alias("n"), F.count_if("valid").alias("c"))
+
+
 def single_versions(versions: DataFrame) -> DataFrame:
     """Entities that have one version only: nothing can have changed."""
     one = versions.groupBy("repo", "tool").agg(F.count("*").alias("snapshot_count"), F.substring(F.min("sha"), 1, 8).alias("sha"), F.min("commit_date").alias("commit_date"))
@@ -65,36 +76,51 @@ def last_versions(versions: DataFrame, n: int) -> DataFrame:
     return versions.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
 
-def picked_snapshots(events: DataFrame, versions: DataFrame, side: str) -> DataFrame:
-    """For each event its snapshot on a side (``before`` or ``after``): of several at one sha, the first that has all
-    removed (added) fields, else the last. Events without a snapshot keep null."""
-    sha, target = ("from_sha", "fields_removed") if side == "before" else ("to_sha", "fields_added")
-    keys = ["repo", "tool", "__sha"]
-    right = versions.select("repo", "tool", F.substring("sha", 1, 8).alias("__sha"), F.struct("seq", "description", "props", "source_file").alias(side))
-    both = events.withColumn("__sha", F.col(sha)).join(right, keys, "left")
-    fits = (F.size(target) > 0) & (F.size(F.array_except(F.col(target), F.map_keys(f"{side}.props"))) == 0)
-    seq = F.col(f"{side}.seq")
-    rank = F.struct(F.coalesce(fits, F.lit(False)).cast("int").alias("fits"), F.when(F.coalesce(fits, F.lit(False)), -seq).otherwise(seq).alias("at"))
-    w = Window.partitionBy("repo", "tool", "from_seq", "to_seq").orderBy(F.desc(rank))
-    return both.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__sha")
+def picked_snapshots(events: DataFrame, versions: DataFrame) -> DataFrame:
+    """``events`` with ``before`` and ``after``: the version (seq, description, props, source_file) that each side of a change shows.
+
+    Of several versions at a side's sha, the first that has all removed (before) or added (after) fields, else the last;
+    null without one. Both sides look in one join, and each takes the least of an aggregate, so a sha of many versions
+    is nowhere sorted. ``events``: one row for each (repo, tool, from_seq, to_seq).
+    """
+    keys, event = ["repo", "tool", "__sha"], ["repo", "tool", "from_seq", "to_seq"]
+    side = lambda name, sha, target: F.struct(F.lit(name).alias("side"), F.col(sha).alias("sha"), F.col(target).alias("target"))
+    wanted = events.select(*event, F.explode(F.array(side("before", "from_sha", "fields_removed"), side("after", "to_sha", "fields_added"))).alias("w"))
+    wanted = wanted.select(*event, "w.side", F.col("w.sha").alias("__sha"), "w.target")
+    there = versions.select("repo", "tool", F.substring("sha", 1, 8).alias("__sha"), F.struct("seq", "description", "props", "source_file").alias("v"))
+    met = wanted.join(there, keys)
+    fits = F.coalesce((F.size("target") > 0) & (F.size(F.array_except("target", F.map_keys("v.props"))) == 0), F.lit(False))
+    rank = F.struct((~fits).alias("unfit"), F.when(fits, F.col("v.seq")).otherwise(-F.col("v.seq")).alias("at"))
+    picked = met.groupBy(*event).pivot("side", ["before", "after"]).agg(F.min_by("v", rank))
+    return events.join(picked, event, "left")
 
 
 def rename_candidates(versions: DataFrame) -> DataFrame:
     """Names that a file lost at one version and gained at the next, alike in properties (0.5) and words (0.3).
 
-    Only names of the same file and step meet, so a file's step makes removed x added rows, not all pairs.
+    Names that a file's step removed and those that it added meet at rare words of their descriptions (see
+    ``similar_sets.candidate_pairs``), so a step that renames thousands makes few pairs beside those that are alike. Names
+    with nothing to describe them meet at their properties; without those too, all of a step are alike.
     """
+    props = F.coalesce("props", F.create_map().cast("map<string,string>"))
+    one = versions.groupBy("repo", "source_file", "commit_date", "tool").agg(F.max_by(F.struct("description", props.alias("props")), "seq").alias("x"))
     step = Window.partitionBy("repo", "source_file").orderBy("commit_date")
-    names = versions.groupBy("repo", "source_file", "commit_date").agg(F.collect_set("tool").alias("tools"))
+    names = one.groupBy("repo", "source_file", "commit_date").agg(F.collect_set("tool").alias("tools"))
     steps = names.withColumn("old", F.lag("tools").over(step)).withColumn("from_date", F.lag("commit_date").over(step)).where("old is not null")
-    pairs = steps.select(
-        "repo", "source_file", "from_date", F.col("commit_date").alias("to_date"),
-        F.explode(F.array_except("old", "tools")).alias("old_tool"), F.array_except("tools", "old").alias("new"),
-    ).withColumn("new_tool", F.explode("new")).drop("new")
-    props = F.coalesce("props", F.create_map().cast("map<string,string>")).alias("props")
-    one = versions.groupBy("repo", "source_file", "commit_date", "tool").agg(F.max_by(F.struct("description", props), "seq").alias("x"))
-    side = lambda tool, date, name: one.select("repo", "source_file", F.col("commit_date").alias(date), F.col("tool").alias(tool), F.col("x").alias(name))
-    pairs = pairs.join(side("old_tool", "from_date", "o"), ["repo", "source_file", "from_date", "old_tool"]).join(side("new_tool", "to_date", "n"), ["repo", "source_file", "to_date", "new_tool"])
-    pairs = pairs.withColumn("schema_jaccard", C.jaccard(F.map_keys("o.props"), F.map_keys("n.props"))).withColumn("text_jaccard", C.jaccard(C.word_set("o.description"), C.word_set("n.description")))
+    words = lambda df: df.select("*", C.word_set("x.description").alias("words"), F.map_keys("x.props").alias("keys"))
+
+    def moved(new: str, old: str, date: str) -> DataFrame:
+        out = steps.select("repo", "source_file", "from_date", F.col("commit_date").alias("to_date"), F.explode(F.array_except(new, old)).alias("tool"))
+        return settled(words(out.join(one.withColumnRenamed("commit_date", date), ["repo", "source_file", date, "tool"])), "moved")
+
+    gone, come = moved("old", "tools", "from_date"), moved("tools", "old", "to_date")
+    on = ["repo", "source_file", "from_date", "to_date"]
+    silent = "size(words) = 0"
+    pairs = candidate_pairs(gone, come, on, "tool", "words", 0.3).unionByName(candidate_pairs(gone.where(silent), come.where(silent), on, "tool", "keys", 0.5))
+    bare = f"{silent} and size(keys) = 0"
+    pairs = pairs.unionByName(gone.where(bare).select(*on, F.col("tool").alias("left_id")).join(come.where(bare).select(*on, F.col("tool").alias("right_id")), on))
+    side = lambda df, name, mark: df.select(*on, F.col("tool").alias(name), F.col("words").alias(f"{mark}_words"), F.col("keys").alias(f"{mark}_keys"))
+    pairs = pairs.join(side(gone, "left_id", "o"), [*on, "left_id"]).join(side(come, "right_id", "n"), [*on, "right_id"])
+    pairs = pairs.withColumn("schema_jaccard", C.jaccard("o_keys", "n_keys")).withColumn("text_jaccard", C.jaccard("o_words", "n_words"))
     pairs = pairs.where("schema_jaccard >= 0.5 and text_jaccard >= 0.3").withColumn("tier", C.rename_tier("schema_jaccard", "text_jaccard"))
-    return pairs.drop("o", "n")
+    return pairs.select("repo", "source_file", "from_date", "to_date", F.col("left_id").alias("old_tool"), F.col("right_id").alias("new_tool"), "schema_jaccard", "text_jaccard", "tier")

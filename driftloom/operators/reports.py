@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import exact_quantiles
+
 
 def rate(hits: Column, of: Column, digits: int = 6) -> Column:
     return F.round(100.0 * hits / F.nullif(of, F.lit(0)), digits)
@@ -30,14 +32,17 @@ def pivot_totals(rows: DataFrame, row: str, column: str, values: list[str]) -> D
 
 
 def quantiles(rows: DataFrame, column: str, at=(0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
-    """Exact quantiles, linear between neighbours, and the largest value."""
-    exact = [F.round(F.percentile(column, F.lit(q)), 6).alias(f"p{round(100 * q)}") for q in at]
-    return rows.agg(*exact, F.max(column).alias("max"))
+    """Exact quantiles, linear between neighbours, and the largest value. Ranks are found by rounds of counted bins, so no
+    task holds the column's values; what reaches the driver is bounded by the number of bins and of quantiles."""
+    exact = [F.lit(None if v is None else round(v, 6)).cast("double").alias(f"p{round(100 * q)}") for q, v in zip(at, exact_quantiles(rows, column, at), strict=True)]
+    return rows.agg(F.max(column).alias("max")).select(*exact, "max")
 
 
 def summary(rows: DataFrame, column: str) -> DataFrame:
     c = F.col(column)
-    return rows.agg(F.count(c).alias("n"), F.round(F.median(c), 6).alias("median"), F.round(F.avg(c), 6).alias("mean"), F.max(c).alias("max"), rate(F.count_if(c == 0), F.count(c)).alias("zero_pct"))
+    (median,) = exact_quantiles(rows, column, [0.5])
+    out = rows.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.max(c).alias("max"), rate(F.count_if(c == 0), F.count(c)).alias("zero_pct"))
+    return out.select("n", F.lit(None if median is None else round(median, 6)).cast("double").alias("median"), "mean", "max", "zero_pct")
 
 
 def crosstab(events: DataFrame, by: str, both: Column, second: Column, repo: str = "repo") -> DataFrame:

@@ -88,3 +88,13 @@ def walk_targets(records: DataFrame, wanted: list[str] | None = None) -> DataFra
     """Repositories whose history is walked: no replacements, nothing to replace, at least one tool."""
     ok = F.col("is_replacement_for").isNull() & ~F.coalesce("replacement_needed", F.lit(False)) & (F.col("tools_found") > 0)
     return records.where(ok if wanted is None else ok & C.slug("repo_url").isin(*wanted))
+
+
+def with_results(results: DataFrame, candidates: DataFrame, slot: str, columns: list[str]) -> DataFrame:
+    """Each result with the definitions of its slot's candidate, as JSON text; ``{}`` where the candidate or its definition is missing.
+
+    Of several candidates of a slot the last one by all their columns counts. A result without a slot has none.
+    """
+    one = candidates.where(F.col(slot).isNotNull()).groupBy(slot).agg(F.max(F.struct(*columns)).alias("__c"))
+    filled = [F.coalesce(F.col(f"__c.{c}"), F.lit("{}")).alias(c) for c in columns]
+    return results.join(one, slot, "left").select(*results.columns, *filled)

@@ -92,9 +92,7 @@ def no_drift_singletons(spark, d):
     VERSIONS,
 )
 def tool_change_rate(spark, d):
-    n = V.versions(spark, d).groupBy("repo", "tool").agg(F.count("*").alias("n"))
-    c = _changes(spark, d).groupBy("repo", "tool").agg(F.count_if("valid").alias("c"))
-    x = n.join(c, ["repo", "tool"], "left").na.fill(0, ["c"])
+    x = history.change_rates(V.versions(spark, d))
     return x.agg(
         F.count("*").alias("entities"), F.count_if(F.col("n") >= 2).alias("with_history"), reports.rate(F.count_if(F.col("n") >= 2), F.count("*")).alias("pct_history"),
         F.count_if(F.col("c") > 0).alias("changed"), reports.rate(F.count_if(F.col("c") > 0), F.count("*")).alias("pct_changed"),
@@ -184,7 +182,7 @@ def last_versions_per_file(spark, d):
 def snapshot_pick(spark, d):
     v = V.versions(spark, d)
     e = _changes(spark, d).where("valid").drop("before", "after")
-    both = history.picked_snapshots(history.picked_snapshots(e, v, "before"), v, "after")
+    both = history.picked_snapshots(e, v)
     return both.select("repo", "tool", "from_seq", "to_seq", F.col("before.seq").alias("before_seq"), F.col("after.seq").alias("after_seq"))
 
 
@@ -319,20 +317,20 @@ def backup_rank(spark, d):
 
 
 @query(
-    "SELECT p.key, p.language, p.bucket, p.backup_rank, r.key AS backup FROM (SELECT *, row_number() OVER (PARTITION BY language, bucket ORDER BY key) AS backup_rank FROM drawn WHERE in_sample AND key % 5 = 0) p LEFT JOIN ranked r ON r.language = p.language AND r.bucket = p.bucket AND r.backup_rank = p.backup_rank",
+    "SELECT p.key, p.language, p.bucket, p.backup_rank, r.key AS backup FROM (SELECT *, row_number() OVER (PARTITION BY language, bucket ORDER BY key) AS backup_rank FROM drawn WHERE in_sample AND status = 'F') p LEFT JOIN ranked r ON r.language = p.language AND r.bucket = p.bucket AND r.backup_rank = p.backup_rank",
     f"{SEEDS}, {_QUOTA}, {_DRAWN}, {_RANKED}",
 )
 def backup_allocation_exact(spark, d):
     drawn, backups = _backups(spark, d)
-    needy = drawn.where("in_sample and key % 5 = 0").select("key", "language", "bucket")
+    needy = drawn.where("in_sample and status = 'F'").select("key", "language", "bucket")
     return sampling.exact_backups(needy, backups, ["language", "bucket"], "key")
 
 
 @query()
 def backup_allocation_greedy(spark, d):
     drawn, backups = _backups(spark, d)
-    needy = drawn.where("in_sample and key % 5 = 0").select("key", "language", "bucket")
-    return sampling.greedy_backups(needy, backups.withColumn("usable", F.col("key") % 3 != 0))
+    needy = drawn.where("in_sample and status = 'F'").select("key", "language", "bucket")
+    return sampling.greedy_backups(needy, backups.withColumn("usable", F.col("status") != "F"))
 
 
 FLOORS = {"desc_only": 20, "schema_add_only": 12, "desc_and_schema_add": 10, "schema_remove_only": 8, "desc_and_schema_remove": 6, "schema_mixed": 6, "type_change": 5}
@@ -356,18 +354,35 @@ def pilot_batch(spark, d):
 
 
 @query(
-    "SELECT lang, planned, achieved, achieved - planned AS delta, round(100.0 * achieved / planned, 6) AS pct_achieved FROM (SELECT stratum AS lang, allocated AS planned, coalesce(a, 0) AS achieved FROM quotas LEFT JOIN (SELECT concat(language, ' | ', bucket) AS s, count(*) AS a FROM drawn WHERE in_sample AND key % 9 <> 0 GROUP BY 1) ON s = stratum WHERE allocated > 0)",
+    "SELECT lang, planned, achieved, achieved - planned AS delta, round(100.0 * achieved / planned, 6) AS pct_achieved FROM (SELECT stratum AS lang, allocated AS planned, coalesce(a, 0) AS achieved FROM quotas LEFT JOIN (SELECT concat(language, ' | ', bucket) AS s, count(*) AS a FROM drawn WHERE in_sample AND status <> 'F' GROUP BY 1) ON s = stratum WHERE allocated > 0)",
     f"{SEEDS}, {_QUOTA}, {_DRAWN}",
 )
 def planned_vs_achieved(spark, d):
     e = _eligible(spark, d).withColumn("lang", F.concat_ws(" | ", "language", "bucket"))
     planned = sampling.proportional_allocation(e.groupBy("lang").agg(F.count("*").alias("n")), 120, "lang").where("allocated > 0").select("lang", F.col("allocated").alias("planned"))
-    drawn = sampling.stratified(_eligible(spark, d), ["language", "bucket"], "key", 120).where("in_sample and key % 9 <> 0")
+    drawn = sampling.stratified(_eligible(spark, d), ["language", "bucket"], "key", 120).where("in_sample and status <> 'F'")
     got = drawn.groupBy(F.concat_ws(" | ", "language", "bucket").alias("lang")).agg(F.count("*").alias("achieved"))
     out = planned.join(got, "lang", "left").na.fill(0, ["achieved"])
     return out.select("lang", "planned", "achieved", (F.col("achieved") - F.col("planned")).alias("delta"), reports.rate(F.col("achieved"), F.col("planned")).alias("pct_achieved"))
 
 
+@query(
+    """SELECT q.language, q.bucket, planned, ok + same AS achieved, ok + same - planned AS delta, round(100.0 * (ok + same) / planned, 6) AS pct_achieved, ok AS primary_ok, same AS backup_same, CAST(0 AS BIGINT) AS backup_cross, planned - ok - same AS unfilled
+    FROM (SELECT q.language, q.bucket, q.allocated AS planned, count_if(d.status <> 'F') AS ok, count_if(d.status = 'F' AND coalesce(r.status <> 'F', false)) AS same FROM quotas q JOIN (SELECT *, CASE WHEN status = 'F' THEN row_number() OVER (PARTITION BY language, bucket, status ORDER BY key) END AS k
+    FROM drawn WHERE in_sample) d ON d.language = q.language AND d.bucket = q.bucket LEFT JOIN ranked r ON r.language = d.language AND r.bucket = d.bucket AND r.backup_rank = d.k WHERE q.allocated > 0 GROUP BY ALL) q""",
+    f"{SEEDS}, {_QUOTA}, {_DRAWN}, {_RANKED}",
+)
+def fill_sources(spark, d):
+    """What came of the sample: rows that can be used themselves, and the stratum's backups for those that can't."""
+    e, strata = _eligible(spark, d), ["language", "bucket"]
+    planned = sampling.proportional_allocation(e.groupBy(*strata).agg(F.count("*").alias("n")).withColumn("stratum", F.concat_ws(" | ", *strata)), 120)
+    drawn, backups = _backups(spark, d)
+    got = sampling.exact_backups(drawn.where("in_sample and status = 'F'").select("key", *strata), backups.withColumn("usable", F.col("status") != "F"), strata, "key")
+    got = got.withColumn("fill", F.when(F.col("usable"), "same").otherwise("unfilled"))
+    own = drawn.where("in_sample").withColumn("ok", F.col("status") != "F")
+    return sampling.filled(planned.where("allocated > 0").select(*strata, F.col("allocated").alias("planned")), own, got, strata)
+
+
 @query(
     "SELECT language, kind, n FROM (SELECT language, count(*) AS planned, count_if(reason = 'eligible') AS achieved FROM bucketed GROUP BY language) UNPIVOT (n FOR kind IN (planned, achieved))",
     SEEDS,
@@ -578,19 +593,18 @@ def hedging_flags(spark, d):
 
 
 @query(
-    "SELECT page_id, list_has_any(string_split(p, '/')[:-2], ["
+    "SELECT doc_id, list_has_any(string_split(p, '/')[:-2], ["
     + ", ".join(f"'{x}'" for x in C.TEST_DIRECTORIES)
     + "]) OR regexp_matches(lower(string_split(p, '/')[-1]), '(\\.(test|spec)\\.(ts|tsx|js|mjs|py)|_test\\.go)$') AS test, list_has_any(string_split(p, '/'), ["
     + ", ".join(f"'{x}'" for x in C.SKIPPED_DIRECTORIES)
-    + "]) AS skipped FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'src/tests/a.py' WHEN 1 THEN 'src/a_Test.go' WHEN 2 THEN 'node_modules/x/b.ts' WHEN 3 THEN 'test.ts' WHEN 4 THEN concat('lib/', CAST(page_id AS VARCHAR), '.spec.js') ELSE concat('src/', CAST(page_id AS VARCHAR), '.py') END AS p FROM pages)"
+    + "]) AS skipped FROM (SELECT doc_id, concat(source, '/', CASE WHEN lang = 'en' AND n_chars < 1000 THEN 'tests/a.py' WHEN lang = 'en' THEN 'b_Test.go' WHEN lang = 'de' THEN 'node_modules/x/b.ts' WHEN lang = 'fr' THEN 'test.ts' WHEN n_chars < 1000 THEN concat('lib/', CAST(n_chars AS VARCHAR), '.spec.js') ELSE concat(CAST(n_chars AS VARCHAR), '.py') END) AS p FROM documents)"
 )
 def test_path_filter(spark, d):
-    n = F.col("page_id").cast("string")
-    k = F.col("page_id") % 6
-    p = F.when(k == 0, "src/tests/a.py").when(k == 1, "src/a_Test.go").when(k == 2, "node_modules/x/b.ts").when(k == 3, "test.ts")
-    p = p.when(k == 4, F.concat(F.lit("lib/"), n, F.lit(".spec.js"))).otherwise(F.concat(F.lit("src/"), n, F.lit(".py")))
-    out = table(spark, d, "pages").select("page_id", p.alias("p"))
-    return out.select("page_id", C.is_test_path("p").alias("test"), C.is_skipped_path("p").alias("skipped"))
+    n, short, lang = F.col("n_chars").cast("string"), F.col("n_chars") < 1000, F.col("lang")
+    name = F.when((lang == "en") & short, "tests/a.py").when(lang == "en", "b_Test.go").when(lang == "de", "node_modules/x/b.ts").when(lang == "fr", "test.ts")
+    name = name.when(short, F.concat(F.lit("lib/"), n, F.lit(".spec.js"))).otherwise(F.concat(n, F.lit(".py")))
+    out = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", name).alias("p"))
+    return out.select("doc_id", C.is_test_path("p").alias("test"), C.is_skipped_path("p").alias("skipped"))
 
 
 @query(
@@ -603,13 +617,17 @@ def json_schema_props(spark, d):
     return table(spark, d, "events").select("event_id", F.array_join(entries, ",").alias("types"))
 
 
-_REPLIES = ('```json\n{"label": "cosmetic", "justification": "x"}\n```', '{"label": " BEHAVIORAL_DRIFT "}', '{"label": "other"}', "no json")
-
-
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'COSMETIC' WHEN 1 THEN 'BEHAVIORAL_DRIFT' ELSE 'PARSE_ERROR' END AS label FROM events")
+@query(
+    """SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'COSMETIC' WHEN toxic = 1 THEN 'BEHAVIORAL_DRIFT' ELSE 'PARSE_ERROR' END AS label FROM labels JOIN (SELECT doc_id, source FROM documents) USING (doc_id)"""
+)
 def reply_labels(spark, d):
-    text = F.element_at(F.array(*map(F.lit, _REPLIES)), (F.col("event_id") % 4 + 1).cast("int"))
-    return table(spark, d, "events").select("event_id", C.reply_label(text).alias("label"))
+    """Replies written from labelled documents: fenced, padded, with a label that is none, or without JSON."""
+    reply = F.when(F.col("toxic") == 1, F.to_json(F.struct(F.lit(" behavioral_drift ").alias("label"), F.col("source").alias("justification"))))
+    fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.lit("cosmetic").alias("label"), F.col("source").alias("justification"))), F.lit("\n```"))
+    other = F.when(F.col("n_chars") < 500, F.col("source")).otherwise(F.to_json(F.struct(F.col("source").alias("label"))))
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    text = F.when(reply.isNotNull(), reply).when(F.col("quality") == 1, fenced).otherwise(other)
+    return table(spark, d, "labels").join(docs, "doc_id").select("doc_id", C.reply_label(text).alias("label"))
 
 
 @query("SELECT event_id, '{\"type\":\"object\",\"required\":[\"k\"]}' AS schema, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -624,56 +642,118 @@ def text_previews(spark, d):
     return table(spark, d, "documents").select("doc_id", C.preview("text").alias("preview"))
 
 
+@query(
+    """SELECT o_orderkey, strftime(t, '%Y-%m-%d') AS day, coalesce(t < TIMESTAMP '2000-08-01', true) AS stale FROM
+    (SELECT o_orderkey, try_cast(CASE WHEN o_orderstatus = 'P' THEN o_orderpriority ELSE concat(' ', strftime(o_orderdate, '%Y-%m-%d'), 'T00:00:00 ') END AS TIMESTAMP) AS t FROM orders)"""
+)
+def stale_before_cutoff(spark, d):
+    """Dates given as text, of which those of open orders are none, against the day twelve months before a given one."""
+    text = F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).otherwise(F.concat(F.lit(" "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00 ")))
+    t = C.timestamp_or_null(text).cast("timestamp_ntz")
+    old = F.coalesce(t < C.months_before("2001-08-01", 12), F.lit(True))
+    return table(spark, d, "orders").select("o_orderkey", F.date_format(t, "yyyy-MM-dd").alias("day"), old.alias("stale"))
+
+
+@query(
+    """SELECT o_orderkey, slot, coalesce(before, '{}') AS before, coalesce(after, '{}') AS after FROM (SELECT o_orderkey, o_custkey AS slot FROM orders) LEFT JOIN
+    (SELECT s_suppkey AS s, concat('{"name":"', s_name, '"}') AS before, CASE WHEN s_acctbal > 0 THEN concat('{"nation":', CAST(s_nationkey AS VARCHAR), '}') END AS after FROM supplier) ON s = slot"""
+)
+def results_by_slot(spark, d):
+    """Orders as results, suppliers as the candidates of their slots, some of which lack a definition after."""
+    results = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("slot"))
+    after = F.when(F.col("s_acctbal") > 0, F.to_json(F.struct(F.col("s_nationkey").alias("nation"))))
+    candidates = table(spark, d, "supplier").select(F.col("s_suppkey").alias("slot"), F.to_json(F.struct(F.col("s_name").alias("name"))).alias("before"), after.alias("after"))
+    return seeds.with_results(results, candidates, "slot", ["before", "after"])
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN n IS NULL THEN '[]' ELSE concat('[''', n, ''']') END AS required FROM orders LEFT JOIN
+    (SELECT l_orderkey, string_agg(CAST(l AS VARCHAR), ''', ''' ORDER BY l) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber AS l FROM lineitem WHERE l_returnflag = 'R') GROUP BY l_orderkey) ON l_orderkey = o_orderkey"""
+)
+def rendered_required(spark, d):
+    """An order's schema, of which the returned lines are required."""
+    names = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).cast("array<string>").alias("required"))
+    schema = F.to_json(F.struct(F.lit("object").alias("type"), "required"))
+    orders = table(spark, d, "orders").join(names, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return orders.select("o_orderkey", C.rendered_required(schema).alias("required"))
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'clone_failed' WHEN tools > 0 THEN NULL WHEN o = 'F' AND c_mktsegment <> 'BUILDING' AND c_mktsegment <> 'MACHINERY' THEN 'zero_tools_found' ELSE 'not_a_server' END AS reason,
+    CASE WHEN c_acctbal < 0 OR tools > 0 THEN NULL WHEN c_mktsegment = 'BUILDING' THEN 'remote_hosted_server' WHEN c_mktsegment = 'MACHINERY' THEN 'curator_list' END AS note
+    FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS o, count_if(o_totalprice > 400000) AS tools FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey"""
+)
+def replacement_notes(spark, d):
+    """Customers as repositories: a negative balance stands for a failed clone, large orders for tools."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderstatus", "o_orderkey").alias("o"), F.count_if(F.col("o_totalprice") > 400000).alias("tools"))
+    c = table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
+    segment = F.col("c_mktsegment")
+    why = C.replacement(F.col("c_acctbal") >= 0, "tools", segment == "BUILDING", segment == "MACHINERY", F.col("o") == "F")
+    return c.select("c_custkey", why.alias("w")).select("c_custkey", "w.reason", "w.note")
+
+
 # --- Extraction ---------------------------------------------------------------------------------------------
 
-#: Repositories of a file or more; each names what it must give.
-FILES = [
-    ("a/py", "Python", "src/s.py", '@mcp.tool()\ndef add(a: int, b: str = "x"):\n    """Adds."""\n\n@mcp.tool()\ndef quiet(a): pass\n\nTool(name="q", description="d", inputSchema={"type": "object"})\n'),
-    ("a/py", "Python", "src/t.py", 'mcp.tool()(later)\nmcp.add_tool(FunctionTool.from_function(f))\ndef f(x: Optional[int]):\n    """F."""\n'),
-    ("a/py", "Python", "src/u.py", 'def later():\n    """Later."""\n'),
-    ("a/py", "Python", "tests/v.py", '@tool\ndef hidden():\n    """No."""\n'),
-    ("a/ts", "TypeScript", "i.ts", 'server.tool("one", "first", {}, h); makeTool("two", `second`);\nserver.tool("three", { a: z.string() }, h);\nx = tool("four", { description: "d" });\n'),
-    ("a/ts", "TypeScript", "j.ts", 'const N = "seven";\nserver.addTool({ name: "five", description: `a {b}` });\ns.registerTool("six", { description: "6" }, h);\nserver.setRequestHandler(ListToolsRequestSchema, async () => { return { tools: [{ name: N, description: "7" }] }; });\n'),
-    ("a/go", "Go", "m.go", 'const Foo = "vary"\nt := mcp.NewTool("new", mcp.WithDescription("n"))\nu := mcp.NewTool(Foo, mcp.WithDescription("v"))\nv := mcp.Tool{Name: "held", Description: "h"}\nsrv.RegisterTool("reg", "r", f)\n'),
-    ("a/rs", "Rust", "l.rs", '#[tool(description = "does")]\npub async fn act(&self) {}\nlet t = Tool::new("built").description("b");\n'),
-    ("a/nb", "Jupyter Notebook", "n.ipynb", '{"cells": [{"cell_type": "code", "source": ["@mcp.tool()\\n", "def cell(a):\\n", "    \\"\\"\\"C.\\"\\"\\"\\n"]}]}'),
-    ("a/js", None, "p.json", '{"name": "gen", "description": "g", "inputSchema": {"type": "object"}}'),
-]
-#: What they give, by reading.
-EXPECTED = [
-    ("a/py", "src/s.py", "add", "Adds.", "python-ast-decorator"), ("a/py", "src/s.py", "q", "d", "python-ast-tool-object"), ("a/py", "src/t.py", "f", "F.", "python-ast-function-tool"),
-    ("a/py", "src/u.py", "later", "Later.", "python-ast-mcp-tool-call"), ("a/ts", "i.ts", "one", "first", "ts-regex-server-tool"), ("a/ts", "i.ts", "two", "second", "ts-regex-factory"),
-    ("a/ts", "i.ts", "three", "", "ts-tool-call-nameonly"), ("a/ts", "i.ts", "four", "", "ts-core-tool"), ("a/ts", "j.ts", "five", "a {b}", "ts-addtool"), ("a/ts", "j.ts", "six", "6", "ts-registertool"),
-    ("a/ts", "j.ts", "seven", "7", "ts-listtoolshandler"), ("a/go", "m.go", "new", "n", "go-regex-newtool"), ("a/go", "m.go", "vary", "v", "go-regex-newtool-var"), ("a/go", "m.go", "held", "h", "go-regex-tool-struct"),
-    ("a/go", "m.go", "reg", "r", "go-regex-registertool"), ("a/rs", "l.rs", "act", "does", "rust-attr-macro"), ("a/rs", "l.rs", "built", "b", "rust-tool-builder"), ("a/nb", "n.ipynb", "cell", "C.", "python-ast-decorator"),
-    ("a/js", "p.json", "gen", "g", "generic-inputSchema-search"),
-]
-
-
-def _files(spark):
-    return spark.createDataFrame(FILES, "repo string, language string, path string, content string")
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(str(r) for r in EXPECTED) + ") t(repo, path, tool, description, extractor)")
+
+#: Each part as a repository of one file, in a language by its type; cheap parts have no description.
+_LANGUAGE = {"ECONOMY": ("Python", "src/s.py"), "SMALL": ("Go", "m.go"), "MEDIUM": ("TypeScript", "i.ts"), "LARGE": ("Rust", "l.rs"), "PROMO": (None, "p.json"), "STANDARD": ("JavaScript", "j.js")}
+
+
+def _part_files(spark, d):
+    """Sources made of the table's names: (repo, language, path, content)."""
+    key, text, kind = F.concat(F.lit("part_"), F.col("p_partkey").cast("string")), F.col("p_name"), F.col("p_type")
+    told = F.col("p_retailprice") >= 950
+    shapes = {
+        "ECONOMY": F.concat(F.lit("import x\n\n@mcp.tool()\ndef "), key, F.lit("(a: int):\n"), F.when(told, F.concat(F.lit('    """'), text, F.lit('"""\n'))).otherwise("    pass\n")),
+        "SMALL": F.concat(F.lit('t := mcp.NewTool("'), key, F.lit('"'), F.when(told, F.concat(F.lit(', mcp.WithDescription("'), text, F.lit('")'))).otherwise(""), F.lit(")\n")),
+        "MEDIUM": F.concat(F.lit('server.tool("'), key, F.lit('", "'), text, F.lit('", {}, h);\n')),
+        "LARGE": F.concat(F.lit('let t = Tool::new("'), key, F.lit('").description("'), text, F.lit('");\n')),
+        "PROMO": F.concat(F.lit('{"name": "'), key, F.lit('", "description": "'), text, F.lit('", "inputSchema": {"type": "object"}}\n')),
+        "STANDARD": F.concat(F.lit('s.registerTool("'), key, F.lit('", { description: "'), text, F.lit('" }, h);\n')),
+    }
+    pick = lambda of: F.coalesce(*[F.when(kind == k, v) for k, v in of.items()])
+    parts = table(spark, d, "part").where(kind.isin(*shapes))
+    return parts.select(
+        key.alias("repo"), pick({k: F.lit(v[0]) for k, v in _LANGUAGE.items()}).alias("language"), pick({k: F.lit(v[1]) for k, v in _LANGUAGE.items()}).alias("path"), pick(shapes).alias("content")
+    )
+
+
+@query(
+    """SELECT concat('part_', CAST(p_partkey AS VARCHAR)) AS repo, CASE p_type WHEN 'ECONOMY' THEN 'src/s.py' WHEN 'SMALL' THEN 'm.go' WHEN 'MEDIUM' THEN 'i.ts' WHEN 'LARGE' THEN 'l.rs' WHEN 'PROMO' THEN 'p.json' ELSE 'j.js' END AS path,
+    concat('part_', CAST(p_partkey AS VARCHAR)) AS tool, CASE WHEN p_type = 'SMALL' AND p_retailprice < 950 THEN '' ELSE p_name END AS description,
+    CASE p_type WHEN 'ECONOMY' THEN 'python-ast-decorator' WHEN 'SMALL' THEN 'go-regex-newtool' WHEN 'MEDIUM' THEN 'ts-regex-server-tool' WHEN 'LARGE' THEN 'rust-tool-builder' WHEN 'PROMO' THEN 'generic-inputSchema-search' ELSE 'ts-registertool' END AS extractor
+    FROM part WHERE p_type IN ('SMALL', 'MEDIUM', 'LARGE', 'PROMO', 'STANDARD') OR (p_type = 'ECONOMY' AND p_retailprice >= 950)"""
+)
 def extract_tools(spark, d):
-    """Over fixture files. The SQL is a list of expected values, not another computation."""
-    return extraction.located(_files(spark)).select("repo", "path", "tool", "description", "extractor")
+    """Definitions of sources that are made of all parts: in five languages and in none, some without what a definition needs."""
+    return extraction.located(_part_files(spark, d)).select("repo", "path", "tool", "description", "extractor")
 
 
-@query("SELECT * FROM (VALUES ('a/go', true, false, false), ('a/js', false, false, false), ('a/nb', false, false, false), ('a/py', true, false, false), ('a/rs', true, false, false), ('a/ts', true, false, false)) t(repo, server_signals, hosted, curated)")
+@query(
+    """SELECT concat('s/', CAST(s_suppkey AS VARCHAR)) AS repo, s_nationkey < 5 AS server_signals, s_nationkey >= 5 AND s_nationkey < 10 AND s_acctbal > 0 AS hosted, s_nationkey >= 10 AND s_nationkey < 15 AS curated FROM supplier"""
+)
 def repository_signals(spark, d):
-    """Over fixture files. The SQL is a list of expected values, not another computation."""
-    return extraction.repository_signals(_files(spark))
+    """Suppliers as repositories: code of a server, a hosted server's document (complete with a positive balance), a curated list, or neither."""
+    n, name, good = F.col("s_nationkey"), F.col("s_name"), F.col("s_acctbal") > 0
+    hosted = F.concat(F.lit('{"$schema": "https://static.modelcontextprotocol.io/schemas/server.json", "name": "'), name, F.when(good, '", "remotes": []}').otherwise('"}'))
+    path = F.when(n < 5, "src/server.py").when(n < 10, "server.json").when(n < 15, "README.md").otherwise("src/client.py")
+    text = F.when(n < 5, F.concat(F.lit("from fastmcp import FastMCP\n# "), name)).when(n < 10, hosted).when(n < 15, F.concat(F.lit("# Awesome "), name, F.lit("\n\nA list of things\n"))).otherwise(F.concat(F.lit("# "), name))
+    files = table(spark, d, "supplier").select(F.concat(F.lit("s/"), F.col("s_suppkey").cast("string")).alias("repo"), F.lit("Python").alias("language"), path.alias("path"), text.alias("content"))
+    return extraction.repository_signals(files)
 
 
 @query(
-    "SELECT repo, tool, seq FROM (SELECT c_custkey AS repo, concat('t', CAST(k AS VARCHAR)) AS tool, c_custkey * 10 + k AS seq FROM customer, (VALUES (1), (2)) v(k))"
+    """SELECT o_custkey AS repo, lower(concat('set_', o_orderstatus)) AS tool, o_orderkey AS seq, o_orderpriority AS description FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"""
 )
 def history_walk(spark, d):
-    """File versions, two for each customer, to snapshots."""
-    both = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("repo"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
-    source = F.concat(F.lit("@mcp.tool()\ndef t"), F.col("k").cast("string"), F.lit('(a: int):\n    """D."""\n'))
-    versions = both.select(
-        "repo", F.lit("s.py").alias("path"), F.lit("x").alias("sha"), F.lit("2024").alias("commit_date"), (F.col("repo").cast("long") * 10 + F.col("k")).alias("seq"), source.alias("content")
-    )
-    return extraction.snapshots(versions).select(F.col("repo").cast("long").alias("repo"), "tool", "seq")
+    """Orders as versions of a customer's file to snapshots; those without lines have no content."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
+    source = F.concat(F.lit("@mcp.tool()\ndef set_"), F.lower("o_orderstatus"), F.lit('(a: int):\n    """'), F.col("o_orderpriority"), F.lit('"""\n'))
+    versions = table(spark, d, "orders").join(lines, F.col("k") == F.col("o_orderkey"), "left").select(
+        F.col("o_custkey").cast("string").alias("repo"), F.lit("s.py").alias("path"), F.lit("x").alias("sha"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("commit_date"), F.col("o_orderkey").alias("seq"),
+        F.when(F.col("k").isNotNull(), source).alias("content"),
+    )
+    return extraction.snapshots(versions).select(F.col("repo").cast("long").alias("repo"), "tool", "seq", "description")
+
+
+from . import repository_queries  # noqa: E402, F401  registers its own

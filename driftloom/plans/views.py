@@ -58,20 +58,20 @@ def labelled(events: DataFrame) -> DataFrame:
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as seed repositories with stars, language, region, a date of their last order and a status flag."""
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("pushed"))
+    last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("pushed"), F.max_by("o_orderstatus", "o_orderkey").alias("status"))
     return (
         c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
         .join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
         .select(
             F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("language"), F.col("r_name").alias("category"), F.floor("c_acctbal").alias("stars"),
-            (F.col("c_custkey") % 7 == 0).alias("archived"), "pushed",
+            (F.col("c_custkey") % 7 == 0).alias("archived"), "pushed", "status",
         )
     )
 
 
 SEEDS = """
-seeds AS (SELECT c_custkey AS key, c_mktsegment AS language, r_name AS category, CAST(floor(c_acctbal) AS BIGINT) AS stars, c_custkey % 7 = 0 AS archived, pushed FROM customer
-  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS pushed FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey),
+seeds AS (SELECT c_custkey AS key, c_mktsegment AS language, r_name AS category, CAST(floor(c_acctbal) AS BIGINT) AS stars, c_custkey % 7 = 0 AS archived, pushed, status FROM customer
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS pushed, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey),
 bucketed AS (SELECT *, CASE WHEN stars >= 1000 THEN '1000+' WHEN stars >= 200 THEN '200-999' WHEN stars >= 50 THEN '50-199' WHEN stars >= 10 THEN '10-49' ELSE 'nan' END AS bucket,
   coalesce(nullif(concat_ws('+', CASE WHEN stars IS NULL OR stars < 10 THEN 'low_stars' END, CASE WHEN archived THEN 'archived' END, CASE WHEN pushed IS NULL OR pushed < TIMESTAMP '1998-01-01' THEN 'stale' END), ''), 'eligible') AS reason FROM seeds),
 eligible AS (SELECT * FROM bucketed WHERE reason = 'eligible')

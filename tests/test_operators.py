@@ -10,6 +10,8 @@ from driftloom.functions import diffs as D
 from driftloom.operators import agreement, extraction, history, reports, sampling, seeds
 from driftloom.plans import queries as Q
 
+from .source_files import EXPECTED, FILES
+
 VERSION = "repo string, tool string, commit_date string, seq long, sha string, description string, props map<string,string>, source_file string"
 
 
@@ -160,8 +162,26 @@ def test_structural_types(spark):
 
 
 def test_extraction_over_files(spark):
-    got = {(r.repo, r.path, r.tool, r.description, r.extractor) for r in extraction.located(Q._files(spark)).collect()}
-    assert got == set(Q.EXPECTED)
+    files = spark.createDataFrame(FILES, "repo string, language string, path string, content string")
+    got = {(r.repo, r.path, r.tool, r.description, r.extractor) for r in extraction.located(files).collect()}
+    assert got == set(EXPECTED)
+    signals = {r.repo: (r.server_signals, r.hosted, r.curated) for r in extraction.repository_signals(files).collect()}
+    assert signals == {k: (k in ("a/go", "a/py", "a/rs", "a/ts"), False, False) for k in ("a/go", "a/js", "a/nb", "a/py", "a/rs", "a/ts")}
+
+
+def test_hosted_servers_and_curated_lists(spark):
+    """Each with what it needs, and without."""
+    schema = '"$schema": "https://static.modelcontextprotocol.io/schemas/2025/server.schema.json"'
+    rows = [
+        ("o/remotes", "server.json", f'{{{schema}, "remotes": [{{"type": "sse"}}]}}'), ("o/url", "a/server.json", f'{{{schema}, "url": "https://x"}}'), ("o/neither", "server.json", f"{{{schema}}}"),
+        ("o/broken", "server.json", f'{{{schema}, "url": '), ("o/other", "server.json", '{"url": "https://x"}'), ("o/awesome-things", "main.py", "x = 1"), ("o/list", "README.md", "# An Awesome List\n"),
+        ("o/curated", "README.md", "A curated list of servers"), ("o/deep", "docs/README.md", "A curated list"), ("o/late", "README.md", " " * 2100 + "curated list"), ("o/manifest", "package.json", '{"name": "mcp-server"}'),
+    ]
+    files = spark.createDataFrame([(r, "Python", p, c) for r, p, c in rows], "repo string, language string, path string, content string")
+    got = {r.repo: (r.server_signals, r.hosted, r.curated) for r in extraction.repository_signals(files).collect()}
+    assert {k for k, v in got.items() if v[1]} == {"o/remotes", "o/url"}
+    assert {k for k, v in got.items() if v[2]} == {"o/awesome-things", "o/list", "o/curated"}
+    assert {k for k, v in got.items() if v[0]} == {"o/manifest"}
 
 
 def test_event_rules(spark):

@@ -3,7 +3,6 @@
 import os
 
 from driftloom.sources import readers, sinks
-from driftloom.streaming.changes import stream_changes
 
 
 def test_csv_and_jsonl(spark, tmp_path):
@@ -65,14 +64,3 @@ def test_commit_log(spark):
     lines = ["COMMIT:aa 2024-01-01", "", "src/a.py", "src/b.py", "COMMIT:bb 2024-01-02", "src/c.py"]
     df = spark.createDataFrame([("r", k, x) for k, x in enumerate(lines)], "repo string, seq long, line string")
     assert [(r.sha, r.date, r.path) for r in readers.commit_log(df).orderBy("seq").collect()] == [("aa", "2024-01-01", "src/a.py"), ("bb", "2024-01-02", "src/c.py")]
-
-
-def test_stream(spark, tmp_path):
-    src = str(tmp_path / "in")
-    os.makedirs(src)
-    schema = "repo string, tool string, date timestamp, seq long, description string"
-    spark.sql("SELECT 'r' repo, 't' tool, timestamp'2024-01-01' date, 1L seq, 'a' description UNION ALL SELECT 'r','t',timestamp'2024-01-02',2L,'b'").write.mode("append").parquet(src)
-    stream = spark.readStream.schema(schema).parquet(src)
-    q = stream_changes(stream).writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert [(r.from_seq, r.to_seq, r.description_changed) for r in spark.table("changes").collect()] == [(1, 2, True)]
