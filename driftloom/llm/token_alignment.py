@@ -1,17 +1,16 @@
 """Alignment of two tokenizers' tokens by the byte offsets at which they end.
 
-Arrow batches only tokenise: each text gives two arrays of ids and two of byte ends. What follows are higher-order
-functions: ``array_intersect`` of the ends gives the cuts; both tokenizers' ends and the cuts, sorted as numbers that carry
-their index, stand next to each other where they are equal, so that ``sequence`` and ``transform`` read the links
-and the groups off in linear time and ``aggregate`` sums over groups. How often a pair of ids is linked in the corpus is
-a count pre-aggregated by tasks.
+Arrow batches only tokenise: each text gives both sides' tokens and where they end. What follows are higher-order functions:
+``array_intersect`` of the ends gives the cuts; tokens and cuts, sorted as numbers that begin with the end, stand next to each
+other where they end together, so that ``sequence`` and ``transform`` read the links and the groups off in linear time and
+``aggregate`` sums over groups. How often a pair of ids is linked in the corpus is a count pre-aggregated by tasks.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +23,11 @@ from ._common import discard, small_batches, table, written
 MARK = "▁"
 #: Of pairs that hold one in so many links at least, there are as many at most: what is broadcast.
 COMMON_PAIRS = 1 << 18
-#: Stretches whose ids a worker keeps, at most, and how long they are.
-KEPT, KEPT_LENGTH = 400_000, 64
 #: Characters without white space from which on ``tokenizers`` encodes, which merges in a heap.
 LONG = 10_000
+#: What marks a token of the second side, and a cut, in a number that holds an end and an id.
+_SECOND, _CUT = 1 << 30, 1 << 31
 
-_STRETCH = re.compile(r"\s*\S+|\s+")
-#: White space to ``re`` and not to the tokenizer.
-_ODD = re.compile("[\x1c-\x1f]")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -42,51 +38,29 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class _Kept(dict):
-    """Ids of stretches of a text, or None where their bytes are not the stretch's."""
-
-    def __init__(self, make):
-        self._make = make
-
-    def __missing__(self, stretch: str):
-        ids = self._make(stretch)
-        if len(stretch) <= KEPT_LENGTH:
-            if len(self) >= KEPT:
-                self.clear()
-            self[stretch] = ids
-        return ids
-
-
 class _Encoder:
     def __init__(self, pieces: list[bytes]):
         self.pieces = pieces
         self.sizes = np.array([len(p) for p in pieces], np.int32)
 
-    def _same(self, ids, text: str):
-        return ids if b"".join([self.pieces[k] for k in ids]) == text.encode() else None
-
-    def _joined(self, stretches):
-        out = list(map(self._kept.__getitem__, stretches))
-        return None if None in out else np.fromiter(chain.from_iterable(out), np.int32)
+    def same(self, ids: np.ndarray, text: str) -> np.ndarray | None:
+        """``ids``, or None where their bytes are not those of ``text``."""
+        return ids if b"".join(map(self.pieces.__getitem__, ids.tolist())) == text.encode() else None
 
 
 class ByteLevel(_Encoder):
-    """Byte-level BPE without special tokens: their strings are plain text.
-
-    White space that follows other characters begins a new word to the tokenizer, so that a text's stretches of white
-    space and what follows it are encoded by themselves, by ``tiktoken`` from the same vocabulary.
-    """
+    """Byte-level BPE without special tokens: their strings are plain text. Ids come from ``tiktoken`` with the same
+    vocabulary, which is faster, but for texts with a very long stretch without a space."""
 
     def __init__(self, path: str, ranks_path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self._exact = Tokenizer.from_file(path)
-        self._exact.encode_special_tokens = True
-        special = {t.content for t in self._exact.get_added_tokens_decoder().values()}
+        with open(path, encoding="utf-8") as f:
+            entries = json.load(f)
         of = _byte_of_character()
-        vocabulary = self._exact.get_vocab(with_added_tokens=True)
+        special = {t["content"]: t["id"] for t in entries["added_tokens"]}
+        vocabulary = entries["model"]["vocab"] | special
         pieces = [b""] * (max(vocabulary.values()) + 1)
         for piece, k in vocabulary.items():
             pieces[k] = piece.encode() if piece in special else bytes(of[c] for c in piece)
@@ -94,25 +68,25 @@ class ByteLevel(_Encoder):
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._kept = _Kept(lambda s: self._same(self._slow(s) if len(s) >= LONG else self._fast.encode_ordinary(s), s))
+        self._path, self._whole = path, None
 
     def _slow(self, text: str) -> list[int]:
-        return self._exact.encode(text, add_special_tokens=False).ids
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self._path)
+            self._whole.encode_special_tokens = True
+        return self._whole.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> np.ndarray | None:
         """Ids of ``text``; None if their bytes are others than its own."""
-        if _ODD.search(text):
-            ids = self._same(self._slow(text), text)
-            return None if ids is None else np.array(ids, np.int32)
-        return self._joined(_STRETCH.findall(text))
+        long = len(text) >= LONG and max(map(len, text.split(" "))) >= LONG
+        ids = self._slow(text) if long else self._fast.encode_to_numpy(text, disallowed_special=())
+        return self.same(np.asarray(ids, np.int64), text)
 
 
 class Pieces(_Encoder):
-    """SentencePiece, which puts a space before the text.
-
-    Where no piece has a space behind another character, nothing merges over the space before a word: words apart by
-    single spaces are encoded by themselves. Other texts, and those with a word whose bytes come out otherwise, whole.
-    """
+    """SentencePiece, which puts a space before the text."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -121,17 +95,10 @@ class Pieces(_Encoder):
         names = [self._model.id_to_piece(k) for k in range(self._model.get_piece_size())]
         is_byte = [self._model.is_byte(k) for k in range(len(names))]
         super().__init__([bytes([int(_BYTE.fullmatch(p)[1], 16)]) if b else p.replace(MARK, " ").encode() for p, b in zip(names, is_byte, strict=True)])
-        self._by_words = not any(MARK in p.lstrip(MARK) for p, b in zip(names, is_byte, strict=True) if not b)
-        self._kept = _Kept(lambda s: self._same(self._model.encode(s, num_threads=1), f" {s}"))
 
     def __call__(self, text: str) -> np.ndarray | None:
         """Ids of ``text``; None if their bytes are others than those of a space and the text."""
-        if self._by_words and "  " not in text and text[:1] != " " and text[-1:] != " ":
-            ids = self._joined(text.split(" "))
-            if ids is not None:
-                return ids
-        ids = self._same(self._model.encode(text, num_threads=1), f" {text}")
-        return None if ids is None else np.array(ids, np.int32)
+        return self.same(np.array(self._model.encode(text, num_threads=1), np.int64), f" {text}")
 
 
 _encoders: dict[tuple[str, ...], tuple[ByteLevel, Pieces]] = {}
@@ -144,87 +111,96 @@ def encoders(*paths: str) -> tuple[ByteLevel, Pieces]:
 
 
 def tokenised(docs: DataFrame, byte_path: str, ranks_path: str, piece_path: str) -> DataFrame:
-    """(doc_id, a_ids, a_ends, b_ids, b_ends): ids of a space and the text and of the text, and the byte offsets where
-    their tokens end. Empty for texts that are null or empty or whose bytes either of the two doesn't give back."""
+    """(doc_id, n_a, n_b - int, a_ends, b_ends - arrays of int, tokens - array of long) of a space and the text, and of the text.
+
+    The ends are the byte offsets where tokens end; ``tokens`` holds both sides' tokens as one number each: the end, from bit
+    32 on, bit 30 for the second side, and the id. All are empty for texts that are null or empty or whose bytes either of the
+    two doesn't give back.
+    """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ("a_ids", "a_ends", "b_ids", "b_ends")
+
+    def lists(arrays: list[np.ndarray], of: pa.DataType) -> pa.ListArray:
+        at = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), of))
 
     def encoded(batches):
         a, b = encoders(byte_path, ranks_path, piece_path)
-        nothing = np.zeros(0, np.int32)
+        nothing = np.zeros(0, np.int64)
         for batch in batches:
-            flat: list[list[np.ndarray]] = [[], [], [], []]
+            ends: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+            tokens = []
             for text in batch.column("text").to_pylist():
                 x, y = (a(f" {text}"), b(text)) if text else (None, None)
                 if x is None or y is None:
                     x = y = nothing
-                for to, ids in zip(flat, (x, np.cumsum(a.sizes[x], dtype=np.int32), y, np.cumsum(b.sizes[y], dtype=np.int32)), strict=True):
-                    to.append(ids)
-            lists = []
-            for arrays in flat:
-                at = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([nothing, *arrays]), pa.int32())))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", *names])
+                at = [np.cumsum(e.sizes[ids], dtype=np.int64) for e, ids in ((a, x), (b, y))]
+                for to, own in zip(ends, at, strict=True):
+                    to.append(own)
+                tokens.append(np.concatenate([at[0] << 32 | x, at[1] << 32 | _SECOND | y]))
+            columns = [batch.column("doc_id"), *[pa.array([len(x) for x in own], pa.int32()) for own in ends], *[lists(own, pa.int32()) for own in ends], lists(tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_a", "n_b", "a_ends", "b_ends", "tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, n_a int, n_b int, a_ends array<int>, b_ends array<int>, tokens array<bigint>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, " + ", ".join(f"{n} array<int>" for n in names))
+def _id(token: Column) -> Column:
+    return token.bitwiseAND(_SECOND - 1)
 
 
-def _run(ids: str, at: str, k: Column) -> Column:
-    """Of the k-th group, its ids in decimal, apart by commas. ``at``: where each group's last token stands."""
-    last, first = F.get(at, k), F.when(k == 0, 0).otherwise(F.get(at, k - 1) + 1)
-    return F.when(first == last, F.get(ids, last).cast("string")).otherwise(F.array_join(F.slice(ids, first + 1, last - first + 1).cast("array<string>"), ","))
+def _run(tokens: Column, second: bool) -> Column:
+    """The ids of one side of a group's tokens, apart by commas."""
+    own = F.filter(tokens, lambda t: (t.bitwiseAND(_SECOND) != 0) if second else (t.bitwiseAND(_SECOND) == 0))
+    return F.array_join(F.transform(own, lambda t: _id(t).cast("string")), ",")
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_single, groups - string ``a1,a2|b1;a3|b2,b3``, link_a, link_b - arrays of ids).
+    """(doc_id, n_a, n_b, n_groups, n_single - long, groups - string ``a1,a2|b1;a3|b2,b3``, links - array of long: both ids, the second from bit 0 on, the first from bit 32 on).
 
     ``tokens``: see ``tokenised``. A group lies between two places where tokens of both end; ``n_single`` groups have one
     token of each. A link is a pair of tokens that end together, and the k-th link closes the k-th group. Tokens
     without bytes do not exist, so ends ascend.
     """
-    key = lambda ends, side: F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + F.lit(side << 30) + i)
-    low = (1 << 30) - 1
     none = F.array().cast("array<int>")
-    cut = tokens.select("doc_id", "a_ids", "b_ids", "a_ends", "b_ends", F.array_intersect("a_ends", "b_ends").alias("cuts"))
-    # At each cut, three numbers in a row: of the token of either side that ends there, and the cut's.
-    merged = cut.select("doc_id", "a_ids", "b_ids", F.size("cuts").alias("n_groups"), F.sort_array(F.concat(key("a_ends", 0), key("b_ends", 1), key("cuts", 2))).alias("merged"))
-    at = F.filter(F.sequence(F.lit(2), F.size("merged") - 1), lambda i: F.get("merged", i).bitwiseAND(1 << 31) != 0)
-    met = merged.select("doc_id", "a_ids", "b_ids", "n_groups", "merged", F.when(F.col("n_groups") > 0, at).otherwise(none).alias("at"))
-    place = lambda back: F.transform("at", lambda i: F.get("merged", i - back).bitwiseAND(low).cast("int"))
-    placed = met.select("doc_id", "a_ids", "b_ids", "n_groups", place(2).alias("at_a"), place(1).alias("at_b"))
-    ks = F.when(F.col("n_groups") > 0, F.sequence(F.lit(0), F.col("n_groups") - 1)).otherwise(none)
-    step = lambda at, k: F.get(at, k) - F.when(k == 0, -1).otherwise(F.get(at, k - 1))
-    text = F.array_join(F.transform(ks, lambda k: F.concat(_run("a_ids", "at_a", k), F.lit("|"), _run("b_ids", "at_b", k))), ";")
-    return placed.select(
-        "doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.col("n_groups").cast("long").alias("n_groups"),
-        F.aggregate(ks, F.lit(0).cast("long"), lambda s, k: s + ((step("at_a", k) == 1) & (step("at_b", k) == 1)).cast("long")).alias("n_single"),
-        text.alias("groups"), F.transform("at_a", lambda i: F.get("a_ids", i)).alias("link_a"), F.transform("at_b", lambda i: F.get("b_ids", i)).alias("link_b"),
-    )
+    cut = tokens.select("doc_id", "n_a", "n_b", "tokens", F.array_intersect("a_ends", "b_ends").alias("cuts"))
+    # At each cut stand three numbers in a row: of the token of either side that ends there, and the cut's.
+    cuts = F.transform("cuts", lambda c: F.shiftleft(c.cast("long"), 32).bitwiseOR(_CUT))
+    merged = cut.select("doc_id", "n_a", "n_b", F.size("cuts").alias("n_groups"), F.sort_array(F.concat("tokens", cuts)).alias("merged"))
+    places = F.filter(F.sequence(F.lit(0), F.size("merged") - 1), lambda i: F.get("merged", i).bitwiseAND(_CUT) != 0)
+    at = merged.select("doc_id", "n_a", "n_b", "n_groups", "merged", F.when(F.col("n_groups") > 0, places).otherwise(none).alias("at"))
+    # Where the group before ends: -1 for the first.
+    met = at.select("*", F.concat(F.array(F.lit(-1)), "at").alias("since"))
+    size = lambda i, k: i - F.get("since", k)  # noqa: E731  tokens of a group, and its cut
+    one = lambda i: F.concat(_id(F.get("merged", i - 2)).cast("string"), F.lit("|"), _id(F.get("merged", i - 1)).cast("string"))
+    inside = lambda i, k: F.slice("merged", F.get("since", k) + 2, size(i, k) - 1)
+    text = F.transform("at", lambda i, k: F.when(size(i, k) == 3, one(i)).otherwise(F.concat(_run(inside(i, k), False), F.lit("|"), _run(inside(i, k), True))))
+    link = F.transform("at", lambda i: F.shiftleft(_id(F.get("merged", i - 2)), 32).bitwiseOR(_id(F.get("merged", i - 1))))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    single = F.aggregate(F.zip_with("at", "since", lambda i, before: i - before), F.lit(0).cast("long"), lambda s, n: F.when(n == 3, s + 1).otherwise(s))
+    return met.select("doc_id", long("n_a"), long("n_b"), long("n_groups"), single.alias("n_single"), F.array_join(text, ";").alias("groups"), link.alias("links"))
 
 
 def scored(documents: DataFrame, common_pairs: int = COMMON_PAIRS) -> DataFrame:
-    """``documents``, a table with link_a and link_b, with n_links, n_best and count_sum (long) in place of the two.
+    """``documents``, rows with ``links`` (see ``aligned``), with n_links, n_best and count_sum (long) in place of them.
 
     A pair's count: its links in all documents. ``n_best``: a document's links whose count is the highest of their B id, ties
     included; ``count_sum``: the sum of its links' counts. Pairs that hold one in ``common_pairs`` of all links are
     that many at most and are broadcast; all others are joined by a shuffle, none of them with more links than that.
     """
-    rows = documents.withColumn("row", F.monotonically_increasing_id())
-    rows = written(rows, "alignment-rows")
-    links = rows.select("row", F.inline(F.arrays_zip(F.col("link_a").alias("a"), F.col("link_b").alias("b"))).alias("a", "b"))
-    pairs = written(links.groupBy("a", "b").agg(F.count("*").alias("n")), "alignment-pairs")
+    rows = written(documents.withColumn("row", F.monotonically_increasing_id()), "alignment-rows")
+    links = rows.select("row", F.explode("links").alias("pair"))
+    pairs = written(links.groupBy("pair").agg(F.count("*").alias("n")).withColumn("b", F.col("pair").bitwiseAND(_SECOND - 1)), "alignment-pairs")
     top = pairs.groupBy("b").agg(F.max("n").alias("top"))  # a row for each id of a vocabulary
-    ranked = written(pairs.join(top, "b").select("a", "b", "n", (F.col("n") == F.col("top")).cast("long").alias("best")), "alignment-ranked")
+    ranked = written(pairs.join(top, "b").select("pair", "n", (F.col("n") == F.col("top")).cast("long").alias("best")), "alignment-ranked")
     total = ranked.agg(F.sum("n")).first()[0] or 0
     is_common = F.col("n") * common_pairs >= total
     common, rest = F.broadcast(ranked.where(is_common)), ranked.where(~is_common)
     sums = lambda x: x.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    seldom = links.join(common.select("a", "b"), ["a", "b"], "left_anti")
-    both = sums(links.join(common, ["a", "b"])).unionByName(sums(seldom.join(rest, ["a", "b"])))
+    seldom = links.join(common.select("pair"), "pair", "left_anti")
+    both = sums(links.join(common, "pair")).unionByName(sums(seldom.join(rest, "pair")))
     of = both.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     discard(pairs)
-    out = rows.select(*[c for c in rows.columns if c not in ("link_a", "link_b")], F.size("link_a").cast("long").alias("n_links")).join(of, "row", "left")
+    out = rows.select(*[c for c in rows.columns if c != "links"], F.size("links").cast("long").alias("n_links")).join(of, "row", "left")
     return out.drop("row").na.fill(0, ["n_best", "count_sum"])
 
 

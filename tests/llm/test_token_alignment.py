@@ -76,7 +76,7 @@ def brute(exact, rows):
 
 def ours(spark, rows, **options):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for c in ("row", "a", "B", "links", "groups", "n", "cuts", "merged"):
+    for c in ("row", "a", "B", "links", "groups", "n", "cuts", "merged", "tokens", "pair"):
         docs = docs.withColumn(c, F.lit("x"))
     out = T.scored(T.aligned(T.tokenised(docs, *PATHS)), **options)
     return [tuple(r) for r in out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups").collect()]
@@ -89,7 +89,7 @@ def test_equals_a_walk_over_both_lists(spark, exact, common_pairs):
     assert sorted(ours(spark, rows, common_pairs=common_pairs), key=repr) == sorted(brute(exact, rows), key=repr)
 
 
-def test_stretches_give_the_ids_of_whole_texts(exact):
+def test_encoders_give_the_libraries_ids(exact):
     """Both encoders against the libraries on whole texts, of odd characters in any order."""
     a, b = T.encoders(*PATHS)
     rng = random.Random(7)
