@@ -35,7 +35,7 @@ BROADCAST_IDS = 1_000_000
 BLOCK = 2048
 #: Postings that a task gathers before it hands them on.
 GATHERED = 600_000
-#: Postings of a bucket, in the mean. A pair is found once in each bucket that holds a hash of both, so buckets are few and large.
+#: Postings of a bucket, in the mean. A pair is found in each bucket that holds a hash of both, and packed with others for the part that keeps it once.
 POSTED = 1_000_000
 #: Cells of the sketch (a byte each in every task), and those whose counts make a row.
 CELLS, STRETCH = 1 << 22, 1 << 12
@@ -80,6 +80,8 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 _PA_POSTINGS = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("docs", "sizes", "groups", "counts", "inner", "tokens"))])
+_PARTED = "kind int, part long, a binary, b binary"
+_PA_PARTED = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 _PA_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 _PA_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("hashes", pa.binary())])
 
@@ -347,18 +349,39 @@ def _open_cells(n_parts: int, open_):
     return count
 
 
-def _pairs_of(batches):
-    for b in batches:
-        for x, y in zip(b.column("docs").to_pylist(), b.column("groups").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")
-            yield _batch(_PA_FOUND, np.zeros(len(x), np.int32), x, y)
+def _parted(kind: int, a: np.ndarray, b: np.ndarray, n_parts: int) -> list[tuple]:
+    """Pairs packed by parts (kind, part, both sides as bytes): the same pair comes to the same part, wherever it is found."""
+    part = (mixed(a.astype(np.uint64) * np.uint64(3) ^ mixed(b.astype(np.uint64))) % np.uint64(n_parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, a, b = part[order], a[order].astype("<i8"), b[order].astype("<i8")
+    of, at = np.unique(part, return_index=True)
+    return [(kind, int(k), a[lo:hi].tobytes(), b[lo:hi].tobytes()) for k, lo, hi in zip(of, at, [*at[1:], len(part)], strict=False)]
 
 
-def _marked_of(batches):
-    for b in batches:
-        for x in b.column("docs").to_pylist():
-            x = np.frombuffer(x, "<i8")
-            yield _batch(_PA_FOUND, np.ones(len(x), np.int32), x, np.zeros(len(x), np.int64))
+def _packed(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PA_PARTED)]
+
+
+def _pairs_of(n_parts: int):
+    """The pairs and the documents that go on of a task's own common hashes, by parts."""
+
+    def parted(batches):
+        for b in batches:
+            rows = []
+            for bucket, x, y in zip(*(b.column(c).to_pylist() for c in ("bucket", "docs", "groups")), strict=True):
+                x = np.frombuffer(x, "<i8")
+                rows += _parted(0, x, np.frombuffer(y, "<i8"), n_parts) if bucket == PAIRS else _parted(1, x, np.zeros(len(x), "<i8"), n_parts)
+            yield pa.RecordBatch.from_arrays(_packed(rows), schema=_PA_PARTED)
+
+    return parted
+
+
+def _once(t: pa.Table) -> pa.Table:
+    """What a part holds, each once."""
+    kinds, (a, b) = t.column("kind").to_pylist(), ([np.frombuffer(x, "<i8") for x in t.column(c).to_pylist()] for c in ("a", "b"))
+    pairs = [(x, y) for k, x, y in zip(kinds, a, b, strict=True) if k == 0]
+    marked = np.unique(np.concatenate([np.zeros(0, "<i8"), *[x for k, x in zip(kinds, a, strict=True) if k == 1]]))
+    return _found(pairs, [(1, marked, np.zeros(len(marked), np.int64))])
 
 
 def _entries(t: pa.Table):
@@ -401,7 +424,12 @@ def _found(pairs, singles) -> pa.Table:
     return pa.Table.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PA_FOUND)
 
 
-def _first_round(t: pa.Table) -> pa.Table:
+def _first_round(n_parts: int):
+    """Of a bucket's tiles the pairs, and the documents that go on, by parts."""
+    return lambda t: pa.Table.from_arrays(_packed(_first_tiles(t, n_parts)), schema=_PA_PARTED)
+
+
+def _first_tiles(t: pa.Table, n_parts: int) -> list[tuple]:
     token, doc, size, group, _, _, begin, length = _entries(t)
     few = np.repeat((length > 1) & (length <= SHORT), length)
     pairs = [_all_pairs(token[few], doc[few], size[few], group[few], few[few], SHORT)]
@@ -409,7 +437,8 @@ def _first_round(t: pa.Table) -> pa.Table:
     run = np.cumsum(np.r_[0, np.diff(token[many]) != 0])[: many.sum()]
     pairs.append(_stars(run, doc[many], size[many])[:2])
     hot = np.unique(doc[many])
-    return _found(pairs, [(1, hot, np.zeros(len(hot), np.int64))])
+    a, b = _pairs(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+    return [*_parted(0, a, b, n_parts), *_parted(1, hot, np.zeros(len(hot), np.int64), n_parts)]
 
 
 def _further_round(n_parts: int):
@@ -578,9 +607,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     posted = kept(texts.mapInArrow(_post_prefixes(n_buckets, ranks), _POSTINGS), "postings")
     sizes = posted.where(f"bucket = {SIZES}").select("docs", "sizes", "tokens").mapInArrow(_sizes, "doc_id long, n int, bits binary")
     sizes = kept(sizes.dropDuplicates(["doc_id"]), "sizes")
-    found = posted.where("bucket >= 0").groupBy("bucket").applyInArrow(_first_round, _FOUND)
-    found = found.unionByName(posted.where(f"bucket = {PAIRS}").mapInArrow(_pairs_of, _FOUND)).unionByName(posted.where(f"bucket = {MARKED}").mapInArrow(_marked_of, _FOUND))
-    found = kept(found.distinct(), "first")
+    found = posted.where("bucket >= 0").groupBy("bucket").applyInArrow(_first_round(n_buckets), _PARTED)
+    found = found.unionByName(posted.where(f"bucket in ({PAIRS}, {MARKED})").mapInArrow(_pairs_of(n_buckets), _PARTED))
+    found = kept(found.groupBy("part").applyInArrow(_once, _FOUND), "first")
     links = kept(_verified(found.where("kind = 0").select("a", "b"), sizes, texts, "jaccard-first"), "links")
     left = kept(found.where("kind = 1").select(F.col("a").alias("doc_id")), "hot")
 
