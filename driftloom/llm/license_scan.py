@@ -129,7 +129,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     held = F.filter(rules, lambda r: F.array_contains(F.col(present_), r["keyword"]))
     found = F.flatten(F.transform(held, lambda r: _places(n, r)))
     out = out.withColumn("hits", F.when(F.size(present_) > 0, found))
-    return out.withColumn("hits", F.coalesce(F.when(F.size("hits") > 0, _stay(F.col("hits"))), F.array().cast(_HIT))).drop(norm_, present_)
+    out = out.withColumn("hits", F.coalesce(F.when(F.size("hits") > 0, _stay(F.col("hits"))), F.array().cast(_HIT)))
+    # A row made by a generator is a value: without it, a filter on the result takes in copies of all these expressions.
+    (row,) = fresh(docs, "row")
+    return out.select(F.explode(F.array(F.struct(*docs.columns, "words", "base", "hits"))).alias(row)).select(f"{row}.*")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

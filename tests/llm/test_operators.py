@@ -747,6 +747,24 @@ def test_license_scan_of_a_long_text_takes_time_in_proportion(spark):
     assert took[2] < 8 * max(took[1], 1)
 
 
+def test_license_scan_stands_what_comes_after_it(spark):
+    """A filter, an order, a join and a count on the result take about as long as the result: nothing is put into them again."""
+    import time
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    out = license_scan.op8_license_scan(spark, "/root/testdata/sf0.01")
+    plain = out.count()
+    start = time.time()
+    labelled = out.where("labels <> ''")
+    n = labelled.count()
+    assert 0 < n < plain
+    assert len(labelled.orderBy("score", "doc_id").collect()) == n
+    assert labelled.join(docs, "doc_id").count() == n
+    assert sum(r["count"] for r in out.groupBy("labels").count().collect()) == plain
+    assert 0 < license_scan.scan(docs).where(F.size("hits") > 0).count() <= n
+    assert time.time() - start < 120
+
+
 def test_license_contract_against_brute_force(spark):
     d = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in license_scan.op8_license_scan(spark, d).collect()}
