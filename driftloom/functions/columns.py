@@ -241,7 +241,9 @@ def relaxed_json(c) -> Column:
     """JSON of an object literal with commas at ends, single quotes or bare keys, as VARIANT; null if it is none. What stands in strings stays."""
     double = F.regexp_replace(_col(c), r'"((?:[^"\\]|\\.)*)"|\'((?:[^\'\\]|\\.)*)\'', '"$1$2"')
     closed = F.regexp_replace(double, f"({_STRING})|,(?=\\s*[}}\\]])", "$1")
-    return F.try_parse_json(F.regexp_replace(closed, r"([{,]\s*)([A-Za-z_]\w*)(?=\s*:)", '$1"$2"'))
+    # A mark stands for the quotes of bare keys; a string that was passed over has two marks and nothing between them.
+    keyed = F.regexp_replace(closed, f"({_STRING})|([{{,]\\s*)([A-Za-z_]\\w*)(?=\\s*:)", "$1$2\u0001$3\u0001")
+    return F.try_parse_json(F.replace(F.replace(keyed, F.lit("\u0001\u0001"), F.lit("")), F.lit("\u0001"), F.lit('"')))
 
 
 def matches(query: str, *columns) -> Column:

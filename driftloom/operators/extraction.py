@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import extract as X
+from .rounds import settled
 
 _OUT = "repo string, path string, mode string, pos int, tool string, description string, input_schema string, extractor string"
 
@@ -37,11 +38,10 @@ def _parsed(batches):
             if not text:
                 continue
             repo, path, suffix, lang = r["repo"], r["path"], r["suffix"], (r["language"] or "").lower()
-            own = X.BY_SUFFIX[suffix](text) if suffix in X.BY_LANGUAGE.get(lang, ()) else []
-            found = [("own", d) for d in own]
+            by_suffix = X.BY_SUFFIX[suffix](text) if suffix in X.BY_SUFFIX else []
+            found = [("own", d) for d in by_suffix] if suffix in X.BY_LANGUAGE.get(lang, ()) else []
             if suffix in X.ANY_LANGUAGE:
-                extra = X.BY_SUFFIX[suffix](text) if suffix in X.BY_SUFFIX else []
-                found += [("any", d) for d in X.extract_generic(text) + extra]
+                found += [("any", d) for d in X.extract_generic(text) + by_suffix]
             if suffix == ".py" and ".py" in X.BY_LANGUAGE.get(lang, ()):
                 used, docs = X.python_links(text)
                 found += [("use", X.Definition(n, "", {}, "")) for n in used]
@@ -60,7 +60,7 @@ def located(files: DataFrame) -> DataFrame:
     the search in any language finds something.
     """
     some = readable(files).withColumn("suffix", _suffix()).where(F.col("suffix").isin(*sorted({*X.BY_SUFFIX, *X.ANY_LANGUAGE})))
-    parsed = some.select("repo", "language", "path", "suffix", "content").mapInArrow(_parsed, _OUT)
+    parsed = settled(some.select("repo", "language", "path", "suffix", "content").mapInArrow(_parsed, _OUT), "parsed")  # read four times below
     order = ["path", "pos"]
     own = parsed.where("mode = 'own'").withColumn("stage", F.when(F.col("path").endswith(".ipynb"), 1).otherwise(0))
     docs = parsed.where("mode = 'doc'").groupBy("repo", "tool").agg(F.min_by(F.struct("path", "description", "input_schema", "extractor"), F.struct(*order)).alias("d"))
@@ -68,8 +68,7 @@ def located(files: DataFrame) -> DataFrame:
     linked = uses.join(docs, ["repo", "tool"]).select("repo", F.col("d.path").alias("path"), F.lit("own").alias("mode"), F.col("u.pos").alias("pos"), "tool", "d.description", "d.input_schema", "d.extractor", F.lit(2).alias("stage"))
     found = own.unionByName(linked)
     fall = parsed.where("mode = 'any'").join(found.select("repo").distinct(), "repo", "left_anti")
-    first = Window.partitionBy("repo").orderBy("path")
-    fall = fall.withColumn("__f", F.dense_rank().over(first)).where("__f = 1").drop("__f").withColumn("stage", F.lit(3))
+    fall = fall.join(fall.groupBy("repo").agg(F.min("path").alias("path")), ["repo", "path"], "left_semi").withColumn("stage", F.lit(3))
     once = Window.partitionBy("repo", "tool").orderBy("stage", *order)
     out = found.unionByName(fall).withColumn("__r", F.row_number().over(once)).where("__r = 1")
     return out.select("repo", "path", "tool", "description", "input_schema", "extractor")
@@ -107,6 +106,7 @@ SIGNALS = {
     "rust": (r"\brmcp\b", r"#\[tool\b", r"#\[tool_router\]", r"\bServerHandler\b", r"\brmcp_macros\b"),
 }
 SIGNAL_SUFFIXES = {"python": (".py",), "typescript": (".ts", ".tsx"), "javascript": (".js", ".mjs", ".cjs"), "go": (".go",), "rust": (".rs",)}
+# The files that describe a package.
 MANIFESTS = ("package.json", "pyproject.toml", "Cargo.toml", "go.mod")
 
 

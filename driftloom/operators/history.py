@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import diffs as D
 from .rounds import settled
 from .similar_sets import candidate_pairs
 
@@ -40,7 +41,7 @@ def diffs(versions: DataFrame, firsts: bool = False) -> DataFrame:
         C.type_changes(before, after).alias("type_changes"),
         before.alias("before_props"), after.alias("after_props"),
         (~F.col("prev.source_file").eqNullSafe(F.col("source_file"))).alias("source_file_changed"),
-        F.col("prev.source_file").alias("from_file"), F.col("source_file").alias("to_file"), F.col("prev").isNotNull().alias("follows"),
+        F.col("prev.source_file").alias("from_file"), F.col("source_file").alias("to_file"), F.col("prev").isNotNull().alias("follows"), "n_versions",
     )
     sizes = [F.size(c) for c in ("fields_added", "fields_removed", "type_changes")]
     changed = F.col("description_changed") | (sizes[0] > 0) | (sizes[1] > 0) | (sizes[2] > 0)
@@ -58,6 +59,21 @@ def change_rates(versions: DataFrame) -> DataFrame:
     return diffs(versions, firsts=True).groupBy("repo", "tool").agg(F.count("*").alias("n"), F.count_if("valid").alias("c"))
 
 
+def records(versions: DataFrame) -> DataFrame:
+    """The record of a history: a row for each consecutive pair (status ``drift_event``), and one for each entity that has a single
+    version (``no_drift_observed``), which has no from side and no differences; all from one pass over the versions.
+
+    ``description_diff`` is the unified diff of the two descriptions, empty if they are equal.
+    """
+    e = diffs(versions, firsts=True).withColumn("alone", F.col("from_seq").isNull()).where("not alone or n_versions = 1")
+    pair = lambda c: F.when(~F.col("alone"), F.col(c)).alias(c)
+    return e.withColumn("description_diff", D.unified_diff("before", "after")).select(
+        "repo", "tool", F.when(F.col("alone"), F.lit(1)).alias("snapshot_count"), "from_seq", "to_seq", "from_sha", "to_sha", "from_date", "to_date",
+        *[pair(c) for c in ("description_changed", "description_diff", "fields_added", "fields_removed", "type_changes", "is_inplace_mutation", "source_file_changed")],
+        F.when(F.col("alone"), "no_drift_observed").otherwise("drift_event").alias("status"),
+    )
+
+
 def single_versions(versions: DataFrame) -> DataFrame:
     """Entities that have one version only: nothing can have changed."""
     one = versions.groupBy("repo", "tool").agg(F.count("*").alias("snapshot_count"), F.substring(F.min("sha"), 1, 8).alias("sha"), F.min("commit_date").alias("commit_date"))

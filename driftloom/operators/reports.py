@@ -18,9 +18,14 @@ def value_counts(rows: DataFrame, column: str, top: int | None = None) -> DataFr
     """(value, n, pct), most frequent first by rank; beyond ``top``, one row ``other``. Null is ``(unknown)``."""
     counts = rows.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("(unknown)")).alias("value")).agg(F.count("*").alias("n"))
     if top is not None:
-        ranked = counts.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "value")))  # a row for each value
-        counts = ranked.groupBy(F.when(F.col("r") <= top, F.col("value")).otherwise("other").alias("value")).agg(F.sum("n").alias("n"))
-    return counts.withColumn("pct", rate(F.col("n"), F.sum("n").over(Window.partitionBy())))
+        first = counts.orderBy(F.desc("n"), "value").limit(top).select("value", F.lit(True).alias("__top"))
+        counts = counts.join(F.broadcast(first), "value", "left").groupBy(F.when(F.col("__top"), F.col("value")).otherwise("other").alias("value")).agg(F.sum("n").alias("n"))
+    return with_total(counts, "n", "__all").select("value", "n", rate(F.col("n"), F.col("__all")).alias("pct"))
+
+
+def with_total(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``column`` over all of them: a one-row frame, so that no task gathers the rows."""
+    return rows.crossJoin(F.broadcast(rows.agg(F.sum(column).alias(name))))
 
 
 def pivot_totals(rows: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
@@ -46,10 +51,13 @@ def summary(rows: DataFrame, column: str) -> DataFrame:
 
 
 def crosstab(events: DataFrame, by: str, both: Column, second: Column, repo: str = "repo") -> DataFrame:
-    """Events, repositories, and how many percent of each show drift, by segment."""
-    out = events.withColumn("__b", both).withColumn("__s", second).groupBy(by).agg(
-        F.count("*").alias("events"), F.count_distinct(repo).alias("repos"), F.count_if("__b").alias("n_both"), F.count_if("__s").alias("n_second"),
-        F.count_distinct(F.when(F.col("__s"), F.col(repo))).alias("repos_drifting"),
+    """Events, repositories, and how many percent of each show drift, by segment. Counted by repository first: no distinct over events."""
+    each = events.withColumn("__b", both).withColumn("__s", second).groupBy(by, repo).agg(
+        F.count("*").alias("events"), F.count_if("__b").alias("n_both"), F.count_if("__s").alias("n_second"),
+    )
+    out = each.groupBy(by).agg(
+        F.sum("events").alias("events"), F.count(repo).alias("repos"), F.sum("n_both").alias("n_both"), F.sum("n_second").alias("n_second"),
+        F.count_if(F.col(repo).isNotNull() & (F.col("n_second") > 0)).alias("repos_drifting"),
     )
     return out.select(
         by, "events", "repos", rate(F.col("n_both"), F.col("events")).alias("pct_both"), rate(F.col("n_second"), F.col("events")).alias("pct_second"),
@@ -87,7 +95,7 @@ def funnel(stages: DataFrame) -> DataFrame:
 
 def share_delta(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
     """Each group's share in a and in b, in percent, and their difference."""
-    share = lambda d, name: d.groupBy(by).count().withColumn(name, F.col("count") / F.nullif(F.sum("count").over(Window.partitionBy()), F.lit(0)) * 100.0).drop("count")
+    share = lambda d, name: with_total(d.groupBy(by).count(), "count", "__all").select(by, (F.col("count") / F.nullif("__all", F.lit(0)) * 100.0).alias(name))
     both = share(a, "a").join(share(b, "b"), by, "full").na.fill(0.0, ["a", "b"])
     return both.select(by, F.round("a", 6).alias("pct_a"), F.round("b", 6).alias("pct_b"), F.round(F.col("a") - F.col("b"), 6).alias("delta"))
 

@@ -84,6 +84,20 @@ def no_drift_singletons(spark, d):
     return history.single_versions(V.versions(spark, d))
 
 
+@query(
+    """SELECT repo, tool, CAST(NULL AS INT) AS snapshot_count, from_sha, to_sha, to_seq, description_changed, CASE WHEN description_changed THEN concat('--- before+++ after@@ -1 +1 @@-', before, '+', after) ELSE '' END AS description_diff,
+    added AS fields_added, removed AS fields_removed, types AS type_changes, source_file_changed, 'drift_event' AS status FROM diffs
+    UNION ALL SELECT repo, tool, 1, NULL, min(sha), min(seq), NULL, NULL, '', '', NULL, NULL, 'no_drift_observed' FROM versions GROUP BY repo, tool HAVING count(*) = 1""",
+    VERSIONS,
+)
+def diff_records(spark, d):
+    """Pairs and entities without one in a single frame, with the descriptions' diff; descriptions are of one line here."""
+    return history.records(V.versions(spark, d)).select(
+        "repo", "tool", "snapshot_count", "from_sha", "to_sha", "to_seq", "description_changed", "description_diff", C.joined("fields_added", ",").alias("fields_added"),
+        C.joined("fields_removed", ",").alias("fields_removed"), _moved().alias("type_changes"), "source_file_changed", "status",
+    )
+
+
 @query(
     """SELECT count(*) AS entities, count_if(n >= 2) AS with_history, round(100.0 * count_if(n >= 2) / count(*), 6) AS pct_history, count_if(c > 0) AS changed, round(100.0 * count_if(c > 0) / count(*), 6) AS pct_changed,
     count(DISTINCT repo) AS repos, count(DISTINCT CASE WHEN c > 0 THEN repo END) AS repos_changed

@@ -24,10 +24,11 @@ CLASSIFICATIONS = (
 )
 
 
-def csv(spark: SparkSession, path: str, schema: str | None = None, delimiter: str = ",") -> DataFrame:
-    """With a header; without a schema all columns are strings. Blank cells are null; quotes are doubled inside quotes."""
+def csv(spark: SparkSession, path: str, schema: str | None = None, delimiter: str = ",", infer: bool = False) -> DataFrame:
+    """With a header; without a schema all columns are strings, or with ``infer`` of the types that all their cells have, which reads
+    the file twice. Blank cells are null; quotes are doubled inside quotes."""
     r = spark.read.option("header", True).option("nullValue", "").option("sep", delimiter).option("multiLine", True).option("escape", '"')
-    return r.schema(schema).csv(path) if schema else r.csv(path, inferSchema=False)
+    return r.schema(schema).csv(path) if schema else r.csv(path, inferSchema=infer)
 
 
 def jsonl(spark: SparkSession, path: str, schema: str | None = None, tolerant: bool = False) -> DataFrame:
@@ -82,6 +83,17 @@ def source_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = tupl
     return files.select(parts[0].alias("repo"), F.array_join(F.slice(parts, 2, F.size(parts)), "/").alias("path"), "content", rest.alias("name"))
 
 
+def source_files(spark: SparkSession, root: str, repos: DataFrame, suffixes: tuple[str, ...] = tuple(BY_SUFFIX)) -> DataFrame:
+    """(repo, language, path, content binary) of the files under root/<repo>/ that count: in no skipped directory, and no tests.
+
+    ``repos``: repo and language, one row each; a repository that it lacks has no language. What ``extraction.located`` takes.
+    """
+    from ..operators.extraction import readable
+
+    files = readable(source_tree(spark, root, suffixes)).select("repo", "path", "content")
+    return files.join(repos.select("repo", "language"), "repo", "left").select("repo", "language", "path", "content")
+
+
 def markdown_intro(spark: SparkSession, path: str) -> DataFrame:
     """(intro): the text between a document's first heading and its first second-level heading."""
     text = spark.read.text(path, wholetext=True)
