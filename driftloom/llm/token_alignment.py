@@ -9,7 +9,6 @@ other where they end together, so that ``sequence`` and ``transform`` read the l
 from __future__ import annotations
 
 import base64
-import json
 import re
 
 import numpy as np
@@ -25,19 +24,14 @@ MARK = "▁"
 COMMON_PAIRS = 1 << 18
 #: Characters without white space from which on ``tokenizers`` encodes, which merges in a heap.
 LONG = 10_000
+#: Rows of a batch of tokens, which take several times their texts' bytes.
+ROWS = 100
 #: What marks a token of the second side, and a cut, in a number that holds an end and an id.
 _SECOND, _CUT = 1 << 30, 1 << 31
 
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
-def _byte_of_character() -> dict[str, int]:
-    """The usual byte-level alphabet: printable bytes stand for themselves, the others, in order, for characters from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class _Encoder:
     def __init__(self, pieces: list[bytes]):
         self.pieces = pieces
@@ -50,23 +44,18 @@ class _Encoder:
 
 class ByteLevel(_Encoder):
     """Byte-level BPE without special tokens: their strings are plain text. Ids come from ``tiktoken`` with the same
-    vocabulary, which is faster, but for texts with a very long stretch without a space."""
+    vocabulary, whose entries are bytes already, but for texts with a very long stretch without a space."""
 
     def __init__(self, path: str, ranks_path: str):
         import public_tokenizers
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            entries = json.load(f)
-        of = _byte_of_character()
-        special = {t["content"]: t["id"] for t in entries["added_tokens"]}
-        vocabulary = entries["model"]["vocab"] | special
-        pieces = [b""] * (max(vocabulary.values()) + 1)
-        for piece, k in vocabulary.items():
-            pieces[k] = piece.encode() if piece in special else bytes(of[c] for c in piece)
-        super().__init__(pieces)
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        pieces = [b""] * (max(ranks.values()) + 1)
+        for piece, k in ranks.items():
+            pieces[k] = piece
+        super().__init__(pieces)
         self._fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._path, self._whole = path, None
 
@@ -127,7 +116,7 @@ def tokenised(docs: DataFrame, byte_path: str, ranks_path: str, piece_path: str)
     def encoded(batches):
         a, b = encoders(byte_path, ranks_path, piece_path)
         nothing = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             ends: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
             tokens = []
             for text in batch.column("text").to_pylist():
