@@ -222,7 +222,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted languages of all documents; learned where crc32(doc_id) mod 4 is not 2."""
     docs = table(spark, sf_dir, "documents")
     prototypes = learn(docs.where(crc32_mod("doc_id", 4) != 2))
-    return identify(docs, prototypes).select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs, prototypes).select("doc_id", F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {"op9_language_id": op9_language_id}

@@ -26,6 +26,8 @@ MOST_DOCUMENTS = 3000
 CONTEXT = 2
 #: Buckets of a row in which a task hands on its sums; tasks whose sums are added up at first.
 ROWS, TOGETHER = 512, 32
+#: Partitions of the input that one task reads at most.
+READ = 32
 #: Words whose buckets a worker remembers; then it starts anew.
 REMEMBERED = 400_000
 
@@ -80,7 +82,7 @@ def add_contexts(sums: np.ndarray, ids: np.ndarray, signs: np.ndarray) -> None:
     for lo in range(0, len(pairs), 1 << 16):
         word, other = np.divmod(pairs[lo : lo + (1 << 16)], BUCKETS)
         first = np.flatnonzero(np.r_[True, np.diff(word) != 0])
-        sums[word[first]] += np.add.reduceat(signs[other] * n[lo : lo + (1 << 16), None].astype(np.int32), first, axis=0)
+        sums[word[first]] += np.add.reduceat(signs[other] * n[lo : lo + (1 << 16), None].astype(np.int32), first, axis=0, dtype=np.int64)
 
 
 def _summed(t: pa.Table) -> pa.Table:
@@ -98,7 +100,7 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     spark = docs.sparkSession
 
     def gathered(batches):
-        signs, sums, n = index_signs(index_places()), np.zeros((BUCKETS, DIMENSIONS), np.int32), np.zeros(BUCKETS, np.int64)
+        signs, sums, n = index_signs(index_places()), np.zeros((BUCKETS, DIMENSIONS), np.int64), np.zeros(BUCKETS, np.int64)
         for b in batches:
             parts = [np.array([-1], np.int32)]
             for text in b.column("text").to_pylist():
@@ -115,8 +117,11 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     small_batches(spark)
     kind = "row int, part int, sums binary, n binary"
-    # A task's table has a fixed size, so there are not many more tasks than can run.
-    texts = docs.select("text").coalesce(4 * spark.sparkContext.defaultParallelism)
+    # A task's table has a fixed size, so there are not many more tasks than can run, but never more than ``READ`` partitions
+    # in one of them, however few executors run at first.
+    texts = docs.select("text")
+    parts = texts.rdd.getNumPartitions()
+    texts = texts.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-parts // READ)))
     found = texts.mapInArrow(gathered, kind).groupBy("row", "part").applyInArrow(_summed, kind).groupBy("row").applyInArrow(_summed, kind)
     vectors, counts = np.zeros((BUCKETS, DIMENSIONS)), np.zeros(BUCKETS, np.int64)
     for r in found.collect():
@@ -242,11 +247,11 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality scores of all documents; learned from labels where crc32(doc_id) mod 3 is not 1."""
+    """Quality scores of all documents; learned from labels where crc32(doc_id) mod 3 is not 1. A row without doc_id is not held out."""
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels").where(crc32_mod("doc_id", 3) != 1))
     return score(docs, model).select(
-        "doc_id", (crc32_mod("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+        "doc_id", F.coalesce(crc32_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )
 
 
