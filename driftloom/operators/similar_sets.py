@@ -6,22 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, on: list[str], name: str, tokens: str, least: float) -> DataFrame:
+def candidate_pairs(left: DataFrame, right: DataFrame, on: list[str], name: str, tokens: str, least: float, sets: bool = False) -> DataFrame:
     """Rows (``on``, left_id, right_id), each once: rows of both sides that agree in ``on`` and may share ``least`` of the larger set.
 
     ``name``: a column that is unique within ``on`` on each side; ``tokens``: an array column. Two sets that share at least
     ``least`` of the larger one share one of the first ``n - ceil(least * n) + 1`` tokens of each, in any one order. The
     order here is from the rarest token of the key to the most frequent, so the sets meet at rare tokens. A pair is
     made at the first such token that both have, so once; sets without tokens meet nothing. All that is at least as like
-    as asked is among the pairs, whatever else is.
+    as asked is among the pairs, whatever else is; sets whose sizes alone forbid it are not. With ``sets``, pairs have both
+    sides' distinct tokens too, as ``left_set`` and ``right_set``.
     """
-    sides = [s.select(*on, F.col(name).alias("id"), F.array_distinct(tokens).alias("set")).where(F.size("set") > 0).withColumn("side", F.lit(k)) for k, s in enumerate((left, right))]
-    each = sides[0].unionByName(sides[1]).select(*on, "side", "id", F.explode("set").alias("token"))
+    rows = [s.select(*on, F.col(name).alias("id"), F.array_distinct(tokens).alias("set")).where(F.size("set") > 0).withColumn("side", F.lit(k)) for k, s in enumerate((left, right))]
+    each = rows[0].unionByName(rows[1]).select(*on, "side", "id", F.explode("set").alias("token"))
     counts = each.groupBy(*on, "token").agg(F.count("*").alias("n"))
     ordered = each.join(counts, [*on, "token"]).groupBy(*on, "side", "id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("set"))
     kept = F.size("set") - F.ceil(F.size("set") * F.lit(float(least)) - F.lit(1e-9)).cast("int") + 1
-    heads = ordered.select(*on, "side", "id", F.transform(F.slice("set", 1, F.greatest(kept, F.lit(1))), lambda t: t["token"]).alias("head"))
-    at = lambda side, name: heads.where(F.col("side") == side).select(*on, F.col("id").alias(f"{name}_id"), F.col("head").alias(f"{name}_head"), F.explode("head").alias("token"))
-    met = at(0, "left").join(at(1, "right"), [*on, "token"])
-    first = F.get(F.array_intersect("left_head", "right_head"), F.lit(0)) == F.col("token")
-    return met.where(first).select(*on, "left_id", "right_id")
+    heads = ordered.select(*on, "side", "id", F.size("set").alias("n"), F.greatest(kept, F.lit(1)).alias("kept"), F.transform("set", lambda t: t["token"]).alias("set"))
+    if not sets:
+        heads = heads.withColumn("set", F.slice("set", 1, F.col("kept")))
+
+    def at(side: int, name: str) -> DataFrame:
+        own = heads.where(F.col("side") == side).select(*on, *[F.col(c).alias(f"{name}_{c}") for c in ("id", "n", "kept", "set")])
+        return own.select("*", F.explode(F.slice(f"{name}_set", 1, F.col(f"{name}_kept"))).alias("token"))
+
+    met = at(0, "left").join(at(1, "right"), [*on, "token"]).where(F.least("left_n", "right_n") >= F.greatest("left_n", "right_n") * F.lit(float(least)) - F.lit(1e-9))
+    head = lambda name: F.slice(f"{name}_set", 1, F.col(f"{name}_kept"))
+    first = F.get(F.array_intersect(head("left"), head("right")), F.lit(0)) == F.col("token")
+    return met.where(first).select(*on, "left_id", "right_id", *(["left_set", "right_set"] if sets else []))

@@ -62,6 +62,16 @@ def test_renames_equal_comparing_all(spark, least):
     assert sorted(got) == sorted(brute_renames([r for r in rows if r[0]], least))
 
 
+def test_files_of_equal_chunks_make_no_product(spark, monkeypatch):
+    """2,000 removed and 2,000 added files of two contents that are alike: one pair of contents, not 4 million of files."""
+    tables = []
+    monkeypatch.setattr(commits, "settled", lambda df, name: tables.append(rounds.settled(df, name)) or tables[-1])
+    side = lambda status, last: spark.range(2000).selectExpr("'r' repo", "1L commit", f"format_string('{status}%04d', id) path", f"'{status}' status", f"if(id % 2 = 0, concat('{status}', id), null) blob", f"array('a', 'b', '{last}') chunks")
+    got = commits.renames(side("D", "c").unionByName(side("A", "d")))
+    assert [(r.old_path, r.new_path, round(r.similarity, 6)) for r in got.collect()] == [("D0000", "A0000", 0.666667)]
+    assert max(t.count() for t in tables) == 4000
+
+
 def test_lineages_follow_paths_that_are_used_again(spark):
     blob = lambda k: (f"b{k}", [])
     rows = [
