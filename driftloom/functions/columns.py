@@ -123,7 +123,7 @@ def property_types(schema) -> Column:
 
 
 def fields_added(before, after) -> Column:
-    return F.array_sort(F.array_except(F.map_keys(_col(after)), F.map_keys(_col(before))))
+    return F.sort_array(F.array_except(F.map_keys(_col(after)), F.map_keys(_col(before))))
 
 
 def fields_removed(before, after) -> Column:
@@ -133,7 +133,7 @@ def fields_removed(before, after) -> Column:
 def type_changes(before, after) -> Column:
     """(field, from_type, to_type) of the fields in both whose types differ."""
     b, a = _col(before), _col(after)
-    both = F.array_sort(F.array_intersect(F.map_keys(b), F.map_keys(a)))
+    both = F.sort_array(F.array_intersect(F.map_keys(b), F.map_keys(a)))
     changes = F.transform(both, lambda k: F.struct(k.alias("field"), F.element_at(b, k).alias("from_type"), F.element_at(a, k).alias("to_type")))
     return F.filter(changes, lambda x: ~x["from_type"].eqNullSafe(x["to_type"]))
 

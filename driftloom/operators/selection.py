@@ -84,10 +84,11 @@ def first_of_each(rows: DataFrame, strata: list[str], digest: Column, keys: list
     ``digest``: hexadecimal text that is spread evenly, as md5 is; ``quota``: strata and ``allocated``, a row for each stratum. The
     digests' first digits, as many as leave ``edge_rows`` rows of the largest stratum to each, are counted; below the bin in which
     a stratum's quota ends all rows are in, above it none, and only the rows of that bin are sorted. So no stratum is
-    sorted, however large it is. A null stratum is a stratum; one without a quota has none.
+    sorted, however large it is. A null stratum is a stratum; one without a quota has none. ``rows`` are computed once and
+    written, as they are read four times.
     """
-    d = rows.withColumn("__digest", digest)
-    sizes = rows.groupBy(*strata).agg(F.count("*").alias("__n"))
+    d = settled(rows.withColumn("__digest", digest), "sampled")
+    sizes = d.groupBy(*strata).agg(F.count("*").alias("__n"))
     largest = sizes.agg(F.max("__n")).first()[0] or 0
     digits = max(1, math.ceil(math.log(max(1, largest / edge_rows), 16)))
     d = d.withColumn("__bin", F.substring("__digest", 1, digits))

@@ -14,7 +14,7 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as versions of (customer, status): dates order them, lines are properties."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"))
     props = lines.groupBy("l_orderkey").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").cast("string").alias("k"), F.col("f").alias("v"))))).alias("props")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").cast("string").alias("k"), F.col("f").alias("v"))))).alias("props")
     )
     date = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
     return (

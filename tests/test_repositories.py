@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators import commits, history, rounds, selection
+from driftloom.operators import commits, history, rounds, sampling, selection
 from driftloom.operators.similar_sets import candidate_pairs
 
 CHANGES = "repo string, commit long, path string, status string, blob string, chunks array<string>"
@@ -215,6 +215,20 @@ def test_the_first_of_each_stratum_equal_sorting(spark, edge_rows):
         assert sorted(k for _, k in own[:n]) == sorted(r.k for r in got if r.s == s and r.in_sample)
 
 
+def test_rows_of_a_sample_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(200).selectExpr("id k", "if(id % 3 = 0, 'a', 'b') s").mapInArrow(counted, "k long, s string")
+    got = sampling.floor_quota(df, "s", ["k"], {"a": 5, "b": 7}, 20)
+    assert sorted(r.event_id for r in got.collect()) == [f"E{k:03d}" for k in range(1, 21)]
+    assert seen.value == 200
+
+
 # --- Sets
 
 
