@@ -111,32 +111,47 @@ def picked_snapshots(events: DataFrame, versions: DataFrame) -> DataFrame:
     return events.join(picked, event, "left")
 
 
-def rename_candidates(versions: DataFrame) -> DataFrame:
+def rename_candidates(versions: DataFrame, few: int = 256) -> DataFrame:
     """Names that a file lost at one version and gained at the next, alike in properties (0.5) and words (0.3).
 
-    Names that a file's step removed and those that it added meet at rare words of their descriptions (see
+    A file's version is one row of its names, so versions are read and shuffled once. A step of ``few`` pairs at most makes
+    them in its row. In larger ones, names that were removed and added meet at rare words of their descriptions (see
     ``similar_sets.candidate_pairs``), so a step that renames thousands makes few pairs beside those that are alike. Names
     with nothing to describe them meet at their properties; without those too, all of a step are alike.
     """
     props = F.coalesce("props", F.create_map().cast("map<string,string>"))
-    one = versions.groupBy("repo", "source_file", "commit_date", "tool").agg(F.max_by(F.struct("description", props.alias("props")), "seq").alias("x"))
+    known = versions.dropna(subset=["repo", "source_file", "commit_date", "tool"]).select("repo", "source_file", "commit_date", "tool", "seq", "description", props.alias("props"))
+    one = known.repartition("repo", "source_file").groupBy("repo", "source_file", "commit_date", "tool").agg(F.max_by(F.struct("description", F.map_keys("props").alias("keys")), "seq").alias("x"))
     step = Window.partitionBy("repo", "source_file").orderBy("commit_date")
-    names = one.groupBy("repo", "source_file", "commit_date").agg(F.collect_set("tool").alias("tools"))
-    steps = names.withColumn("old", F.lag("tools").over(step)).withColumn("from_date", F.lag("commit_date").over(step)).where("old is not null")
-    words = lambda df: df.select("*", C.word_set("x.description").alias("words"), F.map_keys("x.props").alias("keys"))
+    names = one.groupBy("repo", "source_file", "commit_date").agg(F.collect_list(F.struct("tool", "x.description", "x.keys")).alias("new"))
+    steps = names.withColumn("old", F.lag("new").over(step)).withColumn("from_date", F.lag("commit_date").over(step)).where("old is not null")
+    steps = steps.withColumn("gone", F.array_except("old.tool", "new.tool")).withColumn("come", F.array_except("new.tool", "old.tool")).where("size(gone) > 0 and size(come) > 0")
+    small = F.size("gone").cast("long") * F.size("come") <= few
+    # Only a small step looks its names up in the row: that takes as many comparisons as it has names and changes.
+    own = lambda side, changed: F.when(small, F.filter(side, lambda t: F.array_contains(changed, t["tool"]))).otherwise(F.col(side)).alias(side)
+    steps = settled(steps.select("repo", "source_file", "from_date", F.col("commit_date").alias("to_date"), "gone", "come", own("old", "gone"), own("new", "come")), "steps")
+    on = ["repo", "source_file", "from_date", "to_date"]
 
-    def moved(new: str, old: str, date: str) -> DataFrame:
-        out = steps.select("repo", "source_file", "from_date", F.col("commit_date").alias("to_date"), F.explode(F.array_except(new, old)).alias("tool"))
-        return settled(words(out.join(one.withColumnRenamed("commit_date", date), ["repo", "source_file", date, "tool"])), "moved")
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.withColumn("schema_jaccard", C.jaccard("o_keys", "n_keys")).where("schema_jaccard >= 0.5").withColumn("text_jaccard", C.jaccard("o_words", "n_words"))
+        pairs = pairs.where("text_jaccard >= 0.3").withColumn("tier", C.rename_tier("schema_jaccard", "text_jaccard"))
+        return pairs.select(*on, F.col("left_id").alias("old_tool"), F.col("right_id").alias("new_tool"), "schema_jaccard", "text_jaccard", "tier")
 
-    gone, come = moved("old", "tools", "from_date"), moved("tools", "old", "to_date")
-    on = ["repo", "source_file", "from_date", "to_date"]
+    each = steps.where(small).select(*on, F.explode("old").alias("o"), "new").select(*on, "o", F.explode("new").alias("n"))
+    words = lambda side, mark: [C.word_set(f"{side}.description").alias(f"{mark}_words"), F.col(f"{side}.keys").alias(f"{mark}_keys")]
+    near = alike(each.select(*on, F.col("o.tool").alias("left_id"), F.col("n.tool").alias("right_id"), *words("o", "o"), *words("n", "n")))
+    large = steps.where(~small)
+    if not large.limit(1).count():
+        return near
+
+    def moved(side: str, changed: str) -> DataFrame:
+        out = large.select(*on, F.explode(side).alias("t")).select(*on, F.col("t.tool").alias("tool"), C.word_set("t.description").alias("words"), F.col("t.keys").alias("keys"))
+        return settled(out.join(large.select(*on, F.explode(changed).alias("tool")), [*on, "tool"]), "moved")
+
+    gone, come = moved("old", "gone"), moved("new", "come")
     silent = "size(words) = 0"
     pairs = candidate_pairs(gone, come, on, "tool", "words", 0.3).unionByName(candidate_pairs(gone.where(silent), come.where(silent), on, "tool", "keys", 0.5))
     bare = f"{silent} and size(keys) = 0"
     pairs = pairs.unionByName(gone.where(bare).select(*on, F.col("tool").alias("left_id")).join(come.where(bare).select(*on, F.col("tool").alias("right_id")), on))
     side = lambda df, name, mark: df.select(*on, F.col("tool").alias(name), F.col("words").alias(f"{mark}_words"), F.col("keys").alias(f"{mark}_keys"))
-    pairs = pairs.join(side(gone, "left_id", "o"), [*on, "left_id"]).join(side(come, "right_id", "n"), [*on, "right_id"])
-    pairs = pairs.withColumn("schema_jaccard", C.jaccard("o_keys", "n_keys")).withColumn("text_jaccard", C.jaccard("o_words", "n_words"))
-    pairs = pairs.where("schema_jaccard >= 0.5 and text_jaccard >= 0.3").withColumn("tier", C.rename_tier("schema_jaccard", "text_jaccard"))
-    return pairs.select("repo", "source_file", "from_date", "to_date", F.col("left_id").alias("old_tool"), F.col("right_id").alias("new_tool"), "schema_jaccard", "text_jaccard", "tier")
+    return near.unionByName(alike(pairs.join(side(gone, "left_id", "o"), [*on, "left_id"]).join(side(come, "right_id", "n"), [*on, "right_id"])))

@@ -281,3 +281,18 @@ def test_a_mass_rename_makes_no_product(spark):
     got = history.rename_candidates(side("old", "2024-01-01", 0).unionByName(side("new", "2024-01-02", n)))
     same = got.selectExpr("cast(substring(old_tool, 4) as int) o", "cast(substring(new_tool, 4) as int) n", "text_jaccard t").groupBy("t", (F.col("o") % 2500 == F.col("n") % 2500).alias("near")).count().collect()
     assert {(round(r["t"], 3), r["near"]): r["count"] for r in same} == {(1.0, True): n, (round(3 / 9, 3), True): n}
+
+
+def test_steps_of_few_and_of_many_pairs_agree_and_versions_are_read_once(spark):
+    rng = random.Random(5)
+    rows = [("r", f"t{rng.randrange(9)}", f"2024-01-0{1 + k % 4}", k, "x", rng.choice([None, "get the list", "get a list", "drop it"]), rng.choice([None, {"a": "string"}, {"b": "string"}]), rng.choice("fg")) for k in range(60)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = [sorted(map(repr, history.rename_candidates(spark.createDataFrame(rows, VERSION).mapInArrow(counted, VERSION), few).collect())) for few in (0, 2, 256)]
+    assert got[0] == got[1] == got[2] and got[0]
+    assert seen.value == 3 * len(rows)
