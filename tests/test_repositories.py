@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators import commits, history, rounds, sampling, selection
+from driftloom.operators import commits, history, rounds, sampling, selection, similar_sets
 from driftloom.operators.similar_sets import candidate_pairs
 
 CHANGES = "repo string, commit long, path string, status string, blob string, chunks array<string>"
@@ -72,6 +72,38 @@ def test_files_of_equal_chunks_make_no_product(spark, monkeypatch):
     assert max(t.count() for t in tables) == 4000
 
 
+def records_moved(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).outputRecords() + stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_pairs_of_a_commit_are_not_written(spark):
+    """200 removed and 200 added files, all three quarters alike: 40,000 pairs, of which only each file's best is handed on."""
+    rows = [("r", 1, f"{s}{k:03}", s, f"{s}{k}", ["x", "y", "z", f"{s}{k}"]) for s in "DA" for k in range(200)]
+    before = records_moved(spark)
+    got = commits.renames(spark.createDataFrame(rows, CHANGES)).collect()
+    assert [tuple(r) for r in got] == [("r", 1, "D000", "A000", 0.75)]
+    assert 0 < records_moved(spark) - before < 20_000
+
+
+@pytest.mark.parametrize("least", [0.34, 0.5, 1.0])
+def test_most_similar_over_tiles_equals_comparing_all(spark, monkeypatch, least):
+    monkeypatch.setattr(similar_sets, "TILE", 7)
+    monkeypatch.setattr(similar_sets, "TASK_TOKENS", 300)
+    monkeypatch.setattr(similar_sets, "CELLS", 20)
+    rng = random.Random(4)
+    sides = [[(rng.choice("pq"), k, [rng.choice("abcdefgh") for _ in range(rng.randrange(5))]) for k in rng.sample(range(1000), 60)] for _ in range(2)]
+    want = set()
+    for side in (0, 1):
+        for on, k, x in sides[side]:
+            like = [(-len(set(x) & set(y)) / max(len(set(x)), len(set(y))), j) for o, j, y in sides[1 - side] if o == on and x and y]
+            if like and -min(like)[0] >= least:
+                want.add((on, side, k, min(like)[1], -min(like)[0]))
+    left, right = (spark.createDataFrame(x, "on string, id long, t array<string>") for x in sides)
+    assert {tuple(r) for r in similar_sets.most_similar(left, right, ["on"], "id", "t", least).collect()} == want and want
+
+
 def test_lineages_follow_paths_that_are_used_again(spark):
     blob = lambda k: (f"b{k}", [])
     rows = [
