@@ -1,9 +1,9 @@
 """Alignment of two tokenizers' tokens by the byte offsets at which they end.
 
-Arrow batches only tokenise: each text gives both sides' tokens and where they end. What follows are higher-order functions:
-``array_intersect`` of the ends gives the cuts; tokens and cuts, sorted as numbers that begin with the end, stand next to each
-other where they end together, so that ``sequence`` and ``transform`` read the links and the groups off in linear time and
-``aggregate`` sums over groups. How often a pair of ids is linked in the corpus is a count pre-aggregated by tasks.
+Arrow batches only tokenise: each text gives both sides' tokens, as numbers that begin with the end, in ascending order. What
+follows are higher-order functions: tokens that end together stand next to each other, so that ``filter`` of a ``sequence`` gives
+the cuts, ``transform`` and ``slice`` read the links and the groups off in linear time, and a second ``filter`` counts groups. How often
+a pair of ids is linked in the corpus is a count pre-aggregated by tasks.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ COMMON_PAIRS = 1 << 18
 LONG = 10_000
 #: Rows of a batch of tokens, which take several times their texts' bytes.
 ROWS = 100
-#: What marks a token of the second side, and a cut, in a number that holds an end and an id.
-_SECOND, _CUT = 1 << 30, 1 << 31
+#: What marks a token of the second side in a number that holds an end and an id.
+_SECOND = 1 << 30
 
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -100,10 +100,10 @@ def encoders(*paths: str) -> tuple[ByteLevel, Pieces]:
 
 
 def tokenised(docs: DataFrame, byte_path: str, ranks_path: str, piece_path: str) -> DataFrame:
-    """(doc_id, n_a, n_b - int, a_ends, b_ends - arrays of int, tokens - array of long) of a space and the text, and of the text.
+    """(doc_id, n_a, n_b - int, tokens - array of long) of a space and the text, and of the text.
 
-    The ends are the byte offsets where tokens end; ``tokens`` holds both sides' tokens as one number each: the end, from bit
-    32 on, bit 30 for the second side, and the id. All are empty for texts that are null or empty or whose bytes either of the
+    ``tokens`` holds both sides' tokens as one number each, ascending: the byte offset where it ends, from bit 32 on, bit 30
+    for the second side, and the id. It is empty for texts that are null or empty or whose bytes either of the
     two doesn't give back.
     """
     small_batches(docs.sparkSession)
@@ -117,20 +117,22 @@ def tokenised(docs: DataFrame, byte_path: str, ranks_path: str, piece_path: str)
         a, b = encoders(byte_path, ranks_path, piece_path)
         nothing = np.zeros(0, np.int64)
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-            ends: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+            sizes: tuple[list[int], list[int]] = ([], [])
             tokens = []
             for text in batch.column("text").to_pylist():
                 x, y = (a(f" {text}"), b(text)) if text else (None, None)
                 if x is None or y is None:
                     x = y = nothing
+                for to, own in zip(sizes, (x, y), strict=True):
+                    to.append(len(own))
                 at = [np.cumsum(e.sizes[ids], dtype=np.int64) for e, ids in ((a, x), (b, y))]
-                for to, own in zip(ends, at, strict=True):
-                    to.append(own)
-                tokens.append(np.concatenate([at[0] << 32 | x, at[1] << 32 | _SECOND | y]))
-            columns = [batch.column("doc_id"), *[pa.array([len(x) for x in own], pa.int32()) for own in ends], *[lists(own, pa.int32()) for own in ends], lists(tokens, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_a", "n_b", "a_ends", "b_ends", "tokens"])
+                both = np.concatenate([at[0] << 32 | x, at[1] << 32 | _SECOND | y])
+                both.sort(kind="stable")
+                tokens.append(both)
+            columns = [batch.column("doc_id"), *[pa.array(own, pa.int32()) for own in sizes], lists(tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_a", "n_b", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, n_a int, n_b int, a_ends array<int>, b_ends array<int>, tokens array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, n_a int, n_b int, tokens array<bigint>")
 
 
 def _id(token: Column) -> Column:
@@ -151,22 +153,20 @@ def aligned(tokens: DataFrame) -> DataFrame:
     without bytes do not exist, so ends ascend.
     """
     none = F.array().cast("array<int>")
-    cut = tokens.select("doc_id", "n_a", "n_b", "tokens", F.array_intersect("a_ends", "b_ends").alias("cuts"))
-    # At each cut stand three numbers in a row: of the token of either side that ends there, and the cut's.
-    cuts = F.transform("cuts", lambda c: F.shiftleft(c.cast("long"), 32).bitwiseOR(_CUT))
-    merged = cut.select("doc_id", "n_a", "n_b", F.size("cuts").alias("n_groups"), F.sort_array(F.concat("tokens", cuts)).alias("merged"))
-    places = F.filter(F.sequence(F.lit(0), F.size("merged") - 1), lambda i: F.get("merged", i).bitwiseAND(_CUT) != 0)
-    at = merged.select("doc_id", "n_a", "n_b", "n_groups", "merged", F.when(F.col("n_groups") > 0, places).otherwise(none).alias("at"))
+    # A cut is where a token of the second side stands behind one of the first that ends together with it.
+    token = lambda i: F.get("tokens", i)
+    cuts = F.filter(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.shiftright(token(i).bitwiseXOR(token(i - 1)), 32) == 0)
+    at = tokens.select("doc_id", "n_a", "n_b", "tokens", F.when(F.size("tokens") > 1, cuts).otherwise(none).alias("at"))
     # Where the group before ends: -1 for the first.
     met = at.select("*", F.concat(F.array(F.lit(-1)), "at").alias("since"))
-    size = lambda i, k: i - F.get("since", k)  # noqa: E731  tokens of a group, and its cut
-    one = lambda i: F.concat(_id(F.get("merged", i - 2)).cast("string"), F.lit("|"), _id(F.get("merged", i - 1)).cast("string"))
-    inside = lambda i, k: F.slice("merged", F.get("since", k) + 2, size(i, k) - 1)
-    text = F.transform("at", lambda i, k: F.when(size(i, k) == 3, one(i)).otherwise(F.concat(_run(inside(i, k), False), F.lit("|"), _run(inside(i, k), True))))
-    link = F.transform("at", lambda i: F.shiftleft(_id(F.get("merged", i - 2)), 32).bitwiseOR(_id(F.get("merged", i - 1))))
+    size = lambda i, k: i - F.get("since", k)  # noqa: E731  tokens of a group
+    one = lambda i: F.concat(_id(token(i - 1)).cast("string"), F.lit("|"), _id(token(i)).cast("string"))
+    inside = lambda i, k: F.slice("tokens", F.get("since", k) + 2, size(i, k))
+    text = F.transform("at", lambda i, k: F.when(size(i, k) == 2, one(i)).otherwise(F.concat(_run(inside(i, k), False), F.lit("|"), _run(inside(i, k), True))))
+    link = F.transform("at", lambda i: F.shiftleft(_id(token(i - 1)), 32).bitwiseOR(_id(token(i))))
     long = lambda c: F.col(c).cast("long").alias(c)
-    single = F.aggregate(F.zip_with("at", "since", lambda i, before: i - before), F.lit(0).cast("long"), lambda s, n: F.when(n == 3, s + 1).otherwise(s))
-    return met.select("doc_id", long("n_a"), long("n_b"), long("n_groups"), single.alias("n_single"), F.array_join(text, ";").alias("groups"), link.alias("links"))
+    single = F.size(F.filter("at", lambda i, k: size(i, k) == 2)).cast("long")
+    return met.select("doc_id", long("n_a"), long("n_b"), F.size("at").cast("long").alias("n_groups"), single.alias("n_single"), F.array_join(text, ";").alias("groups"), link.alias("links"))
 
 
 def scored(documents: DataFrame, common_pairs: int = COMMON_PAIRS) -> DataFrame:

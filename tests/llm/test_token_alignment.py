@@ -124,3 +124,12 @@ def test_query_hashes_groups(spark):
     assert all(r["groups_sha256"] == "" for r in got if not r["n_a"])
     one = T.aligned(T.tokenised(spark.createDataFrame([(1, "one two")], "doc_id long, text string"), *PATHS)).first()
     assert one["groups"].count("|") == one["n_groups"] and hashlib.sha256(one["groups"].encode()).hexdigest()
+
+
+def test_tokens_come_in_order_and_are_not_sorted_again(spark, exact):
+    """A text's tokens ascend, so that the plan neither sorts them nor looks the cuts up in sets."""
+    tokens = T.tokenised(spark.createDataFrame([(1, "one two three ünï")], "doc_id long, text string"), *PATHS)
+    got = tokens.first()["tokens"]
+    assert got == sorted(got) and len(got) > 6
+    plan = T.aligned(tokens)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" not in plan and "array_intersect" not in plan and "filter(" in plan
