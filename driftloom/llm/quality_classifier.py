@@ -7,16 +7,14 @@ teaches the network alone.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import bounded, crc32_mod, fresh, small_batches, table, texts_of
+from ._text import mixed
 
 #: Buckets of words, components of a vector, and how many of an index vector are set.
 BUCKETS, DIMENSIONS, SET = 1 << 15, 64, 6
@@ -28,26 +26,52 @@ CONTEXT = 2
 ROWS, TOGETHER = 512, 32
 #: Partitions of the input that one task reads at most.
 READ = 32
-#: Words whose buckets a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Characters of a text that are hashed at a time, about.
+STRETCH = 1 << 18
+#: Words whose pairs are counted at a time; and pairs that are added up at a time.
+COUNTED, ADDED = 1 << 21, 1 << 19
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+#: Of each code point: 0 white space, 1 letter, 2 decimal digit, 3 a word by itself; 255: not met yet.
+_kinds = np.full(0x110000, 255, np.uint8)
 
 
-class _Buckets(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        b = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) & (BUCKETS - 1)
-        return b
+def _kinds_of(codes: np.ndarray) -> np.ndarray:
+    kinds = _kinds[codes]
+    if (new := kinds == 255).any():
+        for code in np.unique(codes[new]).tolist():
+            c = chr(code)
+            _kinds[code] = 0 if c.isspace() else 2 if c.isdecimal() else 1 if c.isalnum() else 3
+        kinds = _kinds[codes]
+    return kinds
 
 
-_buckets = _Buckets()
+def _stretch_buckets(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _kinds_of(codes)
+    first = (kinds != 0) & ((kinds == 3) | (np.r_[np.uint8(0), kinds[:-1]] != kinds))
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.int32)
+    place = np.arange(starts[0], len(codes)) - np.repeat(starts, np.diff(starts, append=len(codes)))
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(place.max(), _STEP)])
+    each = (codes[starts[0] :] + np.uint64(1)) * powers[place] * (kinds[starts[0] :] != 0)
+    return (mixed(np.add.reduceat(each, starts - starts[0])) & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
 def buckets_of(text: str | None) -> np.ndarray:
-    tokens = _TOKEN.findall(text or "")
-    return np.fromiter(map(_buckets.__getitem__, tokens), np.int32, len(tokens))
+    """Buckets of a text's words: runs of letters, runs of decimal digits, and each other character but white space by itself.
+
+    Words are hashed in arrays, as most of a corpus' words are seldom; long texts are cut at blanks.
+    """
+    text, parts, at = text or "", [], 0
+    while 0 <= at < len(text):
+        end = text.find(" ", at + STRETCH)
+        parts.append(_stretch_buckets(text[at:end] if end >= 0 else text[at:]))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
 def index_places() -> np.ndarray:
@@ -69,20 +93,25 @@ def index_vectors(places: np.ndarray) -> np.ndarray:
 def add_contexts(sums: np.ndarray, ids: np.ndarray, signs: np.ndarray) -> None:
     """Adds the signs of the index vectors of the words around each word to its bucket's row; -1 parts documents.
 
-    Pairs of buckets are counted first, so that a row is added once for each pair.
+    Pairs of buckets are counted first; then each pair adds what is set of the one's vector to the other's row, both ways.
     """
+    places = np.nonzero(signs)[1].reshape(len(signs), -1)
+    values = np.take_along_axis(signs, places, 1).astype(np.float64)
     pairs = []
     for d in range(1, CONTEXT + 1):
         a, b = ids[:-d].astype(np.int64), ids[d:].astype(np.int64)
         near = (a >= 0) & (b >= 0)
         if d > 1:
             near &= ids[1:-1] >= 0
-        pairs += [a[near] * BUCKETS + b[near], b[near] * BUCKETS + a[near]]
+        pairs.append(a[near] * BUCKETS + b[near])
     pairs, n = np.unique(np.concatenate(pairs), return_counts=True)
-    for lo in range(0, len(pairs), 1 << 16):
-        word, other = np.divmod(pairs[lo : lo + (1 << 16)], BUCKETS)
-        first = np.flatnonzero(np.r_[True, np.diff(word) != 0])
-        sums[word[first]] += np.add.reduceat(signs[other] * n[lo : lo + (1 << 16), None].astype(np.int32), first, axis=0, dtype=np.int64)
+    flat = sums.reshape(-1)
+    for lo in range(0, len(pairs), ADDED):
+        some = np.divmod(pairs[lo : lo + ADDED], BUCKETS)
+        for word, other in (some, some[::-1]):
+            at = word[:, None] * sums.shape[1] + places[other]
+            # Sums of whole numbers below 2 ** 53 are exact.
+            flat += np.bincount(at.ravel(), (values[other] * n[lo : lo + ADDED, None]).ravel(), len(flat)).astype(np.int64)
 
 
 def _summed(t: pa.Table) -> pa.Table:
@@ -101,13 +130,22 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def gathered(batches):
         signs, sums, n = index_signs(index_places()), np.zeros((BUCKETS, DIMENSIONS), np.int64), np.zeros(BUCKETS, np.int64)
+        apart = np.array([-1], np.int32)
+
+        def add(parts: list[np.ndarray]) -> None:
+            ids = np.concatenate([apart, *parts])
+            n[:] += np.bincount(ids[ids >= 0], minlength=BUCKETS)
+            add_contexts(sums, ids, signs)
+
+        parts, held = [], 0
         for b in batches:
-            parts = [np.array([-1], np.int32)]
             for text in b.column("text").to_pylist():
-                parts += [buckets_of(text), parts[0]]
-            ids = np.concatenate(parts)
-            n += np.bincount(ids[ids >= 0], minlength=BUCKETS)
-            add_contexts(sums, ids, signs)
+                parts += [buckets_of(text), apart]
+                held += len(parts[-2])
+                if held >= COUNTED:
+                    add(parts)
+                    parts, held = [], 0
+        add(parts)
         part = TaskContext.get().partitionId() % TOGETHER
         for row in range(BUCKETS // ROWS):
             some = slice(row * ROWS, (row + 1) * ROWS)
@@ -136,7 +174,7 @@ class Model:
     """Word vectors, the network over pooled vectors, and its temperature."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray):
-        self.words, self.index = words, index_vectors(index_places())
+        self.both = np.hstack([words, index_vectors(index_places())])
         self.rarity = np.log1p(counts.max() / (counts + 1.0)).astype(np.float32) / 10 if counts.any() else np.zeros(BUCKETS, np.float32)
 
     def pooled(self, text: str | None) -> np.ndarray:
@@ -144,12 +182,10 @@ class Model:
         ids = buckets_of(text)
         out = np.zeros(2 * DIMENSIONS + 3, np.float32)
         if len(ids):
-            n = np.bincount(ids)
-            seen = np.flatnonzero(n)
-            share = (n[seen] / len(ids)).astype(np.float32)
+            seen, n = np.unique(ids, return_counts=True)
+            share = (n / len(ids)).astype(np.float32)
             for lo in range(0, len(seen), 8192):
-                out[:DIMENSIONS] += share[lo : lo + 8192] @ self.words[seen[lo : lo + 8192]]
-                out[DIMENSIONS : 2 * DIMENSIONS] += share[lo : lo + 8192] @ self.index[seen[lo : lo + 8192]]
+                out[: 2 * DIMENSIONS] += share[lo : lo + 8192] @ self.both.take(seen[lo : lo + 8192], 0)
             mean = out[DIMENSIONS : 2 * DIMENSIONS]
             out[-3:] = np.linalg.norm(mean), share @ self.rarity[seen], np.log1p(len(ids)) / 10
             out[DIMENSIONS : 2 * DIMENSIONS] = np.abs(mean)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from driftloom.llm import (
@@ -832,6 +833,28 @@ def test_contexts_by_brute_force(spark):
     assert np.allclose(words, expected, atol=1e-5) and counts[of("d")] == 4 and counts.sum() == 11
 
 
+def test_buckets_are_those_of_words_and_need_no_word_one_by_one(monkeypatch):
+    """Against the words' regular expression; words that are all different take less time than the expression and a look-up each."""
+    import re
+    import time
+
+    word = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+    for text in ("a_b\x1cc d1.. x", "é́  b ²½٣x三", "_", "", "  ", "a b " * 50):
+        tokens = word.findall(text)
+        buckets = quality_classifier.buckets_of(text).tolist()
+        assert buckets == [int(quality_classifier.buckets_of(w)[0]) for w in tokens]
+        monkeypatch.setattr(quality_classifier, "STRETCH", 5)
+        assert buckets == quality_classifier.buckets_of(text).tolist()
+        monkeypatch.undo()
+    text = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}end" for k in range(200_000))
+    took = []
+    for f in (quality_classifier.buckets_of, lambda t: [xxhash.xxh3_64_intdigest(w.encode()) for w in word.findall(t)]):
+        began = time.process_time()
+        f(text)
+        took.append(time.process_time() - began)
+    assert took[0] < took[1]
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(4, 0), (5, 1), (6, None), (None, 1)], "doc_id long, quality int")
     m = quality_classifier.learn(odd_docs(spark), labels)
