@@ -85,3 +85,30 @@ def test_a_very_long_chain(spark):
     text = "\n".join(f"line {k} is one of very many that this document has." for k in range(60_000))
     row = Q.apply_rules(docs_of(spark, [text]), field).first()
     assert row.n_words == 660_000 and row.content_share == 1.0
+
+
+def test_all_labelled_documents_teach(spark, monkeypatch):
+    """2,300 short ones and one of 600 lines; the weights are those at which the gradient over all of them vanishes."""
+    r = random.Random(8)
+    texts = ["\n".join(r.choice(["Prose that ends well.", "| a | b |", "MENU !!"]) + f" {r.random()}" for _ in range(r.randrange(1, 4))) for _ in range(2300)] + ["\n".join(f"line {k}" for k in range(600))]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(len(texts))], "doc_id long, quality int")
+    seen, fitted = [], Q._fitted
+    monkeypatch.setattr(Q, "_fitted", lambda blocks, field: seen.append(sum(r.chains for r in blocks.collect())) or fitted(blocks, field))
+    monkeypatch.setattr(Q, "BLOCK", 900)
+    field = Q.learn(docs_of(spark, texts), labels)
+    assert seen == [len(texts)]
+    chains = sorted(((Q.line_features(t, field.known)[0].astype("f4").astype(float), k % 2) for k, t in enumerate(texts)), key=lambda c: -len(c[0]))
+    lengths = np.array([len(x) for x, _ in chains])
+    _, emit, move = field.loss(np.concatenate([x for x, _ in chains]), lengths, np.array([y for _, y in chains]), 1 / (len(chains) * lengths))
+    assert max(abs(emit + 1e-3 * field.emit).max(), abs(move + 1e-3 * field.move).max()) < 1e-4
+
+
+def test_more_shared_lines_than_are_broadcast(spark, monkeypatch):
+    texts = [f"start {k}\nshared line\nend {k}" for k in range(20)] + [f"other {k}" for k in range(20)] + [None, "", "shared line"]
+    docs, labels = docs_of(spark, texts), spark.createDataFrame([(k, 1) for k in range(0, 40, 3)], "doc_id long, quality int")
+    few = Q.learn(docs, labels)
+    monkeypatch.setattr(Q, "MOST_KNOWN", 0)
+    many = Q.learn(docs, labels)
+    assert len(few.known) == 1 and many.known is None and np.allclose(few.emit, many.emit, atol=1e-6)
+    rows = [sorted(map(tuple, Q.apply_rules(docs, f).collect())) for f in (few, many)]
+    assert rows[0] == rows[1] and len(rows[0]) == len(texts)
