@@ -8,13 +8,16 @@ Viterbi decoding marks as content.
 
 from __future__ import annotations
 
+import re
+import string
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, fresh, small_batches, table, written
+from ._common import discard, small_batches, table, written
 from ._text import windows, word_hashes, words
 
 #: Lines of a block of chains, which go forward and backward together, about.
@@ -30,6 +33,8 @@ CONTENT_SHARE = 0.5
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\r\x0b\x0c"
 N_FEATURES = 13
+_SYMBOLS, _UPPER, _DIGITS = SYMBOLS.encode(), string.ascii_uppercase.encode(), string.digits.encode()
+_ASCII = re.compile(r"[\x00-\x7f]+")
 
 
 def base_counts(text: str | None) -> dict[str, int]:
@@ -62,6 +67,12 @@ def base_counts(text: str | None) -> dict[str, int]:
     }
 
 
+def _n_upper(line: str, raw: bytes) -> int:
+    """Upper-case characters of a line; ``raw`` is its UTF-8."""
+    n = len(raw) - len(raw.translate(None, _UPPER))
+    return n if len(raw) == len(line) else n + sum(map(str.isupper, _ASCII.sub("", line)))
+
+
 def line_features(text: str | None, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A row of features for each line with a word, and the lines' words. ``known``: hashes of shared lines, ascending; the last feature marks them."""
     rows, n_words, seen = [], [], set()
@@ -69,19 +80,19 @@ def line_features(text: str | None, known: np.ndarray | None = None) -> tuple[np
         tokens = line.split()
         if not line.strip(_BLANKS):
             continue
-        n, size = max(1, len(tokens)), len(line)
+        n, size, raw = max(1, len(tokens)), len(line), line.encode("utf-8", "replace")
         distinct = len(set(tokens)) / n
         rows.append((
             1.0,
             min(1.0, n / 40),
             min(1.0, size / n / 20),
-            min(1.0, 8 * sum(map(line.count, SYMBOLS)) / size),
+            min(1.0, 8 * (len(raw) - len(raw.translate(None, _SYMBOLS))) / size),
             min(1.0, 8 * line.count("!") / size),
-            min(1.0, 2 * sum(map(str.isupper, line)) / size),
+            min(1.0, 2 * _n_upper(line, raw) / size),
             1.0 - distinct,
             float(n > 8 and distinct < 0.4),
             float(line.rstrip()[-1:] in ".?!\"'"),
-            min(1.0, 8 * sum(map(line.count, "0123456789")) / size),
+            min(1.0, 8 * (len(raw) - len(raw.translate(None, _DIGITS))) / size),
             float(line in seen),
             min(1.0, 16 * line.count("|") / size),
             0.0,
@@ -225,19 +236,24 @@ def shared_lines(docs: DataFrame, wanted: np.ndarray, least: int = SHARED) -> np
     return np.sort(np.array([r["line"] for r in often(docs, least, wanted).collect()], np.int64))  # some of ``wanted``
 
 
-def _with_known(docs: DataFrame, field: Field) -> DataFrame:
-    """``docs`` with ``known``: the shared lines of a text, null where the field has them all itself."""
+def _hashes_of(cell: str | bytes | None) -> np.ndarray:
+    """Hashes of the lines of a text, or those that are written out already."""
+    return np.frombuffer(cell, "<i8") if isinstance(cell, bytes) else line_hashes(cell)[0]
+
+
+def _with_known(docs: DataFrame, field: Field, of: str = "text") -> DataFrame:
+    """``docs`` with ``known``: the shared lines of a text, null where the field has them all itself. ``of``: texts, or their lines' hashes."""
     if field.lines is None:
         return docs.withColumn("known", F.lit(None).cast("array<bigint>"))
 
     def found(batches):
         for b in batches:
-            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
-                at = np.unique(line_hashes(text)[0])
+            for key, cell in zip(b.column("key").to_pylist(), b.column(of).to_pylist(), strict=True):
+                at = np.unique(_hashes_of(cell))
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.string()), pa.array(at, pa.int64())], names=["key", "line"])
 
-    keyed = docs.withColumn("key", F.sha2("text", 256))
-    lines = keyed.select("key", "text").mapInArrow(found, "key string, line long").distinct()
+    keyed = docs.withColumn("key", F.sha2(of, 256))
+    lines = keyed.select("key", of).mapInArrow(found, "key string, line long").distinct()
     own = lines.join(field.lines, "line").groupBy("key").agg(F.collect_set("line").alias("known"))
     return keyed.join(own, "key", "left").withColumn("known", F.coalesce("known", F.array().cast("array<bigint>"))).drop("key")
 
@@ -293,6 +309,35 @@ def _fitted(blocks: DataFrame, field: Field, penalty: float = 1e-3) -> None:
     field.emit, field.move = w[:size].reshape(shape).copy(), w[size:].reshape(2, 2).copy()
 
 
+def _traits(docs: DataFrame) -> DataFrame:
+    """(doc_id, x, again, lines binary): features of a document's lines, column by column, whether they stood before, and their hashes.
+
+    They are what the labels are joined with, as they are shorter than the texts. Documents without an id or lines teach nothing.
+    """
+
+    def told(batches):
+        for b in batches:
+            ids, rows = [], []
+            for doc_id, text in zip(b.column("doc_id"), b.column("text").to_pylist(), strict=True):
+                x = line_features(text)[0]
+                if len(x):
+                    at, _, again = line_hashes(text)
+                    ids.append(doc_id.as_py())
+                    rows.append((x.T.astype("<f4").tobytes(), again.tobytes(), at.tobytes()))
+            columns = [pa.array(ids, b.schema.field("doc_id").type), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(3)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "x", "again", "lines"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(told, f"doc_id {kind}, x binary, again binary, lines binary")
+
+
+def taught(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """(x, again, lines binary, label int) of all labelled documents. Both sides are shuffled at any size, as labels grow with the documents; no text is."""
+    labels = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+    labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
+    return _traits(docs).join(labels.hint("merge"), "doc_id").select("x", "again", "lines", "label")
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", shared: int = SHARED) -> Field:
     """Trained on all lines of all labelled documents; null labels teach nothing, and without labels every line is content.
 
@@ -307,18 +352,17 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", shared: in
     else:
         field.known = np.sort(np.array([r["line"] for r in lines.collect()], np.int64))
         discard(lines)
-    (name,) = fresh(docs, "label")
-    labels = labels.select("doc_id", F.col(label).cast("int").alias(name)).where(F.col("doc_id").isNotNull() & F.col(name).isNotNull())
-    labels = labels.groupBy("doc_id").agg(F.max(name).alias(name))
     field_known = field.known
 
     def blocked(batches):
         for b in batches:
             chains = []
-            for text, own, of in zip(b.column("text").to_pylist(), _known_of(b, field_known), b.column(name).to_pylist(), strict=True):
-                x, (_, _, again) = line_features(text, own)[0], line_hashes(text)
-                if len(x):
-                    chains.append((x.astype("<f4"), ((x[:, -1] == 0) & ~again & (of > 0)).astype(np.int8)))
+            for known, *cells in zip(_known_of(b, field_known), *[b.column(c).to_pylist() for c in ("x", "again", "lines", "label")], strict=True):
+                x, again, at = (np.frombuffer(c, t) for c, t in zip(cells, ("<f4", bool, "<i8"), strict=False))
+                x = x.reshape(N_FEATURES, -1).T.copy()
+                if known is not None and len(known):
+                    x[:, -1] = _among(at, known)
+                chains.append((x, ((x[:, -1] == 0) & ~again & (cells[-1] > 0)).astype(np.int8)))
             chains.sort(key=lambda c: -len(c[0]))
             ends = np.cumsum([len(c[0]) for c in chains])
             for k in np.unique(ends // BLOCK).tolist():
@@ -326,8 +370,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", shared: in
                 columns = [[len(some)], [np.array([len(c[0]) for c in some], "<i4").tobytes()], *[[np.concatenate([c[j] for c in some]).tobytes()] for j in (0, 1)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["chains", "lengths", "x", "y"])
 
-    rows = _with_known(docs.select("doc_id", "text").join(labels, "doc_id").select("text", name), field)
-    blocks = written(rows.select("text", "known", name).mapInArrow(blocked, "chains int, lengths binary, x binary, y binary"), "quality-lines")
+    rows = _with_known(taught(docs, labels, label), field, "lines")
+    blocks = written(rows.select("x", "again", "lines", "label", "known").mapInArrow(blocked, "chains int, lengths binary, x binary, y binary"), "quality-lines")
     _fitted(blocks, field)
     discard(blocks)
     return field

@@ -112,3 +112,41 @@ def test_more_shared_lines_than_are_broadcast(spark, monkeypatch):
     assert len(few.known) == 1 and many.known is None and np.allclose(few.emit, many.emit, atol=1e-6)
     rows = [sorted(map(tuple, Q.apply_rules(docs, f).collect())) for f in (few, many)]
     assert rows[0] == rows[1] and len(rows[0]) == len(texts)
+
+
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_are_not_shuffled_to_learn(spark):
+    """Whether or not the labels are few enough to be broadcast: their number grows with the documents."""
+    r = random.Random(4)
+    texts = ["\n".join(r.randbytes(400).hex() for _ in range(4)) for _ in range(600)]
+    docs, labels = docs_of(spark, texts).repartition(4).localCheckpoint(), spark.createDataFrame([(k, k % 2) for k in range(0, 600, 2)], "doc_id long, quality int")
+    before, key = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), "spark.sql.autoBroadcastJoinThreshold"
+    sent, fields = [], []
+    try:
+        for most in ("-1", before):
+            spark.conf.set(key, most)
+            start = shuffled(spark)
+            fields.append(Q.learn(docs, labels))
+            sent.append(shuffled(spark) - start)
+    finally:
+        spark.conf.set(key, before)
+    assert 0 < sent[0] < 0.25 * sum(map(len, texts)) and abs(sent[1] - sent[0]) < 0.2 * sent[0]
+    assert np.allclose(fields[0].emit, fields[1].emit, atol=1e-4)
+
+
+def test_features_count_all_characters():
+    r, alphabet = random.Random(5), "aB9 .!|#*$%&<>\tÄßДяÉ日ǅⅣ😀\ud800\x0b\x1c"
+    for _ in range(500):
+        line = "".join(r.choice(alphabet) for _ in range(r.randrange(1, 30)))
+        x, _ = Q.line_features(line)
+        if len(x):
+            size = len(line)
+            want = [8 * sum(map(line.count, Q.SYMBOLS)), 8 * line.count("!"), 2 * sum(map(str.isupper, line))]
+            assert x[0, 3:6].tolist() == [min(1.0, n / size) for n in want]
+            assert x[0, 9] == min(1.0, 8 * sum(map(line.count, "0123456789")) / size)
