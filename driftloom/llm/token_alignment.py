@@ -1,9 +1,10 @@
 """Alignment of two tokenizers' tokens by the byte offsets at which they end.
 
 Arrow batches only tokenise: each text gives both sides' tokens, as numbers that begin with the end, in ascending order. What
-follows are higher-order functions: tokens that end together stand next to each other, so that ``filter`` of a ``sequence`` gives
-the cuts, ``transform`` and ``slice`` read the links and the groups off in linear time, and a second ``filter`` counts groups. How often
-a pair of ids is linked in the corpus is a count pre-aggregated by tasks.
+follows are higher-order functions: tokens that end together stand next to each other, so that ``zip_with`` of the tokens and those
+behind them gives the links, ``transform`` their places, and ``slice`` and ``filter`` read the larger groups off, in linear time. Lambdas
+are interpreted, and looking an element up costs most in them, so that only larger groups do. How often a pair of
+ids is linked in the corpus is a count pre-aggregated by tasks.
 """
 
 from __future__ import annotations
@@ -152,21 +153,24 @@ def aligned(tokens: DataFrame) -> DataFrame:
     token of each. A link is a pair of tokens that end together, and the k-th link closes the k-th group. Tokens
     without bytes do not exist, so ends ascend.
     """
-    none = F.array().cast("array<int>")
-    # A cut is where a token of the second side stands behind one of the first that ends together with it.
-    token = lambda i: F.get("tokens", i)
-    cuts = F.filter(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.shiftright(token(i).bitwiseXOR(token(i - 1)), 32) == 0)
-    at = tokens.select("doc_id", "n_a", "n_b", "tokens", F.when(F.size("tokens") > 1, cuts).otherwise(none).alias("at"))
-    # Where the group before ends: -1 for the first.
-    met = at.select("*", F.concat(F.array(F.lit(-1)), "at").alias("since"))
-    size = lambda i, k: i - F.get("since", k)  # noqa: E731  tokens of a group
-    one = lambda i: F.concat(_id(token(i - 1)).cast("string"), F.lit("|"), _id(token(i)).cast("string"))
-    inside = lambda i, k: F.slice("tokens", F.get("since", k) + 2, size(i, k))
-    text = F.transform("at", lambda i, k: F.when(size(i, k) == 2, one(i)).otherwise(F.concat(_run(inside(i, k), False), F.lit("|"), _run(inside(i, k), True))))
-    link = F.transform("at", lambda i: F.shiftleft(_id(token(i - 1)), 32).bitwiseOR(_id(token(i))))
+    none, no = F.array().cast("array<int>"), F.lit(-1).cast("long")
     long = lambda c: F.col(c).cast("long").alias(c)
-    single = F.size(F.filter("at", lambda i, k: size(i, k) == 2)).cast("long")
-    return met.select("doc_id", long("n_a"), long("n_b"), F.size("at").cast("long").alias("n_groups"), single.alias("n_single"), F.array_join(text, ";").alias("groups"), link.alias("links"))
+    # A token of the first side and the one behind it, of the second, that end together: they close a group.
+    pair = lambda x, y: F.when(x.bitwiseXOR(y) < 1 << 32, F.shiftleft(_id(x), 32).bitwiseOR(_id(y))).otherwise(no)
+    met = tokens.select("doc_id", "n_a", "n_b", "tokens", F.zip_with("tokens", F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0))), pair).alias("met"))
+    at = F.array_remove(F.transform("met", lambda p, i: F.when(p < 0, -1).otherwise(i)), -1)
+    cut = met.select("doc_id", "n_a", "n_b", "tokens", F.array_remove("met", no).alias("links"), at.alias("at"))
+    # The first group begins as if the one before had closed at -2 and -1.
+    before = F.concat(F.array(F.lit(-2)), F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))))
+    sizes = F.when(F.size("at") > 0, F.zip_with("at", before, lambda i, j: i - j)).otherwise(none)
+    cut = cut.select("*", sizes.alias("sizes"))
+    inside = lambda n, k: F.slice("tokens", F.get("at", k) - n + 3, n)
+    large = F.transform("sizes", lambda n, k: F.when(n != 2, F.concat(_run(inside(n, k), False), F.lit("|"), _run(inside(n, k), True))))
+    cut = cut.select("*", large.alias("large"))
+    one = lambda x: F.concat(F.shiftright(x, 32).cast("string"), F.lit("|"), _id(x).cast("string"))
+    text = F.array_join(F.zip_with("links", "large", lambda x, group: F.coalesce(group, one(x))), ";")
+    single = (F.size("sizes") - F.size(F.array_remove("sizes", 2))).cast("long")
+    return cut.select("doc_id", long("n_a"), long("n_b"), F.size("at").cast("long").alias("n_groups"), single.alias("n_single"), text.alias("groups"), "links")
 
 
 def scored(documents: DataFrame, common_pairs: int = COMMON_PAIRS) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -133,3 +134,32 @@ def test_tokens_come_in_order_and_are_not_sorted_again(spark, exact):
     assert got == sorted(got) and len(got) > 6
     plan = T.aligned(tokens)._jdf.queryExecution().optimizedPlan().toString()
     assert "sort_array" not in plan and "array_intersect" not in plan and "filter(" in plan
+
+
+def test_cuts_and_groups_of_two_look_no_element_up(spark):
+    """Lambdas are interpreted: only groups of more than two tokens, one of ten, look their tokens up."""
+    tokens = T.tokenised(spark.createDataFrame([(1, "one two")], "doc_id long, text string"), *PATHS)
+    plan = T.aligned(tokens)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with(" in plan and "sequence(" not in plan and not re.search(r"tokens#\d+L?\[", plan)
+
+
+def test_groups_of_any_tokens(spark):
+    """Made-up tokens: groups of one to nine on either side, single ones, none, and tokens behind the last cut."""
+    rng, rows, want = random.Random(11), [], []
+    for doc in range(200):
+        end, made, groups, links = 0, [], [], []
+        for _ in range(rng.randrange(6)):
+            sides, size = ([rng.randrange(60_000) for _ in range(rng.choice((1, 1, 1, 2, 5, 9)))] for _ in range(2)), 40
+            sides = list(sides)
+            for k, ids in enumerate(sides):
+                ends = [*sorted(rng.sample(range(end + 1 + k, end + size, 2), len(ids) - 1)), end + size]
+                made += [(e << 32) | k * T._SECOND | x for e, x in zip(ends, ids, strict=True)]
+            end += size
+            groups.append("|".join(",".join(map(str, ids)) for ids in sides))
+            links.append(sides[0][-1] << 32 | sides[1][-1])
+        if rng.random() < 0.3:
+            made.append((end + 5) << 32 | 7)
+        rows.append((doc, len(made), 0, sorted(made)))
+        want.append((doc, len(groups), sum("," not in g for g in groups), ";".join(groups), links))
+    got = T.aligned(spark.createDataFrame(rows, "doc_id long, n_a int, n_b int, tokens array<bigint>"))
+    assert sorted(map(tuple, got.select("doc_id", "n_groups", "n_single", "groups", "links").collect())) == want
