@@ -155,3 +155,20 @@ def test_groups_of_any_tokens(spark):
         want.append((doc, len(groups), sum("," not in g for g in groups), ";".join(groups), links))
     got = T.aligned(spark.createDataFrame(rows, "doc_id long, n_a int, n_b int, tokens array<bigint>"))
     assert sorted(map(tuple, got.select("doc_id", "n_groups", "n_single", "groups", "links").collect())) == want
+
+
+@pytest.mark.parametrize("together", [1, 2000, T.TOGETHER])
+def test_parts_give_the_rows_of_whole_texts(spark, monkeypatch, together):
+    monkeypatch.setattr(T, "TOGETHER", together)
+    rng, alphabet = random.Random(5), ["a", "the", "ing", " ", " ", "  ", "\n", "\t", "'s", "'", ",", "9", "é", "日", "😀", " ", "▁", "<s>", "\r\n", "Thstin", "edere", "ö", "ß", "\xa0", "\x85", "\u3000", "한", "\u0301", "Ω"]
+    texts = [*ODD, *("".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 60))) for _ in range(300)), "y" * 10_050 + " end", "one ▁ two"]
+    rows = [*enumerate(texts), (1, "one two"), (None, "null id"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    whole, parts = T.aligned(T.tokenised(docs, *PATHS)), T.aligned_parts(T.parted(docs, *PATHS))
+    assert parts.columns == whole.columns and sorted(map(tuple, parts.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+
+
+def test_each_different_part_is_aligned_once(spark):
+    """What the higher-order functions read doesn't grow with a part's repetitions."""
+    one, many = (T.parted(spark.createDataFrame([(k, "Thstinnt, ünï thndhain " * n + "end") for k in range(n)], "doc_id long, text string").coalesce(1), *PATHS).first() for n in (1, 40))
+    assert len(one["tokens"]) == len(many["tokens"]) and len(many["docs"]) == 40 and len(many["docs"][0]["parts"]) == 40 * 3 + 1
