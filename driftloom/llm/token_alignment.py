@@ -33,7 +33,7 @@ LONG = 10_000
 #: Rows of a batch of tokens, which take several times their texts' bytes.
 ROWS = 100
 #: Bytes of the texts whose different parts are tokenised and aligned together, but for a longer text.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 21
 #: Parts that one call of the piece model encodes, whose time grows faster than its text.
 CALL = 64
 #: What marks a token of the second side in a number that holds an end and an id.
